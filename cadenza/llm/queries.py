@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
+from .langid import op9_ftrl_language_id
+from .rules import op5_decision_list
 
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
+    "op5_decision_list": op5_decision_list,
+    "op9_ftrl_language_id": op9_ftrl_language_id,
 }
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
