@@ -5,12 +5,16 @@ from __future__ import annotations
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
 from .langid import op9_ftrl_language_id
+from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
+from .shards import op10_hilbert_shards
 
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op5_decision_list": op5_decision_list,
     "op9_ftrl_language_id": op9_ftrl_language_id,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
