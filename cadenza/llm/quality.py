@@ -5,7 +5,7 @@ text features is shared by all grades; ordered thresholds split its score:
 P(grade <= k) = sigmoid(threshold_k - w.x).  From them come the expected grade and
 the tail probability by which documents are selected.
 
-Features are presence flags: hashed words, and hashed steps of text statistics
+Features are presence flags: hashed words and word stems, and hashed steps of text statistics
 (share of distinct words, of letters, of symbols, ...), which words cannot show.
 
 At scale: training rows are at most ``SAMPLE`` labelled documents, chosen by a hash
@@ -31,7 +31,9 @@ from . import bytekit as bk
 from . import rules
 from .runtime import arrow_map, batch
 
-BITS, SAMPLE, MIN_DOCS = 18, 10_000, 3
+BITS, SAMPLE, MIN_DOCS = 18, 10_000, 5
+#: Longer words also count by so many leading bytes; statistics get so many buckets each, as there are few of them.
+STEMS, COPIES = (4, 5), 8
 #: A document stays if P(grade >= the highest) is at least this.
 KEEP_AT = 0.5
 
@@ -53,9 +55,17 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for t in bk.slices(col):
         w = bk.words(t)
         doc = np.repeat(np.arange(len(t)), w.counts)
+        pre = bk.byte_prefix(bk.LOWER[t.buf])
+        keys = [(doc << BITS) | (w.hash >> shift).astype(np.int64)]
+        for n in STEMS:
+            longer = np.flatnonzero(w.end - w.start > n)
+            h = bk.mix(bk.span_hash(pre, w.start[longer], w.start[longer] + n) + np.uint64(n))
+            keys.append((doc[longer] << BITS) | (h >> shift).astype(np.int64))
         step = np.minimum(np.clip(_ratios(rules.measure(t)), 0, 1) * 20, 19).astype(np.uint64)
-        stat = bk.mix(step + (np.arange(step.shape[1], dtype=np.uint64) << np.uint64(8)) + np.uint64(1 << 20)) >> shift
-        key = np.concatenate([(doc << BITS) | (w.hash >> shift).astype(np.int64), ((np.arange(len(t)) << BITS)[:, None] | stat.astype(np.int64)).ravel()])
+        for copy in range(COPIES):
+            stat = bk.mix(step + (np.arange(step.shape[1], dtype=np.uint64) << np.uint64(8)) + np.uint64((copy + 1) << 20)) >> shift
+            keys.append(((np.arange(len(t)) << BITS)[:, None] | stat.astype(np.int64)).ravel())
+        key = np.concatenate(keys)
         key = np.unique(key)
         out.append((key & ((1 << BITS) - 1)).astype(np.int32))
         sizes.append(np.bincount(key >> BITS, minlength=len(t)))
@@ -80,33 +90,60 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(bucket: np.ndarray, size: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.002, steps: int = 200, rate: float = 0.05) -> Model:
-    """Penalised maximum likelihood by Adam over all rows at once; thresholds are a first one plus positive gaps."""
+def _minimise(fun, p: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with backtracking; fun gives value and gradient."""
+    f, g = fun(p)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, back = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ q) / (s @ y)
+            back.append(a)
+            q -= a * y
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            q += s * (a - (y @ q) / (s @ y))
+        step = 1.0
+        while (new := fun(p - step * q))[0] > f - 1e-4 * step * (g @ q) and step > 1e-6:
+            step /= 2
+        s, y = -step * q, new[1] - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        p, done = p + s, abs(f - new[0]) < 1e-7 * max(1.0, abs(f))
+        f, g = new
+        if done:
+            break
+    return p
+
+
+def fit(bucket: np.ndarray, size: np.ndarray, grade: np.ndarray, grades: int, l2: float = 0.0005, steps: int = 80) -> Model:
+    """Penalised maximum likelihood; thresholds are a first one plus positive gaps, so that they stay in order."""
     seen = np.bincount(bucket, minlength=1 << BITS) >= MIN_DOCS
     doc = np.repeat(np.arange(len(size)), size)[seen[bucket]]
     ids, col = np.unique(bucket[seen[bucket]], return_inverse=True)
-    cum = np.array([(grade <= k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
-    start = np.log(cum / (1 - cum))
-    p = np.concatenate([np.zeros(len(ids)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v, n = np.zeros_like(p), np.zeros_like(p), len(size)
+    n, k = len(size), len(ids)
     rows = np.arange(n)
-    for i in range(1, steps + 1):
-        w, first, gaps = p[: len(ids)], p[len(ids)], np.exp(p[len(ids) + 1 :])
-        theta = first + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(doc, weights=w[col], minlength=n)
-        c = np.concatenate([np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
+    cum = np.array([(grade <= g).mean() for g in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
+    start = np.log(cum / (1 - cum))
+
+    def thresholds(p):
+        return p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))])
+
+    def loss(p):
+        score = np.bincount(doc, weights=p[col], minlength=n)
+        c = np.concatenate([np.zeros((n, 1)), _sigmoid(thresholds(p)[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
         d = c * (1 - c)
-        like = np.maximum(c[rows, grade + 1] - c[rows, grade], 1e-9)
+        like = np.maximum(c[rows, grade + 1] - c[rows, grade], 1e-12)
         hi, lo = d[rows, grade + 1] / like, d[rows, grade] / like
-        g_theta = np.zeros(grades - 1)
-        for k in range(grades - 1):
-            g_theta[k] = (lo[grade == k + 1].sum() - hi[grade == k].sum()) / n
-        g = np.concatenate([np.bincount(col, weights=((hi - lo) / n)[doc], minlength=len(ids)) + l2 * w / 10, [g_theta.sum()], gaps * np.cumsum(g_theta[::-1])[::-1][1:]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
+        g_theta = np.array([(lo[grade == g + 1].sum() - hi[grade == g].sum()) / n for g in range(grades - 1)])
+        g_gaps = np.exp(p[k + 1 :]) * np.cumsum(g_theta[::-1])[::-1][1:]
+        g = np.concatenate([np.bincount(col, weights=((hi - lo) / n)[doc], minlength=k) + l2 * p[:k], [g_theta.sum()], g_gaps])
+        return -np.log(like).mean() + l2 / 2 * (p[:k] @ p[:k]), g
+
+    p = _minimise(loss, np.concatenate([np.zeros(k), start[:1], np.log(np.maximum(np.diff(start), 1e-2))]), steps)
     weights = np.zeros(1 << BITS)
-    weights[ids] = p[: len(ids)]
-    return Model(weights, p[len(ids)] + np.concatenate([[0], np.cumsum(np.exp(p[len(ids) + 1 :]))]))
+    weights[ids] = p[:k]
+    return Model(weights, thresholds(p))
 
 
 def _src(docs: DataFrame, *more) -> DataFrame:
