@@ -8,11 +8,13 @@ from .langid import op9_ftrl_language_id
 from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
+from .spans import op6_sentence_spans
 
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op5_decision_list": op5_decision_list,
+    "op6_sentence_spans": op6_sentence_spans,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
