@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
 from .langid import op9_ftrl_language_id
+from .ordermin import op8_order_minhash
 from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_ordinal_quality": op2_ordinal_quality,
     "op5_decision_list": op5_decision_list,
     "op6_sentence_spans": op6_sentence_spans,
+    "op8_order_minhash": op8_order_minhash,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
