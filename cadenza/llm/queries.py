@@ -6,6 +6,7 @@ from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
 from .langid import op9_ftrl_language_id
 from .ordermin import op8_order_minhash
+from .pieces import op4_sentencepiece
 from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
@@ -14,6 +15,7 @@ from .spans import op6_sentence_spans
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_decision_list": op5_decision_list,
     "op6_sentence_spans": op6_sentence_spans,
     "op8_order_minhash": op8_order_minhash,
