@@ -11,6 +11,7 @@ from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
 from .spans import op6_sentence_spans
+from .suffixes import op7_external_suffix_sort
 
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decision_list": op5_decision_list,
     "op6_sentence_spans": op6_sentence_spans,
+    "op7_external_suffix_sort": op7_external_suffix_sort,
     "op8_order_minhash": op8_order_minhash,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
