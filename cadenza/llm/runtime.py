@@ -50,7 +50,7 @@ def table(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read again; removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
