@@ -43,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: small tables that several branches read."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    sweep(df.sparkSession)
+    return out
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -52,9 +54,15 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cadenza-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the plans that wrote them; a cut is the moment they are done with."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .induced import MEMORY, suffix_order
-from .runtime import arrow_map, batch, cut, ship
+from .runtime import arrow_map, batch, ship, table
 
 LENGTH, ANCHOR, STEP = 200, 32, 21
 SHARD = 1 << 20
@@ -173,22 +173,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """(doc_id, text_hash, gone): per text that loses any, the ranges of window starts (first, last) that are repeated."""
     src = _source(docs)
     found = _occurrences(src, length, anchor)
-    counted = found.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "lo", "hi", "anchor")).alias("at"))
-    anchors = counted.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.min("n").alias("least"))
-    again = cut(counted.join(anchors.where("all > 1"), "key"))
+    counted = table(found.groupBy("key", "piece").agg(F.count("*").alias("n")))
+    anchors = counted.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1")
+    again = counted.join(anchors, "key").select(F.col("key").alias("k"), F.col("piece").alias("p"), "n", (F.expr("kinds > 1 AND least = 1")).alias("contested"))
+    found = table(found.join(again, (F.col("key") == F.col("k")) & (F.col("piece") == F.col("p"))).drop("k", "p"))
     # equal pieces: every occurrence is repeated as a whole
-    twice = again.where("n > 1").select(F.col("key").alias("k"), F.col("piece").alias("p"))
-    whole = found.join(twice, (F.col("key") == F.col("k")) & (F.col("piece") == F.col("p"))).select("doc_id", "text_hash", "lo", "hi")
-    # single pieces whose anchor has other pieces
-    contested = again.where("kinds > 1 AND least = 1").select("at.*", "n").groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "n")).alias("spans"))
-    parts = cut(_parts(src, contested, length, step))
-    copies = parts.groupBy("fixed", "part").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first"))
-    groups = copies.groupBy("fixed").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest"))
-    rated = parts.join(copies, ["fixed", "part"]).join(groups, "fixed")
-    equal = rated.where("copies > 1 AND n = 1").select("doc_id", "text_hash", "lo", "hi")
-    meet = rated.where(F.expr("kinds > 1 AND fewest = 1") & F.struct("doc_id", "text_hash", "lo").eqNullSafe(F.col("first")))
-    sorted_ = _sorted_shards(meet, length, shard, memory)
-    return whole.union(equal).union(sorted_).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    whole = found.where("n > 1").select("doc_id", "text_hash", "lo", "hi")
+    # single pieces whose anchor has other pieces, and one of each kind of those others
+    spot = F.struct("doc_id", "text_hash", "lo", "hi", "anchor")
+    others = found.where("contested AND n > 1").groupBy("key", "piece").agg(F.min(spot).alias("at"), F.first("n").alias("n"))
+    contested = found.where("contested AND n = 1").select(spot.alias("at"), "n").union(others.select("at", "n")).select("at.*", "n")
+    contested = contested.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "n")).alias("spans"))
+    parts = table(_parts(src, contested, length, step))
+    copies = parts.groupBy("fixed", "part").agg(F.sum("n").alias("copies"))
+    rated = table(copies)
+    equal = parts.where("n = 1").join(rated.where("copies > 1").select("fixed", "part"), ["fixed", "part"], "left_semi").select("doc_id", "text_hash", "lo", "hi")
+    meeting = rated.groupBy("fixed").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("fixed")
+    meet = parts.join(meeting, "fixed", "left_semi").dropDuplicates(["fixed", "part"])
+    sorted_ = table(_sorted_shards(meet, length, shard, memory))
+    return table(whole.union(equal).union(sorted_).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
 
 
 def _keep(size: int, gone: list, length: int) -> np.ndarray:
