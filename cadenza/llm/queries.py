@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
 from .langid import op9_ftrl_language_id
+from .licenses import op3_license_scan
 from .ordermin import op8_order_minhash
 from .pieces import op4_sentencepiece
 from .quality import op2_ordinal_quality
@@ -16,6 +17,7 @@ from .suffixes import op7_external_suffix_sort
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decision_list": op5_decision_list,
     "op6_sentence_spans": op6_sentence_spans,
