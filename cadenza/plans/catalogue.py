@@ -1,5 +1,337 @@
-"""Every registered query of the library part, with SQL for comparison."""
+"""Every registered query of the library part, with SQL that gives the same rows.
+
+The driver's tables stand in for library tables: documents for tracks, labels for
+sidecars, part and lineitem for folders, events for look-ups.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES
+from ..operators import albums, audit, cache, enrich, rename, reports
 
 FLAGSHIP = "audit_summary"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def _read(spark, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_NORM = lambda x: f"trim(regexp_replace(strip_accents(lower(translate(coalesce({x}, ''), '$', 's'))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_SANITIZE = lambda x: f"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(translate(nullif({x}, ''), '/\\<>:\"|?*', '__'), '\\s+', ' ', 'g'), '^ | $', '', 'g'), '\\.+$', ''), ''), 'Unknown')"
+_BRACKETS = "official|video|audio|flac|mp3|320|hq|hd|rip"
+
+
+def normalize_text(spark, sf_dir):
+    docs, pages = _read(spark, sf_dir, "documents", "pages")
+    rows = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").union(pages.select(F.lit("page"), "page_id", "html"))
+    return rows.select("kind", "id", T.normalize_text("text").alias("normalized"))
+
+
+def sanitize_names(spark, sf_dir):
+    pages, part = _read(spark, sf_dir, "pages", "part")
+    rows = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("name")).union(part.select(F.lit("part"), "p_partkey", "p_name"))
+    return rows.select("kind", "id", T.sanitize_name("name").alias("safe"))
+
+
+def extract_date(spark, sf_dir):
+    (orders,) = _read(spark, sf_dir, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("string")
+    text = F.when(k % 4 == 0, F.concat(F.lit(" released "), d)).when(k % 4 == 1, F.substring(d, 1, 4)).when(k % 4 == 2, F.lit("  soon ")).otherwise(F.lit(""))
+    return orders.select("o_orderkey", T.normalize_date(text).alias("date"))
+
+
+def genre_rules(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    genre = (
+        F.when(k % 8 == 0, F.lit("hip hop")).when(k % 8 == 1, F.lit("indie rock")).when(k % 8 == 2, F.lit("Top 40 Pop")).when(k % 8 == 3, F.lit("1,234.5"))
+        .when(k % 8 == 4, F.col("p_type")).when(k % 8 == 5, F.lit("rnb")).when(k % 8 == 6, F.lit("90d")).otherwise(F.concat(F.lit(" acid jazz "), F.col("p_size").cast("string")))
+    )
+    return part.select("p_partkey", T.normalize_genre(genre).alias("genre"))
+
+
+def alias_canonical(spark, sf_dir):
+    (customer,) = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.lit(" M.G.L ")).when(k % 5 == 1, F.lit("Ștefan Cherescu")).when(k % 5 == 2, F.lit("BUG  mafia")).when(k % 5 == 3, F.lit("nane")).otherwise(F.concat(F.lit(" "), F.col("c_name")))
+    return customer.select("c_custkey", T.canonical_artist(name).alias("artist"))
+
+
+def _tagged_docs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs, labels = _read(spark, sf_dir, "documents", "labels")
+    k = F.col("doc_id")
+    head = F.element_at(F.split("text", "\n"), 1)
+    tracks = docs.select(
+        F.format_string("lib/%s/%06d.flac", "source", k).alias("path"), F.concat(F.lit("lib/"), "source").alias("parent"), F.format_string("%06d", k).alias("stem"), F.lit(".flac").alias("ext"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.col("source")).alias("artist"), F.when(k % 5 == 0, F.concat(head, F.lit(" [Official Vidéo] (live)"))).otherwise(head).alias("title"),
+        F.when(k % 6 == 0, F.lit("Hot-100")).otherwise(F.lit("Pop")).alias("genre"), (k % 11 != 0).alias("checksum_ok"), (k % 13 / 1000.0).alias("hf_rms"), F.when(k % 17 == 0, F.lit("no tags")).alias("read_error"),
+    )
+    lrc = labels.select(F.format_string("%06d", "doc_id").alias("stem")).join(tracks.select("parent", "stem"), "stem").select("parent", "stem")
+    return tracks, lrc
+
+
+_TRACKS = f"""
+t AS (SELECT 'lib/' || source || '/' || printf('%06d', doc_id) || '.flac' AS path, doc_id AS k,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS artist,
+  split_part(text, chr(10), 1) || CASE WHEN doc_id % 5 = 0 THEN ' [Official Vidéo] (live)' ELSE '' END AS title,
+  CASE WHEN doc_id % 6 = 0 THEN 'Hot-100' ELSE 'Pop' END AS genre, doc_id % 17 <> 0 AS ok,
+  doc_id IN (SELECT doc_id FROM labels) AS lrc FROM documents),
+b AS (SELECT *, CASE WHEN ok THEN list_transform(list_filter(regexp_extract_all(title, '\\[.*?\\]|\\(.*?\\)'), lambda x: regexp_matches({_NORM('x')}, '{_BRACKETS}')),
+  lambda x: 'Corrupt bracket metadata: ''' || x || '''') ELSE [] END AS br FROM t),
+a AS (SELECT path, list_concat(list_concat(list_concat(
+  CASE WHEN k % 11 = 0 THEN ['FLAC audio stream MD5 checksum verification failed (corrupted FLAC).'] ELSE [] END,
+  CASE WHEN k % 13 = 0 THEN ['Possible fake lossless (spectral cutoff below 16kHz).'] ELSE [] END), br), list_concat(list_concat(
+  CASE WHEN ok AND genre = 'Hot-100' THEN ['Blacklisted genre tag: ''Hot-100'''] ELSE [] END,
+  list_concat(CASE WHEN ok AND artist = '' THEN ['Missing ARTIST tag.'] ELSE [] END, CASE WHEN ok AND title = '' THEN ['Missing TITLE tag.'] ELSE [] END)), list_concat(
+  CASE WHEN NOT ok THEN ['Metadata read error: no tags'] ELSE [] END,
+  CASE WHEN NOT lrc THEN ['Missing synchronized lyrics (.lrc) file.'] ELSE [] END))) AS issues FROM b)
+"""
+
+
+def audit_summary(spark, sf_dir):
+    return audit.counters(audit.with_issues(*_tagged_docs(spark, sf_dir), spectral=True))
+
+
+def audit_issues(spark, sf_dir):
+    return audit.issue_rows(audit.with_issues(*_tagged_docs(spark, sf_dir), spectral=True))
+
+
+def audit_report(spark, sf_dir):
+    return reports.audit_report(audit.with_issues(*_tagged_docs(spark, sf_dir)), "lib")
+
+
+def bracket_issues(spark, sf_dir):
+    (docs,) = _read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 9 == 0, F.lit("[FLAC] (Remix) (Trip) ")).otherwise(""), F.col("text"))
+    return docs.select("doc_id", F.posexplode(T.bracket_issues(text)).alias("position", "issue"))
+
+
+def format_names(spark, sf_dir):
+    line, part = _read(spark, sf_dir, "lineitem", "part")
+    joined = line.join(part, line.l_partkey == part.p_partkey)
+    return joined.select("l_orderkey", "l_linenumber", T.track_file_name(F.col("l_linenumber") - 1, "p_brand", "p_name").alias("name"))
+
+
+def suffix_paths(spark, sf_dir):
+    (pages,) = _read(spark, sf_dir, "pages")
+    return pages.select("page_id", T.with_suffix("url", ".lrc").alias("sidecar"), T.base_name("url").alias("base"), T.parent("url").alias("parent"))
+
+
+def clean_text_lines(spark, sf_dir):
+    (docs,) = _read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    junk = F.concat(F.lit("12 Contributors\n\n\n[00:12.00] line\nhttps://x.example/a\n"), F.col("text"), F.when(k % 2 == 0, F.lit("\n\n3 Embed ")).otherwise(F.lit("\nYou might also like")))
+    return docs.select("doc_id", T.clean_lyrics(F.when(k % 3 == 0, F.col("text")).otherwise(junk)).alias("lyrics"))
+
+
+def lrc_headers(spark, sf_dir):
+    (docs,) = _read(spark, sf_dir, "documents")
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("[ar:old]\n")).otherwise(""), F.col("text"))
+    return docs.select("doc_id", T.sync_headers(text, F.col("source"), F.col("lang")).alias("lrc"))
+
+
+def missing_sidecar(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents", "labels")
+    return docs.select("doc_id", "source").join(labels.select("doc_id"), "doc_id", "left_anti")
+
+
+def _folders(spark, sf_dir) -> DataFrame:
+    (line,) = _read(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_orderkey").alias("parent"), F.col("l_returnflag").alias("album"), "l_linenumber", "l_partkey")
+
+
+def single_folders(spark, sf_dir):
+    return albums.folder_classes(_folders(spark, sf_dir))
+
+
+def semi_single(spark, sf_dir):
+    rows = _folders(spark, sf_dir)
+    return rows.join(albums.folder_classes(rows).where("is_single").select("parent"), "parent", "left_semi")
+
+
+def uniform_properties(spark, sf_dir):
+    (line,) = _read(spark, sf_dir, "lineitem")
+    rows = line.select("l_suppkey", F.lit(".flac").alias("ext"), F.col("l_quantity").alias("sample_rate"), F.col("l_linenumber").alias("channels"), F.col("l_returnflag").alias("bits"), (F.col("l_partkey") % 997 == 0).alias("has_album_gain"))
+    return albums.gain_modes(rows, "l_suppkey")
+
+
+def tag_statistics(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents", "labels")
+    rows = docs.join(labels, "doc_id", "left").select(F.col("quality").alias("bpm"), F.when(F.col("toxic") > 0, 1.0).alias("track_gain"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise("").alias("mbid"), F.col("source").alias("genre"))
+    return reports.tag_statistics(rows)
+
+
+def first_match_contains(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    tracks = part.select(T.normalize_text("p_brand").alias("artist_key"), T.normalize_text(F.element_at(F.split("p_name", " "), 1)).alias("album_key"))
+    releases = part.select(T.normalize_text("p_brand").alias("artist_key"), F.col("p_partkey").cast("int").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("2001-02-03").alias("date"))
+    return enrich.match_release(tracks, releases).select("artist_key", "album_key", "release_id")
+
+
+def lookup_fallback(spark, sf_dir):
+    orders, customer = _read(spark, sf_dir, "orders", "customer")
+    first = customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("a"))
+    second = customer.groupBy("c_nationkey").agg(F.min("c_name").alias("b"))
+    joined = orders.join(first, "o_custkey", "left").join(second, F.col("o_orderkey") % 25 == second.c_nationkey, "left")
+    return joined.select("o_orderkey", F.coalesce("a", "b").alias("found"))
+
+
+def score_threshold_first(spark, sf_dir):
+    (emb,) = _read(spark, sf_dir, "embeddings")
+    results = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.struct(x.cast("double").alias("score"), i.cast("string").alias("recording_id")))
+    return emb.select("vec_id", enrich.first_accepted(results, 0.1).alias("recording_id"))
+
+
+def top5_tags(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    names = F.transform(F.sort_array(F.collect_set(F.struct("event_id", "event_type"))), lambda x: F.concat(x.event_type, F.lit("-a"), (x.event_id % 7).cast("string")))
+    return events.groupBy("user_id").agg(names.alias("names")).select("user_id", F.array_join(T.top_tags("names"), ",").alias("tags"))
+
+
+def precedence_chain(spark, sf_dir):
+    orders, customer, nation = _read(spark, sf_dir, "orders", "customer", "nation")
+    c = customer.select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("own"), "c_nationkey")
+    n = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    joined = orders.join(c, "o_custkey", "left").join(n, "c_nationkey", "left")
+    fp = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))
+    return joined.select("o_orderkey", F.coalesce(T.present("own"), fp, F.col("n_name")).alias("kept"), F.coalesce(F.col("n_name"), fp, T.present("own")).alias("forced"))
+
+
+def _now():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def cache_latest(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    at = F.col("ts").cast("timestamp")
+    rows = events.select(key.alias("key"), F.col("event_id").cast("string").alias("value_json"), at.alias("stored_at"), (at + F.expr(f"INTERVAL {cache.TTL} SECONDS")).alias("expires_at"))
+    last = rows.agg(F.max("stored_at").alias("now"))
+    live = cache.latest(rows).crossJoin(F.broadcast(last))  # one row
+    return live.select("key", "value_json", (F.col("expires_at") > F.col("now")).alias("live"))
+
+
+def destination_dedupe(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    acts = part.select(F.col("p_partkey").alias("src"), F.concat_ws("/", "p_brand", F.element_at(F.split("p_name", " "), 1)).alias("dst"))
+    taken = part.where("p_partkey % 50 = 0").select(F.concat_ws("/", "p_brand", F.element_at(F.split("p_name", " "), 1)).alias("dst"))
+    return albums.first_wins(acts.join(taken, "dst", "left_anti")).select("src", "dst")
+
+
+def _folder_tracks(spark, sf_dir) -> DataFrame:
+    (part,) = _read(spark, sf_dir, "part")
+    p = part.select(
+        F.col("p_brand").alias("parent"), F.concat("p_brand", F.lit("/"), F.format_string("%08d", "p_partkey"), F.lit(".mp3")).alias("path"), F.lit(".mp3").alias("ext"),
+        (F.col("p_size") % 3).alias("track_number"), F.col("p_type").alias("artist"), F.element_at(F.split("p_name", " "), 1).alias("title"),
+    )
+    return rename.wanted_names(p)
+
+
+def rename_stateless(spark, sf_dir):
+    return rename.stateless(_folder_tracks(spark, sf_dir)).select("path", "new_name")
+
+
+def rename_stateful(spark, sf_dir):
+    return rename.allocate(_folder_tracks(spark, sf_dir)).select("path", "new_name")
+
+
+def rate_slots(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    return rename.slots(events.withColumn("at", at), 60.0, ["user_id"], "at", ["ts", "event_id"]).select("event_id", F.round("slot", 3).alias("slot"))
+
+
+def json_tags(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    k = F.from_json("props", "k bigint").getField("k")
+    odd = F.when(k % 2 == 0, F.format_string('[{"name": "t%d"}, {"name": 5}, {"x": 1}, 7, {"name": ""}]', k)).otherwise(F.lit("[]"))
+    return events.select("event_id", F.array_join(T.string_names(F.parse_json(odd).cast("array<variant>")), ",").alias("names"))
+
+
+def lookup_keys(spark, sf_dir):
+    (customer,) = _read(spark, sf_dir, "customer")
+    return customer.select("c_custkey", T.lookup_key("search", "c_name", "c_mktsegment").alias("key"))
+
+
+def track_numbers(spark, sf_dir):
+    (line,) = _read(spark, sf_dir, "lineitem")
+    n = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.col("l_linenumber").cast("string"), F.lit("/12"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit(" "), F.col("l_linenumber").cast("string"))).otherwise("x")
+    return line.select("l_orderkey", "l_linenumber", T.track_number(n).alias("number"))
+
+
+QUERIES = {f.__name__: f for f in (
+    normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
+    single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
+    cache_latest, destination_dedupe, rename_stateless, rename_stateful, rate_slots, json_tags, lookup_keys, track_numbers,
+)}
+
+_GENRE = "CASE p_partkey % 8 WHEN 0 THEN 'hip hop' WHEN 1 THEN 'indie rock' WHEN 2 THEN 'Top 40 Pop' WHEN 3 THEN '1,234.5' WHEN 4 THEN p_type WHEN 5 THEN 'rnb' WHEN 6 THEN '90d' ELSE ' acid jazz ' || p_size END"
+_TITLE = lambda x: f"array_to_string(list_transform(regexp_extract_all(lower({x}), '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1:1]) || w[2:]), '')"
+_GENRE_MAP = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in GENRE_NAMES.items()) + "}"
+_ALIAS_MAP = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in ARTIST_ALIASES.items()) + "}"
+_ALIAS = "CASE c_custkey % 5 WHEN 0 THEN ' M.G.L ' WHEN 1 THEN 'Ștefan Cherescu' WHEN 2 THEN 'BUG  mafia' WHEN 3 THEN 'nane' ELSE ' ' || c_name END"
+_NAME = f"regexp_replace(printf('%02d - %s - %s', CAST(CASE WHEN n = 0 THEN 1 ELSE n END AS INT), {_SANITIZE('artist')}, {_SANITIZE('title')}), '\\s+', ' ', 'g')"
+_any = lambda col, terms: "(" + " OR ".join(f"contains({col}, {_q(t.lower())})" for t in terms) + ")"
+
+ORACLE_SQL = {
+    "normalize_text": f"SELECT 'doc' AS kind, doc_id AS id, {_NORM('text')} AS normalized FROM documents UNION ALL SELECT 'page', page_id, {_NORM('html')} FROM pages",
+    "sanitize_names": f"SELECT 'page' AS kind, page_id AS id, {_SANITIZE('url')} AS safe FROM pages UNION ALL SELECT 'part', p_partkey, {_SANITIZE('p_name')} FROM part",
+    "extract_date": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y') WHEN 2 THEN 'soon' END AS date FROM orders",
+    "genre_rules": f"""WITH g AS (SELECT p_partkey, trim({_GENRE}) AS s FROM part), h AS (SELECT *, lower(s) AS low, {_TITLE('s')} AS t FROM g)
+        SELECT p_partkey, CASE WHEN regexp_full_match(replace(s, ',', ''), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') THEN NULL WHEN {_any('low', GENRE_BLACKLIST)} THEN NULL
+        WHEN len(string_split(t, ' ')) >= 2 AND NOT {_any('low', BROAD_GENRES)} THEN NULL ELSE coalesce(({_GENRE_MAP})[t], t) END AS genre FROM h""",
+    "alias_canonical": f"WITH a AS (SELECT c_custkey, {_ALIAS} AS n FROM customer) SELECT c_custkey, coalesce(({_ALIAS_MAP})[{_NORM('n')}], trim(n)) AS artist FROM a",
+    "bracket_issues": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '[FLAC] (Remix) (Trip) ' ELSE '' END || text AS t FROM documents),
+        b AS (SELECT doc_id, list_filter(regexp_extract_all(t, '\\[.*?\\]|\\(.*?\\)'), lambda x: regexp_matches({_NORM('x')}, '{_BRACKETS}')) AS l FROM d)
+        SELECT doc_id, CAST(p - 1 AS INT) AS position, 'Corrupt bracket metadata: ''' || l[p] || '''' AS issue FROM b, unnest(range(1, len(l) + 1)) AS r(p)""",
+    "format_names": f"WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS n, p_brand AS artist, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, l_linenumber, {_NAME} AS name FROM r",
+    "suffix_paths": "SELECT page_id, regexp_replace(url, '([^/])[.][^./]+$', '\\1') || '.lrc' AS sidecar, string_split(url, '/')[-1] AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent FROM pages",
+    "lrc_headers": """WITH d AS (SELECT doc_id, source, lang, string_split(CASE WHEN doc_id % 2 = 0 THEN '[ar:old]' || chr(10) ELSE '' END || text, chr(10)) AS l FROM documents)
+        SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: starts_with(x, '[ar:'))) = 0 THEN '[ar:' || source || ']' || chr(10) ELSE '' END || CASE WHEN len(list_filter(l, lambda x: starts_with(x, '[ti:'))) = 0 THEN '[ti:' || lang || ']' || chr(10) ELSE '' END
+        || array_to_string(list_transform(l, lambda x: CASE WHEN starts_with(x, '[ar:') THEN '[ar:' || source || ']' WHEN starts_with(x, '[ti:') THEN '[ti:' || lang || ']' ELSE x END), chr(10)) AS lrc FROM d""",
+    "missing_sidecar": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "single_folders": "SELECT l_orderkey AS parent, count(*) AS n_files, count(DISTINCT l_returnflag) AS n_albums, count(*) <= 2 OR count(DISTINCT l_returnflag) > 1 AS is_single FROM lineitem GROUP BY 1",
+    "semi_single": "SELECT l_orderkey AS parent, l_returnflag AS album, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 2 OR count(DISTINCT l_returnflag) > 1)",
+    "uniform_properties": """WITH g AS (SELECT l_suppkey, count(*) AS n_files, count(DISTINCT (l_quantity, l_linenumber, l_returnflag)) AS kinds, bool_or(l_partkey % 997 = 0) AS has_gain FROM lineitem GROUP BY 1)
+        SELECT *, CASE WHEN has_gain THEN 'skip' WHEN kinds <= 1 THEN 'album' ELSE 'track' END AS mode FROM g""",
+    "audit_summary": f"""WITH {_TRACKS}, m AS (SELECT issues, list_transform(issues, lambda x: {_NORM('x')}) AS low FROM a)
+        SELECT count(*) AS total_files, count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'corrupt') OR contains(x, 'checksum'))) > 0) AS corrupt_files,
+        count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'missing') AND contains(x, 'tag'))) > 0) AS missing_metadata, count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'missing') AND contains(x, 'lrc'))) > 0) AS missing_lrc,
+        count(*) FILTER (len(issues) > 0) AS files_with_issues FROM m""",
+    "audit_issues": f"WITH {_TRACKS} SELECT path, CAST(p - 1 AS INT) AS position, issues[p] AS issue FROM a, unnest(range(1, len(issues) + 1)) AS r(p)",
+    "tag_statistics": """WITH r AS (SELECT quality AS a, CASE WHEN toxic > 0 THEN 1 END AS b, CASE WHEN doc_id % 3 > 0 THEN nullif(lang, '') END AS c, source AS d FROM documents LEFT JOIN labels USING (doc_id)),
+        s AS (SELECT count(*) AS total, count(a) AS with_bpm, count(b) AS with_gain, count(c) AS with_mbid, count(d) AS with_genre FROM r)
+        SELECT *, with_bpm * 100.0::DOUBLE / total AS bpm_percent, with_gain * 100.0::DOUBLE / total AS gain_percent, with_mbid * 100.0::DOUBLE / total AS mbid_percent, with_genre * 100.0::DOUBLE / total AS genre_percent FROM s""",
+    "first_match_contains": f"""WITH w AS (SELECT DISTINCT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key FROM part),
+        r AS (SELECT {_NORM('p_brand')} AS artist_key, p_partkey AS pos, {_NORM('p_name')} AS t FROM part)
+        SELECT artist_key, album_key, CAST(min(pos) AS VARCHAR) AS release_id FROM w JOIN r USING (artist_key) WHERE contains(t, album_key) GROUP BY ALL""",
+    "lookup_fallback": """SELECT o_orderkey, coalesce(c.c_name, n.b) AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON o_custkey = c_custkey
+        LEFT JOIN (SELECT c_nationkey, min(c_name) AS b FROM customer GROUP BY 1) n ON o_orderkey % 25 = n.c_nationkey""",
+    "score_threshold_first": "SELECT vec_id, CAST(list_filter(range(0, 8), lambda i: embedding[i + 1]::DOUBLE >= 0.1)[1] AS VARCHAR) AS recording_id FROM embeddings",
+    "top5_tags": f"SELECT user_id, array_to_string(list_transform(list(event_type || '-a' || event_id % 7 ORDER BY event_id)[1:5], lambda x: {_TITLE('x')}), ',') AS tags FROM events GROUP BY 1",
+    "precedence_chain": """WITH j AS (SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN nullif(c_mktsegment, '') END AS own, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS fp, n_name
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey) SELECT o_orderkey, coalesce(own, fp, n_name) AS kept, coalesce(n_name, fp, own) AS forced FROM j""",
+    "cache_latest": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, CAST(event_id AS VARCHAR) AS value_json, ts FROM events)
+        SELECT key, value_json, ts + INTERVAL {cache.TTL} SECONDS > (SELECT max(ts) FROM events) AS live FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1""",
+    "destination_dedupe": """WITH a AS (SELECT p_partkey AS src, p_brand || '/' || string_split(p_name, ' ')[1] AS dst FROM part)
+        SELECT min(src) AS src, dst FROM a WHERE dst NOT IN (SELECT dst FROM a WHERE src % 50 = 0) GROUP BY dst""",
+    "rename_stateless": f"""WITH t AS (SELECT p_brand, p_brand || '/' || printf('%08d', p_partkey) || '.mp3' AS path, p_size % 3 AS n, p_type AS artist, string_split(p_name, ' ')[1] AS title FROM part),
+        w AS (SELECT *, {_NAME} AS wanted FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, wanted ORDER BY path) AS k FROM w)
+        SELECT path, wanted || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.mp3' AS new_name FROM r""",
+    "rate_slots": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+        SELECT event_id, round(n * 60.0::DOUBLE + max(epoch_us(ts) / 1000000.0::DOUBLE - n * 60.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS slot FROM r""",
+    "json_tags": "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 THEN 't' || CAST(json_extract(props, '$.k') AS BIGINT) ELSE '' END AS names FROM events",
+    "lookup_keys": f"SELECT c_custkey, 'search:' || {_NORM('c_name')} || ':' || {_NORM('c_mktsegment')} AS key FROM customer",
+    "track_numbers": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 < 2 THEN l_linenumber END AS number FROM lineitem",
+}
+ORACLE_SQL["rename_stateful"] = ORACLE_SQL["rename_stateless"]  # no file here has a wanted name, so both agree
