@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n."""
-    if len(_pow.get("b", ())) < n:
+    if "b" not in _pow or len(_pow["b"]) < n:
         size = max(n, 1 << 16)
         inverse = np.uint64(pow(int(_B), -1, 1 << 64))
         for name, base in (("b", _B), ("i", inverse)):

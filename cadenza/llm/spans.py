@@ -132,11 +132,20 @@ def _cut(t: bk.Texts, gone: list, longest: int) -> tuple[list[bytes], np.ndarray
     return out, np.diff(s.bounds), removed
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two added columns: n_sentences and n_removed, with underscores before them where documents have such columns."""
+    taken, prefix = {c.lower() for c in docs.columns}, ""
+    while {f"{prefix}n_sentences", f"{prefix}n_removed"} & taken:
+        prefix += "_"
+    return f"{prefix}n_sentences", f"{prefix}n_removed"
+
+
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
-    """All columns of documents with the shortened text, and n_sentences and n_removed."""
-    gone = removals(docs, min_words, longest).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._gone_id) & (keyed._text_hash == gone._gone_hash), "left").drop("_gone_id", "_gone_hash", "_text_hash")
+    """All columns of documents with the shortened text, and n_sentences and n_removed (see count_names)."""
+    counts = count_names(docs)
+    gone = removals(docs, min_words, longest).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), F.col("gone").alias("__gone"))
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__text_hash", F.xxhash64("text"))
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__gone_id"]) & keyed["__text_hash"].eqNullSafe(gone["__gone_hash"]), "left").drop("__gone_id", "__gone_hash", "__text_hash")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(b: pa.RecordBatch):
@@ -147,9 +156,9 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONG
             out, total, removed = _cut(t, gone.slice(t.lo, len(t)).to_pylist(), longest)
             new = pa.array([o if v else None for o, v in zip(out, valid[t.lo : t.hi], strict=True)], pa.binary()).cast(text.type)
             cols = [new if i == at else part.column(i) for i in range(len(names))]
-            yield batch([*names, "n_sentences", "n_removed"], [*cols, total.astype(np.int64), removed.astype(np.int64)])
+            yield batch([*names, *counts], [*cols, total.astype(np.int64), removed.astype(np.int64)])
 
-    schema = keyed.select(*names).schema.add("n_sentences", "long").add("n_removed", "long")
+    schema = keyed.select(*names).schema.add(counts[0], "long").add(counts[1], "long")
     return arrow_map(joined, run, schema)
 
 
