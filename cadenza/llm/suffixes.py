@@ -14,7 +14,8 @@ makes shards independent and small:
 3. Contested pieces, alone among others of their anchor, are split by where
    the anchor lies in the window, which fixes LENGTH - STEP bytes that all windows
    of a part hold.  Parts that agree there with another part, and only they, are
-   suffix-sorted, one shard after the other.
+   suffix-sorted, one shard after the other.  Of the fixed bytes a name stands in
+   the sorted string, between the few bytes that vary to both sides.
 
 A window's fate is decided by full equality of its bytes in the sort or, for
 whole pieces and parts, by 64-bit hashes of bytes and lengths.
@@ -40,7 +41,7 @@ from . import bytekit as bk
 from .induced import MEMORY, suffix_order
 from .runtime import arrow_map, batch, ship, table
 
-LENGTH, ANCHOR, STEP = 200, 32, 21
+LENGTH, ANCHOR, STEP = 200, 32, 11
 SHARD = 1 << 20
 _PIECE = "key bigint, piece bigint, lo int, hi int, anchor int"
 _FIELDS = ["key", "piece", "lo", "hi", "anchor"]
@@ -87,7 +88,7 @@ def _occurrences(src: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _parts(src: DataFrame, contested: DataFrame, length: int, step: int) -> DataFrame:
-    """Parts of contested pieces with their fixed bytes' hash (fixed), content hash (part), bytes and number of copies."""
+    """Parts of contested pieces with their fixed bytes' hash (fixed), content hash (part), the bytes before and after the fixed ones, and number of copies."""
     joined = src.join(contested, src.doc_id.eqNullSafe(contested.c_id) & (src.text_hash == contested.c_hash)).select("doc_id", "text_hash", "text", "spans")
 
     def run(b: pa.RecordBatch):
@@ -97,49 +98,57 @@ def _parts(src: DataFrame, contested: DataFrame, length: int, step: int) -> Data
             doc = np.repeat(np.arange(len(t)), np.diff(spans.offsets.to_numpy()))
             lo, hi, at, n = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
             lo, hi, at = lo + t.offs[doc], hi + t.offs[doc], at + t.offs[doc]
-            pre = bk.byte_prefix(t.buf)
+            pre, raw = bk.byte_prefix(t.buf), t.buf.tobytes()
             for q in range((length - 1) // step + 1):
                 y, x = np.minimum(hi, at - q * step), np.maximum(lo, at - q * step - step + 1)
                 ok = np.flatnonzero(x <= y)
                 if not len(ok):
                     continue
                 d, x, y, a = doc[ok], x[ok], y[ok], at[ok]
-                fixed = bk.mix(bk.span_hash(pre, a - q * step, a - q * step - step + 1 + length) + np.uint64(q))
+                begin = a - q * step
+                end = begin - step + 1 + length
+                fixed = bk.mix(bk.span_hash(pre, begin, end) + np.uint64(q))
                 part = bk.mix(bk.span_hash(pre, x, y + length) + (a - x).astype(np.uint64))
                 take = pa.array(d + t.lo)
-                data = pa.array([t.buf[i : j + length].tobytes() for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())
+                left = pa.array([raw[i:j] for i, j in zip(x.tolist(), begin.tolist(), strict=True)], pa.binary())
+                right = pa.array([raw[i:j] for i, j in zip(end.tolist(), (y + length).tolist(), strict=True)], pa.binary())
                 base = t.offs[d]
                 yield batch(
-                    ["doc_id", "text_hash", "fixed", "part", "lo", "hi", "n", "bytes"],
-                    [b.column(0).take(take), b.column(1).take(take), fixed.view(np.int64), part.view(np.int64), (x - base).astype(np.int32), (y - base).astype(np.int32), n[ok], data],
+                    ["doc_id", "text_hash", "fixed", "part", "lo", "hi", "n", "left", "right"],
+                    [b.column(0).take(take), b.column(1).take(take), fixed.view(np.int64), part.view(np.int64), (x - base).astype(np.int32), (y - base).astype(np.int32), n[ok], left, right],
                 )
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return arrow_map(joined, run, f"doc_id {kind}, text_hash bigint, fixed bigint, part bigint, lo int, hi int, n bigint, bytes binary")
+    return arrow_map(joined, run, f"doc_id {kind}, text_hash bigint, fixed bigint, part bigint, lo int, hi int, n bigint, left binary, right binary")
 
 
-def repeated_starts(parts: list[bytes], length: int, memory: int = MEMORY) -> list[np.ndarray]:
-    """For each string the starts of its windows that occur elsewhere in the list too, from one suffix order of them all."""
-    size = np.array([len(p) + 1 for p in parts])
+def repeated_starts(parts: list[tuple[bytes, int, bytes, int]], step: int, memory: int = MEMORY) -> list[np.ndarray]:
+    """For each (left, name, right, windows) the numbers of its windows that occur elsewhere in the list too, from one suffix order of all.
+
+    A window is the run of ``step`` symbols that begins at its number: bytes, the
+    name of the fixed bytes, and bytes.
+    """
+    size = np.array([len(left) + len(right) + 2 for left, _, right, _ in parts])
     at = np.concatenate([[0], np.cumsum(size)])
-    text = np.ones(int(at[-1]) + 1, np.uint16)
-    for p, a in zip(parts, at.tolist(), strict=False):
-        text[a : a + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 2
-    text[-1] = 0
+    raw = np.frombuffer(b"".join(left + b"\0" + right + b"\0" for left, _, right, _ in parts), np.uint8)
+    text = np.zeros(len(raw) + 1, np.uint32)
+    text[:-1] = raw.astype(np.uint32) + 2
+    text[at[1:] - 1] = 1
+    text[at[:-1] + np.array([len(p[0]) for p in parts])] = np.unique(np.array([p[1] for p in parts]), return_inverse=True)[1] + 258
     hit = np.zeros(len(text), bool)
     before = -1
     for i, shared in suffix_order(text, memory=memory):
-        if shared >= length:
+        if shared >= step:
             hit[i] = hit[before] = True
         before = i
-    return [np.flatnonzero(hit[a : a + max(0, len(p) - length + 1)]) for p, a in zip(parts, at.tolist(), strict=False)]
+    return [np.flatnonzero(hit[a : a + p[3]]) for p, a in zip(parts, at.tolist(), strict=False)]
 
 
-def _sorted_shards(found: DataFrame, length: int, shard: int, memory: int) -> DataFrame:
+def _sorted_shards(found: DataFrame, step: int, shard: int, memory: int) -> DataFrame:
     """(doc_id, text_hash, lo, hi) ranges of repeated windows among parts that agree in their fixed bytes."""
 
     def flush(rows, data):
-        for k, starts in enumerate(repeated_starts(data, length, memory)):
+        for k, starts in enumerate(repeated_starts(data, step, memory)):
             if len(starts):
                 cuts = np.flatnonzero(np.diff(starts) > 1)
                 for a, b in zip(starts[np.append(0, cuts + 1)].tolist(), starts[np.append(cuts, len(starts) - 1)].tolist(), strict=True):
@@ -152,21 +161,21 @@ def _sorted_shards(found: DataFrame, length: int, shard: int, memory: int) -> Da
         rows, data, size, key, ids = [], [], 0, None, None
         for b in batches:
             ids = b.column(0).type
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for d, h, fixed, lo, bytes_ in zip(*cols, strict=True):
+            cols = [b.column(i).to_pylist() for i in range(7)]
+            for d, h, fixed, lo, hi, left, right in zip(*cols, strict=True):
                 if size >= shard and fixed != key:  # shards end between groups
                     yield emit(list(flush(rows, data)), ids)
                     rows, data, size = [], [], 0
                 key = fixed
                 rows.append((d, h, lo))
-                data.append(bytes_)
-                size += len(bytes_)
+                data.append((left, fixed, right, hi - lo + 1))
+                size += len(left) + len(right) + 2
         if rows:
             yield emit(list(flush(rows, data)), ids)
 
     ship(found.sparkSession)
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "text_hash", "fixed", "lo", "bytes").repartition("fixed").sortWithinPartitions("fixed").mapInArrow(run, f"doc_id {kind}, text_hash bigint, lo int, hi int")
+    return found.select("doc_id", "text_hash", "fixed", "lo", "hi", "left", "right").repartition("fixed").sortWithinPartitions("fixed").mapInArrow(run, f"doc_id {kind}, text_hash bigint, lo int, hi int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, step: int = STEP, shard: int = SHARD, memory: int = MEMORY) -> DataFrame:
@@ -190,7 +199,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     equal = parts.where("n = 1").join(rated.where("copies > 1").select("fixed", "part"), ["fixed", "part"], "left_semi").select("doc_id", "text_hash", "lo", "hi")
     meeting = rated.groupBy("fixed").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 AND fewest = 1").select("fixed")
     meet = parts.join(meeting, "fixed", "left_semi").dropDuplicates(["fixed", "part"])
-    sorted_ = table(_sorted_shards(meet, length, shard, memory))
+    sorted_ = table(_sorted_shards(meet, step, shard, memory))
     return table(whole.union(equal).union(sorted_).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
 
 
