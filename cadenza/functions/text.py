@@ -133,7 +133,7 @@ def clean_lyrics(c: Column | str) -> Column:
     lines = F.transform(F.split(raw, _BREAKS), lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x))
     kept = F.filter(lines, lambda x: strip(x).rlike(r"^(?:\[|<\d{1,2}:\d{2})") | ~strip(x).rlike(junk))
     text = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
-    return F.when(raw.isNull() | (raw == ""), raw).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\s*\d*\s*(?<![\p{L}\p{N}_])embed\s*)+$", "")))
+    return F.when(raw.isNull() | (raw == ""), raw).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\s*\d*[^\S\n]*(?<![\p{L}\p{N}_])embed\s*)+$", "")))
 
 
 _WORD_TIME = r"<\d{1,2}:\d{2}[.:]\d{2,3}>"

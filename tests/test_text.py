@@ -62,26 +62,23 @@ def test_brackets(spark):
 
 
 def spec_lyrics(text):
+    """The same in two passes over the whole text."""
     if not text:
         return text
-    kept = []
-    for line in text.split("\n"):
-        s = line.strip()
-        if not s:
-            if kept and kept[-1]:
-                kept.append("")
-        elif re.match(r"\[|<\d{1,2}:\d{2}", s) or not any(re.match(p, s, re.I) for p in K.LYRICS_JUNK):
-            kept.append(line)
-    while kept and (not kept[-1] or re.search(r"\bEmbed\b\s*$", kept[-1], re.I)):
-        kept[-1] = re.sub(r"\d*\s*Embed\s*$", "", kept[-1], flags=re.I).strip()
-        if not kept[-1]:
-            kept.pop()
-    return "\n".join(kept).strip()
+    timed = re.compile(r"\s*(\[|<\d\d?:\d\d)")
+    lines = ["" if x.isspace() else x for x in text.split("\n")]
+    body = "\n".join(x for x in lines if timed.match(x) or not any(re.match(p, x.strip(), re.I) for p in K.LYRICS_JUNK))
+    body = re.sub("\n\n+", "\n\n", body).strip()
+    while m := re.search(r"(\d*[ \t]+|^|(?<=[\W_]))embed$", body, re.I):
+        if body[: m.end() - 5][-1:] == "_":
+            break
+        body = body[: m.start()].strip()
+    return body
 
 
 def test_clean_lyrics(spark):
     rng = random.Random(4)
-    bits = ["12 Contributors", "[00:12.00] line", "words here", "", "  ", "Read More", "See X LiveGet tickets", "https://x.y/z", "www.a", "Synced by me", "3Embed", "end 14 Embed", "embed", "word14Embed", "Producer: a", "[Verse 1]", "<00:01> a"]
+    bits = ["12 Contributors", "[00:12.00] line", "words here", "", "  ", "Read More", "See X LiveGet tickets", "https://x.y/z", "www.a", "Synced by me", "3Embed", "end 14 Embed", "embed", "word14Embed", "line 7", "Producer: a", "[Verse 1]", "<00:01> a"]
     values = [None, "", *("\n".join(rng.choice(bits) for _ in range(rng.randrange(1, 8))) for _ in range(600))]
     assert column(spark, T.clean_lyrics, values) == [spec_lyrics(v) for v in values]
 
