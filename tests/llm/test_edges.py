@@ -53,7 +53,7 @@ def test_results_of_odd_rows(spark, odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(odd, bench).collect()}
     assert got[(3, 12)].n_hit == 10 and got[(1, 0)].n_hit == 0 and got[(6, 1)].n_hit == 1 and got[(6, 1)].n_items == 0 and got[(None, 12)]["items"] == ["1"]
     assert decontaminate.contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
-    groups = [(r.doc_id, r.group_id) for r in ordermin.near_duplicate_groups(odd).collect()]
+    groups = [(r.doc_id, r.class_id) for r in ordermin.near_duplicate_groups(odd).collect()]
     assert groups.count((3, None)) == 2 and (7, None) in groups  # the null id comes first
     kept = ordermin.keep_one(odd)
     assert kept.columns == odd.columns and [r.doc_id for r in kept.where("text LIKE 'one%' OR text LIKE 'ONE%'").collect()] == [None]

@@ -329,7 +329,7 @@ def test_near_copies_against_brute_force(spark):
     first = {}
     for d in sorted(w):
         first.setdefault(tuple(w[d]), d)
-    assert all(got[d].class_id == first[tuple(w[d])] for d in w)
+    assert all(got[d].exact_id == first[tuple(w[d])] for d in w)
     reps = {d: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t, d in first.items()}
     links = []
     for a in reps:
@@ -338,8 +338,8 @@ def test_near_copies_against_brute_force(spark):
                 most = max(len(w[a]), len(w[b]))
                 if distance(w[a], w[b]) <= 0.2 * most:
                     links.append((a, b))
-    assert links and all(got[a].group_id == got[b].group_id for a, b in links)
-    size = collections.Counter(r.group_id for r in got.values())
+    assert links and all(got[a].class_id == got[b].class_id for a, b in links)
+    size = collections.Counter(r.class_id for r in got.values())
     assert sum(size.values()) == len(rows) and len(size) > 0.8 * len(first)
 
 
