@@ -213,14 +213,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of the rows that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     df, total = document_frequency(rows.select("text"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("lang")]
-    chosen = rows.select("lang", "text", F.struct(*order).alias("o")).orderBy("o").limit(sample).select("lang", "text")
+    # the sample is chosen by hashes alone, so that no task gathers texts
+    keyed = rows.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("k"))
+    least = keyed.select("k").distinct().orderBy("k").limit(sample)
+    chosen = keyed.join(F.broadcast(least), "k", "left_semi").dropDuplicates(["k"]).select("k", "lang", "text")
 
     def run(b: pa.RecordBatch):
-        bucket, tf, size = term_frequencies(b.column(1).to_pylist())
-        yield batch(["lang", "bucket", "tf"], [b.column(0), bk.lists(bucket, size), bk.lists(tf, size)])
+        bucket, tf, size = term_frequencies(b.column(2).to_pylist())
+        yield batch(["k", "lang", "bucket", "tf"], [b.column(0), b.column(1), bk.lists(bucket, size), bk.lists(tf, size)])
 
-    got = arrow_map(chosen, run, "lang string, bucket array<int>, tf array<float>").toArrow()
+    got = arrow_map(chosen, run, "k bigint, lang string, bucket array<int>, tf array<float>").toArrow().sort_by("k")
     bucket, tf = (got[c].combine_chunks() for c in ("bucket", "tf"))
     return fit(bucket.flatten().to_numpy(), tf.flatten().to_numpy(), np.diff(bucket.offsets.to_numpy()) if len(bucket) else np.zeros(0, np.int64), got["lang"].to_pylist(), df, total)
 
