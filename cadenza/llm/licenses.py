@@ -1,23 +1,22 @@
 """License scan with DataFrame functions only.
 
-A text is cut into windows: each line or sentence together with the first four
-words of the next one, so that windows overlap by one shingle less a word.  A
-window's MinHash signature is the ``BANDS`` least hashes of its five-word shingles,
-each a band of its own.  Templates are cut alike.  If a window and a template's
-window agree by Jaccard J they share a band with probability of at least
-1 - (1 - J)**BANDS: 0.99999 for J = 0.8, 0.996 for J = 0.5; windows of up to BANDS
-shingles keep them all and cannot be missed.  Retrieved windows are verified: the
-share of a template's distinct shingles found in the document's retrieved windows
-must be ``CONTAINMENT`` or more.
-
-At scale: one narrow pass over the texts; signatures meet the templates in a
-broadcast join if those have at most ``BROADCAST_ROWS`` bands (checked), else in a
-shuffled one; only matches are shuffled.
-
-Edge cases: null and empty texts have no windows and no license; a window of
-fewer than five words is one shingle; rows that repeat id and text each get the
-same result; null template texts are left out; an empty template table matches
-nothing; other columns are ignored.
+A text's shingles are its runs of five words across lines and sentences, so that
+neither wrapping nor the text around a notice changes them; templates are cut
+alike.  All shingles of a text meet all shingles of the templates, and the share
+of a template's distinct shingles found in the text must be ``CONTAINMENT`` or
+more: the result is exact up to equal 64-bit hashes, none is left to sampling.  A
+template of fewer than five words is one shingle of its own length, and texts are
+cut to that length too where such templates are given.
+
+At scale: one narrow pass over the texts; shingles meet the templates in a
+broadcast join if those have at most ``BROADCAST_ROWS`` shingles (checked), else in
+a shuffled one; only matches are shuffled.
+
+Edge cases: null and empty texts have no shingles and no license; rows that repeat
+id and text each get the same result; null template texts are left out, as are
+templates without words; an empty template table matches nothing; first_unit is
+the line or sentence in which the first shingle found begins; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .runtime import same
 
-BANDS, CONTAINMENT, BROADCAST_ROWS = 8, 0.8, 100_000
+LENGTH, CONTAINMENT, BROADCAST_ROWS = 5, 0.8, 100_000
 
 #: Public license notices; the scan takes any other table of (template, text) as well.
 TEMPLATES = [
@@ -48,20 +47,18 @@ TEMPLATES = [
 ]
 
 
-def _windows(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., unit, shingles): every window with its distinct five-word shingle hashes in ascending order."""
-    units = df.select(*keep, F.split(F.lower("text"), r"(?<=[.!?])\s+|\n").alias("units"))
-    heads = units.select(*keep, F.posexplode(F.arrays_zip("units", F.slice("units", 2, 2**31 - 1).alias("after"))).alias("unit", "w"))
-    line = F.concat_ws(" ", F.col("w.units"), F.substring_index(F.regexp_replace(F.ltrim("w.after"), r"\s+", " "), " ", 4))
-    words = heads.where("length(w.units) > 0").select(*keep, "unit", F.split(F.trim(F.regexp_replace(line, "[^a-z0-9\\u0080-\\uffff]+", " ")), " ").alias("words"))
-    w = F.col("words")
-    hashes = F.transform(F.slice(w, 1, F.size(w) - 4), lambda x, i: F.xxhash64(x, w[i + 1], w[i + 2], w[i + 3], w[i + 4]))
-    shingles = F.when(F.size(w) >= 5, hashes).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
-    return words.where("words[0] <> ''").select(*keep, "unit", F.array_sort(F.array_distinct(shingles)).alias("shingles"))
+def _words(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., words, units): the words of every text in order, and the line or sentence of each."""
+    split = df.select(*keep, F.split(F.lower("text"), r"(?<=[.!?])\s+|\n").alias("lines"))
+    plain = F.transform("lines", lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9\\u0080-\\uffff]+", " "), " "), lambda y: y != ""))
+    return split.select(*keep, plain.alias("lines")).select(*keep, F.flatten("lines").alias("words"), F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("units"))
 
 
-def _bands(windows: DataFrame, *keep: str) -> DataFrame:
-    return windows.select(*keep, "shingles", F.explode(F.slice("shingles", 1, BANDS)).alias("band"))
+def _hashes(length: int) -> Column:
+    """The hashes of all runs of so many words in order; none where the text has fewer."""
+    w = F.col("words")
+    run = lambda x, i: F.xxhash64(x, *(w[i + k] for k in range(1, length)))
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (length - 1), F.lit(0))), run)
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -71,15 +68,18 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, text_hash, template, containment, first_unit) of every license found."""
-    cuts = _windows(templates.where("template IS NOT NULL AND text IS NOT NULL"), "template")
-    whole = cuts.groupBy("template").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("all"))
-    bands = _bands(cuts, "template").select("template", "band").distinct().join(whole, "template")
-    if bands.count() <= BROADCAST_ROWS:
-        bands = F.broadcast(bands)
+    cuts = _words(templates.where("template IS NOT NULL AND text IS NOT NULL"), "template").where("size(words) > 0")
+    own = F.coalesce(*(F.when(F.size("words") == n, _hashes(n)) for n in range(1, LENGTH)), _hashes(LENGTH))
+    wanted = cuts.select("template", F.least(F.size("words"), F.lit(LENGTH)).alias("length"), F.explode(own).alias("shingle")).distinct()
+    sizes = {r["length"]: r["n"] for r in wanted.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    wanted = wanted.join(wanted.groupBy("template").agg(F.count("*").alias("of")), "template").drop("length")
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     text = F.col("text").cast("string")
     src = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = _bands(_windows(src, "doc_id", "text_hash"), "doc_id", "text_hash", "unit").join(bands, "band")
-    hits = found.select("doc_id", "text_hash", "template", "unit", F.size("all").alias("of"), F.explode(F.array_intersect("shingles", "all")).alias("shingle"))
+    zipped = [F.arrays_zip(_hashes(n).alias("shingle"), F.slice("units", 1, F.greatest(F.size("units") - (n - 1), F.lit(0))).alias("unit")) for n in sorted(sizes)]
+    runs = F.concat(*zipped) if zipped else F.array().cast("array<struct<shingle:bigint,unit:int>>")
+    hits = _words(src, "doc_id", "text_hash").select("doc_id", "text_hash", F.inline(runs)).join(wanted, "shingle")
     each = hits.groupBy("doc_id", "text_hash", "template", "of", "shingle").agg(F.min("unit").alias("unit"))
     return each.groupBy("doc_id", "text_hash", "template", "of").agg((F.count("*") / F.col("of")).alias("containment"), F.min("unit").alias("first_unit")).where(F.col("containment") >= containment).drop("of")
 

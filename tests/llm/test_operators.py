@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -174,6 +175,17 @@ def test_licenses_against_brute_force(spark):
     assert got == want and any(want.values())
 
 
+def test_wrapped_and_embedded_licenses_are_found_whole(spark):
+    notices = dict(licenses.TEMPLATES)
+    docs = [(i, "# Title\n\n" + textwrap.fill(notices["MIT"], i) + "\n\nMore.") for i in (40, 60, 65, 70, 76, 78, 79, 80)] + [(1, notices["MIT"].replace(" ", "\n"))]
+    around = [" ".join(f"{c}{i}" for i in range(21)) for c in "ab"]
+    docs += [(2, f"{around[0]} released under the MIT License {around[1]}."), (3, f"{around[0]} Short Terms {around[1]}."), (4, "Short. Other terms.")]
+    extra = licenses.template_table(spark).union(spark.createDataFrame([("short", "Short terms."), ("none", "..")], "template string, text string"))
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(docs, "doc_id long, text string"), extra).collect()}
+    assert all(r.licenses == ["MIT"] and r.best_containment == 1.0 and r.first_unit == (0 if d == 1 else 2) for d, r in got.items() if d == 1 or d >= 40)
+    assert (got[2].licenses, got[2].best_containment) == (["MIT-notice"], 1.0) and got[3].licenses == ["short"] and got[4].licenses == []
+
+
 def test_license_scan_runs_without_python(spark):
     plan = licenses.license_report(spark.read.parquet(f"{DIR}/documents.parquet"), licenses.template_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
