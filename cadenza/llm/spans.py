@@ -10,10 +10,19 @@ kind; the first is the one with the least (doc_id, text hash, place).  Runs of
 both kinds together cover every sentence of any repeated passage of 2 *
 MIN_WORDS + 1 words that begins and ends at sentence bounds.
 
-At scale: runs are aggregated before the shuffle, so that a passage in a third of
-all documents arrives once a task; only hashes that occur again are joined back,
-by a sort-merge join whose hot keys Spark splits; documents are joined to the list
-of their own removed sentences.
+A passage need not keep to sentence bounds, nor do cuts counted from a sentence's
+start fall alike in two copies that begin within it.  So stretches of words are
+hashed too: they begin and end at anchors, which are words whose ``GRAM`` words
+have the least hash of some window of them, and have MIN_WORDS words or more.
+The windows are so short that any 2 * MIN_WORDS + 1 equal words hold a whole
+stretch.  Words of a stretch that is not the first of its kind go as well, if
+need be from the midst of a sentence.
+
+At scale: hashes are counted before the shuffle, so that a passage in a third of
+all documents arrives once a task; only runs that occur again are kept, by a
+sort-merge join whose hot keys Spark splits, and the first of each kind is sought
+among these.  They and what goes are written, which lets Spark drop the shuffled
+runs; documents are joined to the list of their own.
 
 Edge cases: null and empty texts have no sentences and stay as they are; texts
 without words too; rows that repeat both id and text are one document and get
@@ -31,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .runtime import arrow_map, batch
+from .runtime import arrow_map, batch, table
 
-MIN_WORDS, LONGEST = 25, 20
+MIN_WORDS, LONGEST, GRAM = 25, 20, 4
+_STRETCH = np.uint64(0xA24BAED4963EE407)  # keeps hashes of stretches apart from those of runs
 _END = bk.byte_class(b".!?", False)
 _SPACE = bk.byte_class(b" \t\r\n\x0b\x0c", False)
 
@@ -87,39 +97,68 @@ def runs(s: Sentences, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarr
     return b, e, bk.span_hash(bk.prefix(s.words.hash), s.first[b], s.first[e])
 
 
+def anchors(w: bk.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, document) of every run of gram words that has the least hash of a window of such runs."""
+    first, doc, h = bk.ngrams(w.hash, w.bounds, gram)
+    if len(h) < window:
+        return first[:0], doc[:0]
+    least = np.where(doc[: len(h) - window + 1] == doc[window - 1 :], bk.sliding_min(h, window), np.uint64(0))
+    pad = np.zeros(window - 1, np.uint64)
+    top = ~bk.sliding_min(~np.concatenate([pad, least, pad]), window)  # the greatest of the least values of its windows
+    at = np.flatnonzero((top == h) & (top > 0))
+    return first[at], doc[at]
+
+
+def stretches(w: bk.Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, document, hash): from each anchor to the end of the first one that makes min_words."""
+    gram = min(GRAM, min_words)
+    at, doc = anchors(w, (min_words + 3) // 2, gram)
+    end = np.searchsorted(at, at + min_words - gram)
+    ok = end < len(at)
+    ok[ok] = doc[end[ok]] == doc[ok]
+    lo, hi = at[ok], at[end[ok]] + gram
+    return lo, hi, doc[ok], bk.mix(bk.span_hash(bk.prefix(w.hash), lo, hi) ^ _STRETCH)
+
+
 def _id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
-    """(doc_id, text_hash, gone): the runs of sentences that go from each document that loses any."""
+    """(doc_id, text_hash, gone): what goes from each document that loses any, as runs of n sentences or, n below 0, of -n words."""
 
     def run(b: pa.RecordBatch):
         for t in bk.slices(b.column(2)):
             s = sentences(t, longest)
             lo, hi, h = runs(s, min_words)
-            if len(h):
-                d = s.doc[lo]
-                take = pa.array(d + t.lo)
-                yield batch(["doc_id", "text_hash", "run", "lo", "n"], [b.column(0).take(take), b.column(1).take(take), h.view(np.int64), (lo - s.bounds[d]).astype(np.int32), (hi - lo).astype(np.int32)])
+            d = s.doc[lo]
+            first, end, doc, more = stretches(s.words, min_words)
+            if len(h) + len(more):
+                take = pa.array(np.concatenate([d, doc]) + t.lo)
+                at, n = np.concatenate([lo - s.bounds[d], first - s.words.bounds[doc]]), np.concatenate([hi - lo, first - end])
+                yield batch(["doc_id", "text_hash", "run", "lo", "n"], [b.column(0).take(take), b.column(1).take(take), np.concatenate([h, more]).view(np.int64), at.astype(np.int32), n.astype(np.int32)])
 
     src = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = arrow_map(src, run, f"doc_id {_id_type(docs)}, text_hash bigint, run bigint, lo int, n int")
     place = F.struct("doc_id", "text_hash", "lo")
-    repeated = found.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("run").alias("again"), "first")
-    later = found.join(repeated, F.col("run") == F.col("again")).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "n")).alias("gone"))
+    again = found.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select(F.col("run").alias("again"))
+    found = table(found.join(again, F.col("run") == F.col("again")).drop("again"))
+    first = found.groupBy("run").agg(F.min(place).alias("first")).withColumnRenamed("run", "again")
+    later = found.join(first, F.col("run") == F.col("again")).where(~place.eqNullSafe(F.col("first")))
+    return table(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "n")).alias("gone")))
 
 
 def _cut(t: bk.Texts, gone: list, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """What stays of each text, its number of sentences, and how many went."""
+    """What stays of each text, its number of sentences, and how many went or lost words."""
     s = sentences(t, longest)
-    edge = np.zeros(len(s.doc) + 1, np.int64)
+    w = s.words
+    edge, word_edge = np.zeros(len(s.doc) + 1, np.int64), np.zeros(len(w.start) + 1, np.int64)
     for d, ranges in enumerate(gone):
         for r in ranges or ():
-            edge[s.bounds[d] + r["lo"]] += 1
-            edge[s.bounds[d] + r["lo"] + r["n"]] -= 1
-    dead = np.cumsum(edge)[:-1] > 0
+            e, at = (edge, s.bounds[d] + r["lo"]) if r["n"] > 0 else (word_edge, w.bounds[d] + r["lo"])
+            e[at] += 1
+            e[at + abs(r["n"])] -= 1
+    dead, lost = np.cumsum(edge)[:-1] > 0, np.cumsum(word_edge)[:-1] > 0
     keep = np.ones(len(t.buf), bool)
     stop = np.append(s.start[1:], len(t.buf))
     if len(s.doc):
@@ -127,6 +166,11 @@ def _cut(t: bk.Texts, gone: list, longest: int) -> tuple[list[bytes], np.ndarray
         stop[last] = t.offs[1:][s.doc[last]]
     for i in np.flatnonzero(dead):
         keep[s.start[i] : stop[i]] = False
+    for i, j in zip(*bk.spans(lost, w.bounds), strict=True):  # up to the next word that stays, or the end of the text
+        d = np.searchsorted(w.bounds, i, "right") - 1
+        keep[w.start[i] : w.start[j] if j < w.bounds[d + 1] else t.offs[d + 1]] = False
+    if len(s.doc):
+        dead |= np.logical_or.reduceat(lost, s.first[:-1])
     out = [t.buf[a:b][keep[a:b]].tobytes() for a, b in zip(t.offs[:-1], t.offs[1:], strict=True)]
     removed = np.bincount(s.doc[dead], minlength=len(t)) if len(s.doc) else np.zeros(len(t), np.int64)
     return out, np.diff(s.bounds), removed

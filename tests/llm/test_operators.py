@@ -262,6 +262,27 @@ def test_sentence_spans_against_brute_force(spark):
     assert passage in left[0] and not any("w27" in t for t in left[1:]) and all(f"Own text {i} here." in t and f"Tail {i}." in t for i, t in enumerate(left))
 
 
+def test_passages_that_ignore_sentence_bounds_go_from_all_but_the_first(spark):
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    own = lambda n: [f"o{next(fresh)}" for _ in range(n)]
+    docs, at = {}, {}
+    for p in range(60):
+        passage = [f"p{p}x{i}" + ("." if p % 3 and rng.random() < 0.1 else "") for i in range(51)]
+        for c in range(2):
+            docs[2 * p + c] = " ".join([*own(rng.randrange(40)), *passage, *own(rng.randrange(40))])
+            at[2 * p + c] = passage
+    docs[500] = " ".join(own(300))
+    got = {r.doc_id: r for r in spans.deduplicate(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    for d, text in docs.items():
+        left = set(got[d].text.split())
+        gone = [x for x in text.split() if x not in left]
+        if d % 2 and d != 500:  # only words of the passage, and most of it
+            assert set(gone) <= set(at[d]) and len(gone) >= 25 and got[d].n_removed > 0
+        else:
+            assert got[d].text == text and got[d].n_removed == 0
+
+
 # --- 7
 
 
