@@ -378,6 +378,16 @@ def test_near_copies_against_brute_force(spark):
     assert sum(size.values()) == len(rows) and len(size) > 0.8 * len(first)
 
 
+def test_near_copies_are_found_among_many_texts_of_the_same_lines(spark):
+    rng = random.Random(8)
+    lines = [[f"l{i}w{j}" for j in range(20)] for i in range(10)]
+    docs = [[w for line in rng.sample(lines, 10) for w in line] for _ in range(200)]
+    for i in range(60):
+        docs.append([f"x{rng.randrange(10**6)}" if rng.random() < 0.06 else w for w in docs[i]])
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicate_groups(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert sum(got[200 + i] == got[i] for i in range(60)) >= 54
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in ordermin.components(spark.createDataFrame(links, "a long, b long")).collect()}
