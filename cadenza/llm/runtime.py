@@ -88,6 +88,14 @@ def batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with so many underscores before it that no column's name begins like it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     """Equality of key columns that holds for nulls as well."""
     cond = F.lit(True)

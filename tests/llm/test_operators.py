@@ -388,6 +388,48 @@ def test_near_copies_are_found_among_many_texts_of_the_same_lines(spark):
     assert sum(got[200 + i] == got[i] for i in range(60)) >= 54
 
 
+def test_recall_over_every_pair_that_the_alignment_accepts(spark):
+    rng, fresh = random.Random(9), iter(range(10**9))
+    shared = [[f"s{j}w{i}" for i in range(150)] for j in range(2)]
+    docs, rate = [], {}
+
+    def edited(words, r):
+        out = []
+        for w in words:
+            x = rng.random()
+            out += [w] if x > r else [f"e{next(fresh)}"] if x < 0.6 * r else [] if x < 0.8 * r else [w, f"e{next(fresh)}"]
+        return out
+
+    for r in (0.02, 0.05, 0.1, 0.13, 0.16, 0.19):
+        for i in range(60):
+            text = [f"w{rng.randrange(5000)}" for _ in range(200)]
+            if i % 4 == 0:  # passages that many others have too, up to three quarters of the text
+                text = text[: 50 + i] + shared[i % 8 // 4] + text[150 + i :]
+            rate[len(docs)] = rate[len(docs) + 1] = r
+            docs += [text, edited(text, r)]
+    code = {}
+    hashes = [np.array([code.setdefault(w, len(code)) for w in d], np.uint64) for d in docs]
+    bags = [collections.Counter(d) for d in docs]
+    pairs = []
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            limit = int(0.2 * max(len(docs[a]), len(docs[b])) + 1e-9)
+            if (bags[a] & bags[b]).total() >= max(len(docs[a]), len(docs[b])) - limit and ordermin.edit_distance_within(hashes[a], hashes[b], limit) <= limit:
+                pairs.append((a, b))
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicate_groups(rows).collect()}
+    found = collections.defaultdict(list)
+    for a, b in pairs:
+        found[rate[b]].append(got[a] == got[b])
+    print({r: (sum(x), len(x)) for r, x in found.items()})
+    assert len(pairs) >= 300 and all(np.mean(x) >= 0.9 for x in found.values())
+    classes = collections.defaultdict(set)
+    for d, c in got.items():
+        classes[c].add(d)
+    links = {frozenset(p) for p in pairs}
+    assert all(len(c) == 1 or all(any(frozenset((d, e)) in links for e in c) for d in c) for c in classes.values())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in ordermin.components(spark.createDataFrame(links, "a long, b long")).collect()}
