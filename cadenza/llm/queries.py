@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
 from .langid import op9_ftrl_language_id
+from .licenses import ORACLE as ORACLE_3
 from .licenses import op3_license_scan
 from .ordermin import op8_order_minhash
 from .pieces import op4_sentencepiece
@@ -28,4 +29,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
+    "op3_license_scan": ORACLE_3,
 }

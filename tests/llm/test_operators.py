@@ -186,6 +186,36 @@ def test_wrapped_and_embedded_licenses_are_found_whole(spark):
     assert (got[2].licenses, got[2].best_containment) == (["MIT-notice"], 1.0) and got[3].licenses == ["short"] and got[4].licenses == []
 
 
+def test_license_scan_matches_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{BIG}/documents.parquet'")
+    want = c.sql(ORACLE_SQL["op3_license_scan"])
+    got = sorted(map(tuple, QUERIES["op3_license_scan"](spark, BIG).select(*want.columns).collect()), key=repr)
+    assert got == sorted(want.fetchall(), key=repr) and any(r[1] for r in got)
+
+
+def test_every_template_is_found_in_any_wrapping(spark):
+    wraps = [(76, ""), (72, "# "), (60, " * "), (50, "")]
+    docs = [(100 * i + j, "Own lines come first.\n" + textwrap.fill(t, n, initial_indent=p, subsequent_indent=p) + "\nAnd last.") for i, (_, t) in enumerate(licenses.TEMPLATES) for j, (n, p) in enumerate(wraps)]
+    got = {(r.doc_id, r.template): r.containment for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), licenses.template_table(spark)).collect()}
+    assert all(got[d, licenses.TEMPLATES[d // 100][0]] == 1.0 for d, _ in docs)
+
+
+def test_edited_licenses_are_retrieved_by_their_windows(spark, monkeypatch):
+    rng, docs = random.Random(12), []
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows = [(f"t{k}", [f"t{k}w{i}" for i in range(n)]) for k, n in enumerate([*range(24, 40), 60, 90, 200])]
+    for k, (_, t) in enumerate(rows):
+        for j in range(8):
+            gone = set(rng.sample(range(len(t)), max(1, len(t) // 26)))
+            docs.append((k * 8 + j, [f"x{i}" for i in range(rng.randrange(9))] + [f"e{i}" if i in gone else w for i, w in enumerate(t)]))
+    want = {(d, f"t{d // 8}") for d, w in docs if len(grams(w) & grams(rows[d // 8][1])) >= 0.8 * len(grams(rows[d // 8][1]))}
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", 0)  # the way beyond the limit
+    as_text = lambda x, names: spark.createDataFrame([(a, " ".join(b)) for a, b in x], names)
+    got = {(r.doc_id, r.template) for r in licenses.scan(as_text(docs, "doc_id long, text string"), as_text(rows, "template string, text string")).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_license_scan_runs_without_python(spark):
     plan = licenses.license_report(spark.read.parquet(f"{DIR}/documents.parquet"), licenses.template_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -355,6 +385,14 @@ def test_banded_alignment_against_full_table():
             b.insert(rng.randrange(len(b) + 1), rng.randrange(5)) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
         limit = rng.randrange(12)
         assert ordermin.edit_distance_within(np.array(a, np.uint64), np.array(b, np.uint64), limit) == min(distance(a, b), limit + 1)
+        assert ordermin.anchored_bound(np.array(a, np.uint64), np.array(b, np.uint64)) >= distance(a, b)
+
+
+def test_anchors_settle_long_near_copies():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**40, 200_000, dtype=np.uint64)
+    b = np.where(rng.random(len(a)) < 0.1, a + np.uint64(1), a)[rng.random(len(a)) > 0.01]
+    assert ordermin.anchored_bound(a, a) == 0 and 0.1 * len(a) < ordermin.anchored_bound(a, b) < 0.17 * len(a)
 
 
 def test_near_copies_against_brute_force(spark):
