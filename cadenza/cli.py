@@ -17,13 +17,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import log, schemas
 from .errors import AudioError, CadenzaError
 from .functions import text as T
 from .operators import actions, albums, audit, enrich, rename, reports
 from .sources import library
 
 VERSION = "0.1.0"
+LOG = log.console("cadenza")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     for f in ("--no-bpm", "--no-replaygain", "--no-lyrics", "--no-art", "--force"):
         verbs["tag"].add_argument(f, action="store_true")
     verbs["tag"].add_argument("--snapshots")
+    verbs["tag"].add_argument("--plan", help="Parquet folder for the tags to write into each file")
     verbs["tag"].add_argument("--out", help="Parquet folder for the enriched tracks")
     for k in ("--lastfm-key", "--acoustid-key", "--discogs-token"):
         verbs["tag"].add_argument(k, default=os.environ.get(k[2:].replace("-", "_").upper()))
@@ -45,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     verbs["audit"].add_argument("--spectral", action="store_true")
     for v in ("tag", "audit"):
         verbs[v].add_argument("--json")
+        verbs[v].add_argument("--json-lines", help="folder of one JSON object a file, for libraries beyond one report's size")
     verbs["organize"].add_argument("--target-singles", required=True)
     return p
 
@@ -74,14 +77,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     tracks = load_tracks(spark, files, args.tracks)
     if args.verb == "audit":
         audited = audit.with_issues(tracks, library.sidecars(files), args.spectral).cache()
-        print(audit.counters(audited).first().asDict())
+        LOG.info(audit.counters(audited).first().asDict())
         if args.json:
             _write_json(reports.audit_report(audited, os.path.abspath(args.path)), args.json)
+        if args.json_lines:
+            reports.audit_lines(audited).write.mode("overwrite").text(args.json_lines)
     elif args.verb == "rename":
         named = rename.wanted_names(tracks.where("read_error IS NULL")).withColumn("is_track", F.lit(True))
         others = files.join(named.select("path"), "path", "left_anti").select("path", "parent", F.col("stem").alias("wanted"), "ext", F.lit(False).alias("is_track"))
         plan = rename.rename_actions(rename.allocate(named.select("path", "parent", "wanted", "ext", "is_track").unionByName(others)), files).cache()
+        heads = rename.header_writes(named, plan, library.lyrics(spark, args.path)).cache()
+        LOG.info({"headers": heads.count()})  # read before files move
         _finish(plan, args.dry_run)
+        if not args.dry_run:
+            actions.write_texts(heads)
     elif args.verb == "organize":
         plan = albums.with_sidecars(albums.plan_singles(tracks, files, args.target_singles), files).cache()
         empty = albums.emptied_folders(plan, files).cache()
@@ -91,23 +100,35 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             actions.clean_up(empty)
     elif args.verb == "tag":
         s = args.snapshots
-        fallback = "artist_key string, album_key string, pos int, id string, title string, date string"
-        new = enrich.enrich(
-            tracks.where("read_error IS NULL"), releases=_snapshot(spark, s, "releases", schemas.RELEASES), fallback=_snapshot(spark, s, "release_search", fallback), recordings=_snapshot(spark, s, "recordings", schemas.RECORDINGS),
-            fingerprints=_snapshot(spark, s if args.acoustid_key else None, "fingerprints", schemas.FINGERPRINTS), tags=_snapshot(spark, s if args.lastfm_key else None, "tags", schemas.TAGS), market=_snapshot(spark, s if args.discogs_token else None, "market", schemas.MARKET), force=args.force,
-        ).cache()
-        print(reports.tag_statistics(new).first().asDict())
+        keyless = {"fingerprints": args.acoustid_key, "tags": args.lastfm_key, "market": args.discogs_token}
+        tables = {
+            name: _snapshot(spark, s if keyless.get(name, True) else None, file, schema)
+            for name, file, schema in (
+                ("releases", "releases", schemas.RELEASES), ("fallback", "release_search", schemas.RELEASE_SEARCH), ("recordings", "recordings", schemas.RECORDINGS), ("fingerprints", "fingerprints", schemas.FINGERPRINTS),
+                ("tags", "tags", schemas.TAGS), ("market", "market", schemas.MARKET), ("artwork", "artwork", schemas.ARTWORK), ("lyrics", "lyrics", schemas.FOUND_LYRICS), ("stories", "stories", schemas.STORIES),
+            )
+        }
+        options = {"bpm": not args.no_bpm, "replaygain": not args.no_replaygain, "art": not args.no_art, "lyrics": not args.no_lyrics, "force": args.force}
+        readable = tracks.where("read_error IS NULL").repartition(max(args.workers, 1), "parent")
+        new = enrich.tag_album(readable, tables, **options).cache()
+        LOG.info(reports.tag_statistics(new).first().asDict())
+        if args.plan:
+            enrich.desired_tags(new).write.mode("overwrite").parquet(args.plan)
+        if not args.no_lyrics and not args.dry_run:
+            LOG.info({"lyrics": actions.write_texts(enrich.lyrics_writes(new), create=True)})
         if args.json:
             _write_json(reports.tag_report(new, datetime.now(timezone.utc).isoformat()), args.json)
+        if args.json_lines:
+            reports.tag_lines(new).write.mode("overwrite").text(args.json_lines)
         if args.out and not args.dry_run:
             new.write.mode("overwrite").parquet(args.out)
     return 0
 
 
 def _finish(plan: DataFrame, dry: bool) -> None:
-    print({r.kind: r.n for r in actions.summary(plan).collect()})
+    LOG.info({r.kind: r.n for r in actions.summary(plan).collect()})
     if not dry:
-        print({"applied": actions.apply(plan)})
+        LOG.info({"applied": actions.apply(plan)})
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -122,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
     except KeyboardInterrupt:
         return 130
     except CadenzaError as e:
-        print(f"error: {e}", file=sys.stderr)
+        LOG.error(e)
         return 1
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .tables import ARTIST_ALIASES, BRACKET_KEYWORDS, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES, LYRICS_JUNK
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_ENDS = r"^\s+|(?<!\s)\s++\z"  # linear: a run of blanks is entered at its start alone, and never twice
 _BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -28,7 +29,7 @@ def present(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends (SQL trim takes spaces only)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), _ENDS, "")
 
 
 def _folder():
@@ -126,6 +127,10 @@ def bracket_issues(c: Column | str) -> Column:
     return F.transform(bad, lambda g: F.concat(F.lit("Corrupt bracket metadata: '"), g["raw"], F.lit("'")))
 
 
+#: 'Embed' marks at the end, with digits before them on their line; possessive, so that long runs of blanks or digits cost one pass.
+_TRAILING_MARKS = r"(?i)(?:(?:(?<!\s)\s++\d*+|(?<![\s\d])\d*+)[^\S\n]*+(?<![\p{L}\p{N}_])embed)++\z"
+
+
 def clean_lyrics(c: Column | str) -> Column:
     """Lyrics without scraping residue; timestamped lines stay as they are."""
     raw = _col(c)
@@ -133,7 +138,7 @@ def clean_lyrics(c: Column | str) -> Column:
     lines = F.transform(F.split(raw, _BREAKS), lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x))
     kept = F.filter(lines, lambda x: strip(x).rlike(r"^(?:\[|<\d{1,2}:\d{2})") | ~strip(x).rlike(junk))
     text = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
-    return F.when(raw.isNull() | (raw == ""), raw).otherwise(strip(F.regexp_replace(text, r"(?i)(?:\s*\d*[^\S\n]*(?<![\p{L}\p{N}_])embed\s*)+$", "")))
+    return F.when(raw.isNull() | (raw == ""), raw).otherwise(strip(F.regexp_replace(strip(text), _TRAILING_MARKS, "")))
 
 
 _WORD_TIME = r"<\d{1,2}:\d{2}[.:]\d{2,3}>"
@@ -216,6 +221,27 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, part * 100.0 / total).otherwise(F.lit(0.0))
 
 
+def number_after(text: Column | str, pattern: str) -> Column:
+    """The number that the pattern's group catches in a tool's output, null where it is absent."""
+    return F.nullif(F.regexp_extract(_col(text), pattern, 1), F.lit("")).try_cast("double")
+
+
+def rms_amplitude(text: Column | str) -> Column:
+    """The RMS amplitude a spectral tool prints; 0 where it prints none, as for silence."""
+    return F.when(_col(text).isNotNull(), F.coalesce(number_after(text, r"RMS\s+amplitude:\s+([\d.]+)"), F.lit(0.0)))
+
+
+def printed_bpm(text: Column | str) -> Column:
+    """The tempo a tool prints, rounded to one decimal; null where it is absent or not above 0."""
+    n = number_after(text, r"([\d.]+)\s*BPM")
+    return F.when(n > 0, bpm_rounded(n))
+
+
+def path_parts(path: Column | str) -> Column:
+    """Sorts paths by component, as file trees are listed: 'a/b' before 'a-b'."""
+    return F.split(_col(path), "/")
+
+
 def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(_col(path), "/"), -1)
 

@@ -23,6 +23,17 @@ def apply(plan: DataFrame) -> int:
     return done
 
 
+def write_texts(rows: DataFrame, create: bool = False) -> int:
+    """Write (path, text) rows, row by row as they arrive; over files that are there, or, with create, new ones too.  Returns how many."""
+    done = 0
+    for r in rows.toLocalIterator():
+        if create or os.path.exists(r.path):
+            with open(r.path, "w", encoding="utf-8", newline="") as f:
+                f.write(r.text)
+            done += 1
+    return done
+
+
 def clean_up(folders: DataFrame) -> int:
     """Remove folders that are empty by now."""
     done = 0

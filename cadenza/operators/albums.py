@@ -21,8 +21,13 @@ def first_wins(actions: DataFrame) -> DataFrame:
 
 
 def plan_singles(tracks: DataFrame, existing: DataFrame, target: str) -> DataFrame:
-    """(src, dst, kind) moves of single tracks to target/Artist/Artist - Title.ext; taken destinations and later twins are left out."""
+    """(src, dst, kind) moves of single tracks to target/Artist/Artist - Title.ext; taken destinations and later twins are left out.
+
+    Tracks that could not be read (read_error) count as files of their folder but stay where they are.
+    """
     single = folder_classes(tracks).where("is_single").select("parent")
+    if "read_error" in tracks.columns:
+        tracks = tracks.where("read_error IS NULL")
     artist, title = T.sanitize_name("artist"), T.sanitize_name("title")
     dst = F.concat(F.lit(target.rstrip("/") + "/"), artist, F.lit("/"), artist, F.lit(" - "), title, F.col("ext"))
     moves = tracks.join(single, "parent", "left_semi").select(F.col("path").alias("src"), dst.alias("dst"), F.lit("move").alias("kind")).where("src <> dst")

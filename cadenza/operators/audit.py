@@ -16,7 +16,7 @@ def _blacklisted(genre: Column) -> Column:
 def with_issues(tracks: DataFrame, sidecars: DataFrame, spectral: bool = False, threshold: float = 0.001) -> DataFrame:
     """Add ``issues`` (messages in rule order) to tracks that have path, parent, stem, ext, artist, title, genre, checksum_ok, hf_rms and read_error.
 
-    Missing check results (null) raise no issue; of a track that could not be read only the file checks apply.
+    Missing check results (null) raise no issue; a column checksum_error, if there is one, tells why a check failed; of a track that could not be read only the file checks apply.
     """
     flac = F.col("ext") == ".flac"
     read = F.col("read_error").isNull()
@@ -26,6 +26,7 @@ def with_issues(tracks: DataFrame, sidecars: DataFrame, spectral: bool = False,
     joined = tracks.join(has, (F.col("parent") == F.col("_p")) & (F.col("stem") == F.col("_s")), "left").drop("_p", "_s")
     rules = [
         say(flac & ~F.col("checksum_ok"), F.lit("FLAC audio stream MD5 checksum verification failed (corrupted FLAC).")),
+        *([say(flac & F.col("checksum_error").isNotNull(), F.concat(F.lit("Checksum check failed: "), F.col("checksum_error")))] if "checksum_error" in tracks.columns else []),
         *([say(flac & (F.col("hf_rms") < threshold), F.lit("Possible fake lossless (spectral cutoff below 16kHz)."))] if spectral else []),
         F.when(read, T.bracket_issues("artist")).otherwise(none),
         F.when(read, T.bracket_issues("title")).otherwise(none),

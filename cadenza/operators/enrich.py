@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import CadenzaError
 from ..functions import text as T
+from .albums import gain_modes
 
 
 def keyed(tracks: DataFrame) -> DataFrame:
@@ -23,6 +25,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def first_rows(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """What a search gives at most: the first rows of each key."""
+    w = Window.partitionBy(*keys).orderBy("pos", "id")
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """(artist_key, album_key, release_id, release_date): of an artist's releases the first whose title equals or contains the album; else the fallback search's first row.
 
@@ -94,10 +102,37 @@ def enrich(tracks: DataFrame, *, releases: DataFrame, fallback: DataFrame, recor
     return t.withColumns(precedence(force)).drop("fp_mbid", "text_mbid", "release_id", "release_date", "tag_list", "market_year", "market_genre", "measured_bpm", "artist_key", "title_key", "album_key")
 
 
+#: What a caller of ``tag`` may set.
+OPTIONS = {"bpm", "replaygain", "lyrics", "art", "force", "workers"}
+#: Results that a search gives at most: artwork, and an artist's releases.
+ARTWORK_LIMIT, RELEASE_LIMIT = 5, 100
+
+
+def check_options(names) -> None:
+    """Unknown option names are an error, not ignored."""
+    if unknown := sorted(set(names) - OPTIONS):
+        raise CadenzaError(f"unknown options: {', '.join(unknown)}")
+
+
+def artist_requests(tracks: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """(artist_key, artist, key) of the discographies to ask for: one an artist, without those in the cache."""
+    named = tracks.select("artist", T.normalize_text("artist").alias("artist_key")).where("artist_key <> ''")
+    asked = named.groupBy("artist_key").agg(F.min("artist").alias("artist")).withColumn("key", F.concat(F.lit("discography:"), "artist_key"))
+    return asked if cached is None else asked.join(cached.select("key"), "key", "left_anti").select("artist_key", "artist", "key")
+
+
+def artwork_requests(tracks: DataFrame, country: str = "US") -> DataFrame:
+    """One search a (artist_key, album_key): term, entity, country, limit, key."""
+    term = T.query_string("artist", "album")
+    rows = tracks.select("artist_key", "album_key", term.alias("term")).groupBy("artist_key", "album_key").agg(F.min("term").alias("term"))
+    return rows.select("*", F.lit("album").alias("entity"), F.lit(country).alias("country"), F.lit(ARTWORK_LIMIT).alias("limit"), F.concat_ws(":", F.lit("artwork"), "artist_key", "album_key", F.lit("album")).alias("key"))
+
+
 def artwork(tracks: DataFrame, artwork_rows: DataFrame, size: int = 1400) -> DataFrame:
-    """Keyed tracks with the URL of their album's cover."""
-    one = artwork_rows.dropDuplicates(["artist_key", "album_key"]).select("artist_key", "album_key", T.artwork_url(F.slice("results", 1, 5), size).alias("cover_url"))
-    return tracks.join(one, ["artist_key", "album_key"], "left")
+    """Keyed tracks with the URL of their album's cover, for FLAC files only."""
+    tracks = tracks.withColumn("_flac", F.lower("path").endswith(".flac"))
+    one = artwork_rows.groupBy("artist_key", "album_key").agg(F.first("results").alias("results")).select("artist_key", "album_key", T.artwork_url(F.slice("results", 1, ARTWORK_LIMIT), size).alias("cover_url"))
+    return tracks.join(one, ["artist_key", "album_key"], "left").withColumn("cover_url", F.when(F.col("_flac"), F.col("cover_url"))).drop("_flac")
 
 
 def stories(tracks: DataFrame, story_rows: DataFrame) -> DataFrame:
@@ -113,6 +148,38 @@ def lyrics_lookup(tracks: DataFrame, found: DataFrame) -> DataFrame:
     return tracks.join(best, ["artist_key", "title_key"], "left").select("*", *T.lyrics_files("_text")).drop("_text")
 
 
+def tag_album(tracks: DataFrame, tables: dict[str, DataFrame], **options) -> DataFrame:
+    """Tracks after the look-up chain and the optional steps, each of which an option of ``OPTIONS`` turns off.
+
+    tables: releases, fallback, recordings, fingerprints, tags, market, and artwork, lyrics, stories where those steps
+    run.  bpm takes measured_bpm, replaygain adds each folder's gain_mode, art adds cover_url, lyrics adds enhanced and
+    plain sidecar texts; stories are added where the table is given.
+    """
+    check_options(options)
+    on = lambda name: options.get(name, True)
+    if not on("bpm"):
+        tracks = tracks.withColumn("measured_bpm", F.lit(None).cast("double"))
+    names = ("releases", "fallback", "recordings", "fingerprints", "tags", "market")
+    tables = {**tables, "releases": first_rows(tables["releases"], ["artist_key"], RELEASE_LIMIT)}
+    out = keyed(enrich(tracks, **{n: tables[n] for n in names}, force=options.get("force", False)))
+    if on("replaygain"):
+        modes = gain_modes(out.withColumn("ext", F.lower(T.extension("path"))), "parent").select("parent", F.col("mode").alias("gain_mode"))
+        out = out.join(modes, "parent", "left")
+    if on("art"):
+        out = artwork(out, tables["artwork"])
+    if on("lyrics"):
+        out = lyrics_lookup(out, tables["lyrics"])
+    if "stories" in tables:
+        out = stories(out, tables["stories"])
+    return out.drop("artist_key", "title_key", "album_key")
+
+
+def lyrics_writes(tagged: DataFrame) -> DataFrame:
+    """(path, text): the plain sidecar of each track with lyrics, and the word-timed one beside it."""
+    both = [tagged.where(F.length(c) > 0).select(T.with_suffix("path", suffix).alias("path"), F.col(c).alias("text")) for c, suffix in (("plain", ".lrc"), ("enhanced", ".enhanced.lrc"))]
+    return both[0].union(both[1])
+
+
 def desired_tags(tracks: DataFrame) -> DataFrame:
     """(path, tags): what to write into each file, only non-empty fields, in the format's own spelling."""
     flac = F.col("path").rlike(r"(?i)\.flac$")

@@ -1,6 +1,6 @@
 """Collision-free file names.
 
-``stateless`` numbers equal names in path order and ignores what is on disk: one
+``stateless`` numbers equal names in path order (by component) and ignores what is on disk: one
 window.  ``allocate`` follows a folder's files one after the other, with the names
 freed and taken on the way; the state is one folder's names.
 """
@@ -24,7 +24,7 @@ def wanted_names(tracks: DataFrame) -> DataFrame:
 
 def stateless(named: DataFrame) -> DataFrame:
     """Add ``new_name``: the wanted stem, with ' (2)', ' (3)' ... after the first of equal ones in a folder."""
-    w = Window.partitionBy("parent", "wanted", "ext").orderBy("path")
+    w = Window.partitionBy("parent", "wanted", "ext").orderBy(T.path_parts("path"))
     n = F.row_number().over(w)
     return named.withColumn("_n", n).withColumn("new_name", F.concat("wanted", F.when(F.col("_n") > 1, F.format_string(" (%d)", "_n")).otherwise(""), "ext")).drop("_n")
 
@@ -38,7 +38,7 @@ def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
     """
 
     def folder(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("path", kind="stable")
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: pdf["path"].iloc[i].split("/"))]
         own = [p.rsplit("/", 1)[-1] for p in pdf["path"]]
         taken, out, last = set(own), [], {}
         def free(name: str) -> None:
@@ -76,6 +76,16 @@ def rename_actions(allocated: DataFrame, files: DataFrame) -> DataFrame:
     return tracks.withColumn("status", F.lit("planned")).unionByName(lrc.withColumn("status", F.coalesce("_c", F.lit("planned"))).drop("_c"))
 
 
+def header_writes(tracks: DataFrame, plan: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """(path, text) of sidecars whose [ar:] and [ti:] lines must change, at their place after the plan; lyrics are (parent, stem, text)."""
+    moved = plan.where("kind = 'sidecar' AND status = 'planned'").select(F.col("src").alias("lrc"), F.col("dst").alias("to"))
+    named = tracks.select(T.with_suffix("path", ".lrc").alias("lrc"), "artist", "title")
+    texts = lyrics.select(F.concat("parent", F.lit("/"), "stem", F.lit(".lrc")).alias("lrc"), "text")
+    new = T.sync_headers("text", "artist", "title")
+    rows = texts.join(named, "lrc").join(moved, "lrc", "left").select(F.coalesce("to", "lrc").alias("path"), "text", new.alias("new"))
+    return rows.where("text <> new").select("path", F.col("new").alias("text"))
+
+
 def slots(requests: DataFrame, interval: float, keys: list[str], at: str, order: list[str]) -> DataFrame:
     """Add ``slot``: when each request may go if requests of a key are at least ``interval`` apart, in arrival order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

@@ -1,4 +1,4 @@
-"""Reports as one-row tables of JSON."""
+"""Reports as one-row tables of JSON, or as one line a file for large libraries."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ def tag_statistics(tracks: DataFrame) -> DataFrame:
 
 
 def audit_report(audited: DataFrame, target: str) -> DataFrame:
-    """(value): the audit report; the issues map holds files that have any."""
-    per = audited.where(F.size("issues") > 0).agg(F.map_from_entries(F.collect_list(F.struct("path", "issues"))).alias("issues"))
+    """(value): the audit report as one row; its issues map holds files that have any, by path.  For libraries beyond one row's size there is ``audit_lines``."""
+    per = audited.where(F.size("issues") > 0).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "issues")))).alias("issues"))
     c = counters(audited).crossJoin(per)  # one row each
     said = F.format_string(
         f"{GENERATOR} audited %d files in '%s'. Audit status: %d corrupted files, %d missing metadata, %d missing LRCs. Total files with issues: %d.",
@@ -30,6 +30,17 @@ def audit_report(audited: DataFrame, target: str) -> DataFrame:
     return c.select(F.to_json(F.struct(F.lit("audit_report_v1").alias("schema"), F.lit(GENERATOR).alias("generator"), said.alias("llm_summary"), F.lit(target).alias("target_path"), summary.alias("summary"), "issues"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def audit_lines(audited: DataFrame) -> DataFrame:
+    """(value): one JSON object a file that has issues; any number of files, no shuffle."""
+    return audited.where(F.size("issues") > 0).select(F.to_json(F.struct("path", "issues")).alias("value"))
+
+
+def tag_lines(tracks: DataFrame) -> DataFrame:
+    """(value): one JSON object a track."""
+    rows = projection(tracks)
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def tag_report(tracks: DataFrame, now: str) -> DataFrame:
     """(value): the tag report with statistics and all tracks."""
     rows = projection(tracks).agg(F.sort_array(F.collect_list(F.struct(*projection(tracks).columns))).alias("tracks"))

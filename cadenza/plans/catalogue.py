@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES
+from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES, LYRICS_JUNK
 from ..operators import albums, audit, cache, enrich, rename, reports
 
 FLAGSHIP = "audit_summary"
@@ -141,8 +141,9 @@ def lrc_headers(spark, sf_dir):
 
 
 def missing_sidecar(spark, sf_dir):
-    docs, labels = _read(spark, sf_dir, "documents", "labels")
-    return docs.select("doc_id", "source").join(labels.select("doc_id"), "doc_id", "left_anti")
+    tracks, lrc = _tagged_docs(spark, sf_dir)
+    missing = audit.issue_rows(audit.with_issues(tracks, lrc)).where(F.col("issue").contains("(.lrc)"))
+    return missing.select(F.regexp_extract("path", "([0-9]+)[.]flac$", 1).cast("long").alias("doc_id"), T.base_name(T.parent("path")).alias("source"))
 
 
 def _folders(spark, sf_dir) -> DataFrame:
@@ -179,16 +180,19 @@ def first_match_contains(spark, sf_dir):
 
 
 def lookup_fallback(spark, sf_dir):
-    orders, customer = _read(spark, sf_dir, "orders", "customer")
-    first = customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("a"))
-    second = customer.groupBy("c_nationkey").agg(F.min("c_name").alias("b"))
-    joined = orders.join(first, "o_custkey", "left").join(second, F.col("o_orderkey") % 25 == second.c_nationkey, "left")
-    return joined.select("o_orderkey", F.coalesce("a", "b").alias("found"))
+    (part,) = _read(spark, sf_dir, "part")
+    word = lambda n: T.normalize_text(F.element_at(F.split("p_name", " "), n))
+    tracks = part.select(T.normalize_text("p_brand").alias("artist_key"), word(1).alias("album_key"))
+    title, day = F.col("p_name").alias("title"), F.lit("2001-02-03").alias("date")
+    pos, key = F.col("p_partkey").cast("int").alias("pos"), F.col("p_partkey").cast("string").alias("id")
+    releases = part.where("p_partkey % 3 = 0").select(T.normalize_text("p_brand").alias("artist_key"), (F.col("p_partkey") % 90).cast("int").alias("pos"), key, title, day)
+    search = part.where("p_partkey % 2 = 0").select(T.normalize_text("p_brand").alias("artist_key"), word(1).alias("album_key"), pos, F.concat(F.lit("s"), "p_partkey").alias("id"), title, F.lit("1999").alias("date"))
+    return enrich.match_release(tracks, releases, search)
 
 
 def score_threshold_first(spark, sf_dir):
     (emb,) = _read(spark, sf_dir, "embeddings")
-    results = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.struct(x.cast("double").alias("score"), i.cast("string").alias("recording_id")))
+    results = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("score"), i.cast("string").alias("recording_id")))
     return emb.select("vec_id", enrich.first_accepted(results, 0.1).alias("recording_id"))
 
 
@@ -200,15 +204,16 @@ def top5_tags(spark, sf_dir):
 
 def precedence_chain(spark, sf_dir):
     orders, customer, nation = _read(spark, sf_dir, "orders", "customer", "nation")
-    c = customer.select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("own"), "c_nationkey")
-    n = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    joined = orders.join(c, "o_custkey", "left").join(n, "c_nationkey", "left")
-    fp = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))
-    return joined.select("o_orderkey", F.coalesce(T.present("own"), fp, F.col("n_name")).alias("kept"), F.coalesce(F.col("n_name"), fp, T.present("own")).alias("forced"))
-
-
-def _now():
-    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+    c = customer.select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("mbid"), "c_nationkey")
+    n = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("text_mbid"))
+    k = F.col("o_orderkey")
+    joined = orders.join(c, "o_custkey", "left").join(n, "c_nationkey", "left").select(
+        "o_orderkey", "mbid", "text_mbid", F.when(k % 3 == 0, F.col("o_orderpriority")).alias("fp_mbid"), F.when(k % 4 == 0, "a").otherwise("").alias("album_mbid"), F.when(k % 5 > 0, F.lit("rel")).alias("release_id"),
+        F.when(k % 7 == 0, F.lit("1970")).otherwise("").alias("date"), F.when(k % 2 == 0, F.lit("2001-05-06")).alias("release_date"), F.when(k % 3 == 0, F.array(F.lit("rock"))).alias("tag_list"),
+        F.when(k % 8 == 1, F.lit("Jazz")).otherwise("").alias("genre"), F.when(k % 6 > 0, F.lit("1984")).otherwise("0").alias("market_year"), F.when(k % 9 > 0, F.lit("Pop")).alias("market_genre"), F.when(k % 10 == 0, 120.5).alias("measured_bpm"), F.lit(90.0).alias("bpm"),
+    )
+    kept = enrich.precedence()
+    return joined.select("o_orderkey", *(v.alias(n) for n, v in kept.items()), enrich.precedence(force=True)["mbid"].alias("forced_mbid"))
 
 
 def cache_latest(spark, sf_dir):
@@ -216,16 +221,103 @@ def cache_latest(spark, sf_dir):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     at = F.col("ts").cast("timestamp")
     rows = events.select(key.alias("key"), F.col("event_id").cast("string").alias("value_json"), at.alias("stored_at"), (at + F.expr(f"INTERVAL {cache.TTL} SECONDS")).alias("expires_at"))
-    last = rows.agg(F.max("stored_at").alias("now"))
-    live = cache.latest(rows).crossJoin(F.broadcast(last))  # one row
-    return live.select("key", "value_json", (F.col("expires_at") > F.col("now")).alias("live"))
+    old, new = rows.where("value_json % 3 > 0"), rows.where("value_json % 3 = 0")
+    return cache.upsert(old, new).select("key", "value_json")
+
+
+def cache_lookup(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    key, at = F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), F.col("ts").cast("timestamp")
+    live = cache.entry(events.where("event_id % 4 > 0").select(key.alias("key"), F.when(F.col("event_id") % 5 > 0, F.col("event_id").cast("string")).alias("value_json"), at.alias("at")), F.col("at"))
+    asked = events.select(key.alias("key")).distinct()
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    skipped = cache.lookup(asked, live, now, bypass=True).select("key", F.col("value_json").alias("bypassed"))
+    return cache.lookup(asked, live, now).join(skipped, "key")
 
 
 def destination_dedupe(spark, sf_dir):
     (part,) = _read(spark, sf_dir, "part")
-    acts = part.select(F.col("p_partkey").alias("src"), F.concat_ws("/", "p_brand", F.element_at(F.split("p_name", " "), 1)).alias("dst"))
-    taken = part.where("p_partkey % 50 = 0").select(F.concat_ws("/", "p_brand", F.element_at(F.split("p_name", " "), 1)).alias("dst"))
-    return albums.first_wins(acts.join(taken, "dst", "left_anti")).select("src", "dst")
+    plan, _ = _singles(spark, sf_dir)
+    return plan
+
+
+def _library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Tracks in folders of one to many files, some unreadable, and all files: tracks, and lyrics beside every third."""
+    (line,) = _read(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    parent = F.format_string("lib/%d", (k / 3).cast("long"))
+    tracks = line.where("l_orderkey % 2 = 0").select(
+        F.concat(parent, F.format_string("/%d-%d.flac", k, n)).alias("path"), parent.alias("parent"), F.lit(".flac").alias("ext"),
+        F.concat(F.lit("Artist "), (F.col("l_suppkey") % 7).cast("string")).alias("artist"), F.when(n % 4 == 0, F.lit("A/B: live?")).otherwise(F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 50).cast("string"))).alias("title"),
+        F.when(n % 6 != 5, F.col("l_returnflag")).alias("album"), F.when(n % 6 == 5, F.lit("bad header")).alias("read_error"), n.alias("track_number"),
+    )
+    lrc = tracks.where("track_number % 3 = 0").select(T.with_suffix("path", ".lrc").alias("path"), "parent")
+    taken = tracks.where("track_number = 1").select(F.concat(F.lit("singles/"), "artist", F.lit("/"), "artist", F.lit(" - "), "title", F.lit(".flac")).alias("path"), F.lit("singles").alias("parent")).distinct()
+    return tracks, tracks.select("path", "parent").union(lrc).union(taken.where("length(path) % 5 = 0"))
+
+
+def _singles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    tracks, files = _library(spark, sf_dir)
+    return albums.with_sidecars(albums.plan_singles(tracks, files, "singles/"), files), files
+
+
+def emptied_folders(spark, sf_dir):
+    return albums.emptied_folders(*_singles(spark, sf_dir))
+
+
+def first_recording(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    rows = part.select(T.normalize_text("p_brand").alias("artist_key"), T.normalize_text(F.element_at(F.split("p_name", " "), 1)).alias("title_key"), (F.col("p_partkey") % 97).cast("int").alias("pos"), F.when(F.col("p_size") > 10, F.col("p_partkey").cast("string")).otherwise("").alias("id"))
+    return enrich.match_recording(rows)
+
+
+def tag_choice(spark, sf_dir):
+    (events,) = _read(spark, sf_dir, "events")
+    k = F.col("event_id")
+    user = F.col("user_id").cast("string")
+    rows = events.where("event_id % 11 = 0").select(F.when(k % 2 == 0, user).otherwise("").alias("mbid"), F.concat(F.lit("a"), user).alias("artist_key"), F.lit("t").alias("title_key"), F.when(k % 3 > 0, F.array(F.concat("event_type", F.lit(" rock")), F.lit(""), F.lit("two"))).otherwise(F.array().cast("array<string>")).alias("names"))
+    tracks = events.select("user_id").distinct().select("user_id", F.col("user_id").cast("string").alias("mbid"), F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("artist_key"), F.lit("t").alias("title_key"))
+    return enrich.tag_names(tracks, rows).select("user_id", F.array_join("tag_list", ",").alias("tags"))
+
+
+def market_first(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    rows = part.select(T.normalize_text("p_brand").alias("artist_key"), F.element_at(F.split("p_name", " "), 1).alias("album_key"), (F.col("p_partkey") % 7).cast("int").alias("pos"), F.col("p_partkey").alias("id"), F.lit("x").alias("title"), (1960 + F.col("p_size")).alias("year"), F.split("p_type", " ").alias("genres"))
+    return enrich.market_row(rows)
+
+
+def album_covers(spark, sf_dir):
+    (line,) = _read(spark, sf_dir, "lineitem")
+    covers = line.where("l_orderkey % 3 = 0 AND l_linenumber = 1").select(F.col("l_orderkey").alias("parent"), F.concat(F.lit("cover"), F.col("l_orderkey").cast("string")).alias("cover"))
+    return albums.album_covers(line.select(F.col("l_orderkey").alias("parent"), "l_linenumber"), covers)
+
+
+def artist_requests(spark, sf_dir):
+    (part,) = _read(spark, sf_dir, "part")
+    tracks = part.select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("artist"))
+    cached = part.where("p_size = 1").select(F.concat(F.lit("discography:"), T.normalize_text("p_brand")).alias("key"))
+    return enrich.artist_requests(tracks, cached)
+
+
+def desired_tags(spark, sf_dir):
+    (line,) = _read(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    text = lambda c: c.cast("string")
+    tracks = line.select(
+        F.concat(F.lit("lib/"), text(k), F.lit("-"), text(n), F.when(n % 2 == 0, F.lit(".flac")).otherwise(".mp3")).alias("path"), F.col("l_returnflag").alias("artist"), F.lit("").alias("title"), F.when(n > 2, F.lit("Al")).alias("album"),
+        F.lit(None).cast("string").alias("album_artist"), F.lit("2001").alias("date"), F.col("l_linestatus").alias("genre"), F.when(n > 1, n).alias("track_number"), F.lit("isrc1").alias("isrc"), F.col("l_quantity").cast("double").alias("bpm"),
+        F.lit(None).cast("string").alias("mbid"), F.when(n == 3, F.lit("am")).alias("album_mbid"), F.when(n == 1, -1.5).when(n == 2, 2.25).alias("track_gain"), F.when(n == 2, 0.5).alias("track_peak"),
+    )
+    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return enrich.desired_tags(tracks).select("path", F.array_join(tags, ";").alias("tags"))
+
+
+def tool_numbers(spark, sf_dir):
+    (line,) = _read(spark, sf_dir, "lineitem")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    rms = F.when(n % 3 == 0, F.lit("no such line")).otherwise(F.concat(F.lit("Samples read: 9\nRMS     amplitude:     0.0"), q, F.lit("\nend")))
+    bpm = F.when(n % 4 == 0, F.lit("failed")).when(n % 4 == 1, F.lit("a.mp3: 0.00 BPM")).otherwise(F.concat(F.lit("a.mp3: "), q, F.lit(".25 BPM")))
+    return line.select("l_orderkey", "l_linenumber", T.rms_amplitude(rms).alias("rms"), T.printed_bpm(bpm).alias("bpm"))
 
 
 def _folder_tracks(spark, sf_dir) -> DataFrame:
@@ -245,6 +337,17 @@ def rename_stateful(spark, sf_dir):
     return rename.allocate(_folder_tracks(spark, sf_dir)).select("path", "new_name")
 
 
+def rename_taken_names(spark, sf_dir):
+    """Each folder: 'a' wants 'c', which a text file holds; 'b' wants the name that 'a' leaves; 'd' wants what it has; 'e' wants 'c' as well."""
+    (supplier,) = _read(spark, sf_dir, "supplier")
+    p = F.concat(F.lit("lib/"), F.col("s_suppkey").cast("string"))
+    row = lambda name, wanted, track: F.struct(F.lit(name).alias("name"), F.lit(wanted).alias("wanted"), F.lit(track).alias("is_track"))
+    rows = F.array(row("a", "c", True), row("b", "a", True), row("c", "c", False), row("d", "d", True), row("e", "c", True))
+    named = supplier.select(p.alias("parent"), F.inline(rows)).select("parent", F.concat("parent", F.lit("/"), "name", F.lit(".mp3")).alias("path"), "wanted", F.lit(".mp3").alias("ext"), "is_track")
+    files = named.select("path", "parent").union(supplier.select(p.alias("parent"), F.explode(F.array(F.lit("/a.lrc"), F.lit("/e.lrc"), F.lit("/c (2).lrc"))).alias("name")).select(F.concat("parent", "name"), "parent"))
+    return rename.rename_actions(rename.allocate(named), files)
+
+
 def rate_slots(spark, sf_dir):
     (events,) = _read(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
@@ -272,7 +375,7 @@ def track_numbers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
     single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
-    cache_latest, destination_dedupe, rename_stateless, rename_stateful, rate_slots, json_tags, lookup_keys, track_numbers,
+    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, rate_slots, json_tags, lookup_keys, track_numbers,
 )}
 
 _GENRE = "CASE p_partkey % 8 WHEN 0 THEN 'hip hop' WHEN 1 THEN 'indie rock' WHEN 2 THEN 'Top 40 Pop' WHEN 3 THEN '1,234.5' WHEN 4 THEN p_type WHEN 5 THEN 'rnb' WHEN 6 THEN '90d' ELSE ' acid jazz ' || p_size END"
@@ -281,8 +384,20 @@ _GENRE_MAP = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in GENRE_NAMES.ite
 _ALIAS_MAP = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in ARTIST_ALIASES.items()) + "}"
 _ALIAS = "CASE c_custkey % 5 WHEN 0 THEN ' M.G.L ' WHEN 1 THEN 'Ștefan Cherescu' WHEN 2 THEN 'BUG  mafia' WHEN 3 THEN 'nane' ELSE ' ' || c_name END"
 _NAME = f"regexp_replace(printf('%02d - %s - %s', CAST(CASE WHEN n = 0 THEN 1 ELSE n END AS INT), {_SANITIZE('artist')}, {_SANITIZE('title')}), '\\s+', ' ', 'g')"
+_JUNK = "|".join(f"(?:{p})" for p in LYRICS_JUNK)
 _any = lambda col, terms: "(" + " OR ".join(f"contains({col}, {_q(t.lower())})" for t in terms) + ")"
 
+_PLAN = f"""WITH t AS (SELECT 'lib/' || (l_orderkey // 3) AS parent, 'lib/' || (l_orderkey // 3) || '/' || l_orderkey || '-' || l_linenumber AS base, 'Artist ' || (l_suppkey % 7) AS artist,
+      CASE WHEN l_linenumber % 4 = 0 THEN 'A/B: live?' ELSE l_returnflag || l_linestatus || (l_partkey % 50) END AS title, l_linenumber AS n, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 2 = 0),
+    taken AS (SELECT DISTINCT 'singles/' || artist || '/' || artist || ' - ' || title || '.flac' AS path FROM t WHERE n = 1),
+    files AS (SELECT base || '.flac' AS path, parent FROM t UNION ALL SELECT base || '.lrc', parent FROM t WHERE n % 3 = 0 UNION ALL SELECT path, 'singles' FROM taken WHERE length(path) % 5 = 0),
+    single AS (SELECT parent FROM t GROUP BY parent HAVING count(*) <= 2 OR count(DISTINCT CASE WHEN n % 6 <> 5 THEN flag END) > 1),
+    mv AS (SELECT base || '.flac' AS src, 'singles/' || artist || '/' || artist || ' - ' || {_SANITIZE('title')} || '.flac' AS dst FROM t WHERE n % 6 <> 5 AND parent IN (SELECT parent FROM single)),
+    won AS (SELECT min(src) AS src, dst FROM mv WHERE dst NOT IN (SELECT path FROM files) GROUP BY dst),
+    lrc AS (SELECT replace(src, '.flac', '.lrc') AS src, replace(dst, '.flac', '.lrc') AS dst FROM won),
+    plan AS (SELECT src, dst, 'move' AS kind FROM won UNION ALL SELECT src, dst, 'sidecar' FROM lrc WHERE src IN (SELECT path FROM files) AND dst NOT IN (SELECT path FROM files))
+    """
+
 ORACLE_SQL = {
     "normalize_text": f"SELECT 'doc' AS kind, doc_id AS id, {_NORM('text')} AS normalized FROM documents UNION ALL SELECT 'page', page_id, {_NORM('html')} FROM pages",
     "sanitize_names": f"SELECT 'page' AS kind, page_id AS id, {_SANITIZE('url')} AS safe FROM pages UNION ALL SELECT 'part', p_partkey, {_SANITIZE('p_name')} FROM part",
@@ -299,6 +414,20 @@ ORACLE_SQL = {
     "lrc_headers": """WITH d AS (SELECT doc_id, source, lang, string_split(CASE WHEN doc_id % 2 = 0 THEN '[ar:old]' || chr(10) ELSE '' END || text, chr(10)) AS l FROM documents)
         SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: starts_with(x, '[ar:'))) = 0 THEN '[ar:' || source || ']' || chr(10) ELSE '' END || CASE WHEN len(list_filter(l, lambda x: starts_with(x, '[ti:'))) = 0 THEN '[ti:' || lang || ']' || chr(10) ELSE '' END
         || array_to_string(list_transform(l, lambda x: CASE WHEN starts_with(x, '[ar:') THEN '[ar:' || source || ']' WHEN starts_with(x, '[ti:') THEN '[ti:' || lang || ']' ELSE x END), chr(10)) AS lrc FROM d""",
+    "audit_report": f"""WITH {_TRACKS}, h AS (SELECT path, list_concat(list_filter(issues, lambda x: NOT contains(x, 'fake lossless')), []) AS issues FROM a), m AS (SELECT path, issues, list_transform(issues, lambda x: {_NORM('x')}) AS low FROM h),
+        c AS (SELECT count(*) AS total_files, count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'corrupt') OR contains(x, 'checksum'))) > 0) AS corrupt_files,
+        count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'missing') AND contains(x, 'tag'))) > 0) AS missing_metadata, count(*) FILTER (len(list_filter(low, lambda x: contains(x, 'missing') AND contains(x, 'lrc'))) > 0) AS missing_lrc,
+        count(*) FILTER (len(issues) > 0) AS files_with_issues FROM m),
+        j AS (SELECT string_agg(to_json(path)::VARCHAR || ':' || to_json(issues)::VARCHAR, ',' ORDER BY path) AS per FROM h WHERE len(issues) > 0)
+        SELECT '{{"schema":"audit_report_v1","generator":"{reports.GENERATOR}","llm_summary":"{reports.GENERATOR} audited ' || total_files || ' files in ''lib''. Audit status: ' || corrupt_files || ' corrupted files, ' || missing_metadata
+        || ' missing metadata, ' || missing_lrc || ' missing LRCs. Total files with issues: ' || files_with_issues || '.","target_path":"lib","summary":{{"total_files":' || total_files || ',"corrupt_files":' || corrupt_files
+        || ',"missing_metadata":' || missing_metadata || ',"missing_lrc":' || missing_lrc || ',"files_with_issues":' || files_with_issues || '}},"issues":{{' || coalesce(per, '') || '}}}}' AS value FROM c, j""",
+    "clean_text_lines": rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '12 Contributors' || repeat(chr(10), 3) || '[00:12.00] line' || chr(10) || 'https://x.example/a' || chr(10) || text
+        || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '3 Embed ' ELSE chr(10) || 'You might also like' END END AS t FROM documents),
+        l AS (SELECT doc_id, t, string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM d),
+        k AS (SELECT doc_id, t, list_filter(list_transform(l, lambda x: CASE WHEN {_STRIP('x')} = '' THEN '' ELSE x END), lambda x: regexp_matches({_STRIP('x')}, '^(?:\[|<\d{{1,2}}:\d{{2}})') OR NOT regexp_matches({_STRIP('x')}, {_q(_JUNK)}, 'i')) AS l FROM l),
+        c AS (SELECT doc_id, t, {_STRIP(r"regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS s FROM k)
+        SELECT doc_id, CASE WHEN t IS NULL OR t = '' THEN t ELSE {_STRIP(r"regexp_replace(s, '(?:(?:^|\s)\s*(?:\d+[^\S\n]+)?embed)+$', '', 'i')")} END AS lyrics FROM c""",
     "missing_sidecar": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "single_folders": "SELECT l_orderkey AS parent, count(*) AS n_files, count(DISTINCT l_returnflag) AS n_albums, count(*) <= 2 OR count(DISTINCT l_returnflag) > 1 AS is_single FROM lineitem GROUP BY 1",
     "semi_single": "SELECT l_orderkey AS parent, l_returnflag AS album, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 2 OR count(DISTINCT l_returnflag) > 1)",
@@ -315,16 +444,46 @@ ORACLE_SQL = {
     "first_match_contains": f"""WITH w AS (SELECT DISTINCT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key FROM part),
         r AS (SELECT {_NORM('p_brand')} AS artist_key, p_partkey AS pos, {_NORM('p_name')} AS t FROM part)
         SELECT artist_key, album_key, CAST(min(pos) AS VARCHAR) AS release_id FROM w JOIN r USING (artist_key) WHERE contains(t, album_key) GROUP BY ALL""",
-    "lookup_fallback": """SELECT o_orderkey, coalesce(c.c_name, n.b) AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON o_custkey = c_custkey
-        LEFT JOIN (SELECT c_nationkey, min(c_name) AS b FROM customer GROUP BY 1) n ON o_orderkey % 25 = n.c_nationkey""",
-    "score_threshold_first": "SELECT vec_id, CAST(list_filter(range(0, 8), lambda i: embedding[i + 1]::DOUBLE >= 0.1)[1] AS VARCHAR) AS recording_id FROM embeddings",
+    "lookup_fallback": f"""WITH w AS (SELECT DISTINCT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key FROM part),
+        r AS (SELECT {_NORM('p_brand')} AS artist_key, p_partkey % 90 AS pos, p_partkey::VARCHAR AS id, {_NORM('p_name')} AS t FROM part WHERE p_partkey % 3 = 0),
+        m AS (SELECT artist_key, album_key, min(x).id AS id FROM (SELECT artist_key, album_key, {{'pos': pos, 'id': id}} AS x FROM w JOIN r USING (artist_key) WHERE contains(t, album_key)) GROUP BY ALL),
+        s AS (SELECT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key, 's' || min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL)
+        SELECT artist_key, album_key, coalesce(m.id, s.id) AS release_id, CASE WHEN m.id IS NOT NULL THEN '2001-02-03' ELSE '1999' END AS release_date FROM w LEFT JOIN m USING (artist_key, album_key) LEFT JOIN s USING (artist_key, album_key)
+        WHERE coalesce(m.id, s.id) IS NOT NULL""",
+    "score_threshold_first": "SELECT vec_id, CAST(list_filter(range(0, len(embedding)), lambda i: embedding[i + 1]::DOUBLE >= 0.1)[1] AS VARCHAR) AS recording_id FROM embeddings",
     "top5_tags": f"SELECT user_id, array_to_string(list_transform(list(event_type || '-a' || event_id % 7 ORDER BY event_id)[1:5], lambda x: {_TITLE('x')}), ',') AS tags FROM events GROUP BY 1",
-    "precedence_chain": """WITH j AS (SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN nullif(c_mktsegment, '') END AS own, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS fp, n_name
-        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey) SELECT o_orderkey, coalesce(own, fp, n_name) AS kept, coalesce(n_name, fp, own) AS forced FROM j""",
-    "cache_latest": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, CAST(event_id AS VARCHAR) AS value_json, ts FROM events)
-        SELECT key, value_json, ts + INTERVAL {cache.TTL} SECONDS > (SELECT max(ts) FROM events) AS live FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1""",
-    "destination_dedupe": """WITH a AS (SELECT p_partkey AS src, p_brand || '/' || string_split(p_name, ' ')[1] AS dst FROM part)
-        SELECT min(src) AS src, dst FROM a WHERE dst NOT IN (SELECT dst FROM a WHERE src % 50 = 0) GROUP BY dst""",
+    "precedence_chain": """WITH j AS (SELECT o_orderkey, o_orderkey AS k, CASE WHEN c_acctbal > 0 THEN nullif(c_mktsegment, '') END AS own, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS fp, n_name
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+        g AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'Rock' WHEN k % 8 = 1 THEN 'Jazz' END AS tagged FROM j)
+        SELECT o_orderkey, coalesce(own, fp, n_name) AS mbid, coalesce(CASE WHEN k % 4 = 0 THEN 'a' END, CASE WHEN k % 5 > 0 THEN 'rel' END) AS album_mbid,
+        CASE WHEN k % 7 = 0 THEN '1970' WHEN k % 4 > 0 AND k % 2 = 0 THEN '2001-05-06' WHEN tagged IS NULL AND k % 6 > 0 THEN '1984' END AS date,
+        coalesce(tagged, CASE WHEN k % 9 > 0 THEN 'Pop' END) AS genre, CASE WHEN k % 10 = 0 THEN 120.5::DOUBLE ELSE 90.0::DOUBLE END AS bpm, coalesce(n_name, fp, own) AS forced_mbid FROM g""",
+    "cache_latest": """WITH r AS (SELECT user_id || ':' || event_type AS key, CAST(event_id AS VARCHAR) AS value_json, ts FROM events)
+        SELECT key, value_json FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1""",
+    "cache_lookup": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, event_id, ts FROM events), s AS (SELECT key, CAST(event_id AS VARCHAR) AS value_json, ts FROM r WHERE event_id % 4 > 0 AND event_id % 5 > 0),
+        l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1)
+        SELECT q.key, CASE WHEN l.ts + INTERVAL {cache.TTL} SECONDS > TIMESTAMP '2024-01-15 00:00:00' THEN l.value_json END AS value_json, NULL::VARCHAR AS bypassed FROM (SELECT DISTINCT key FROM r) q LEFT JOIN l USING (key)""",
+    "first_recording": f"""SELECT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS title_key, min({{'pos': p_partkey % 97, 'id': p_partkey::VARCHAR}}).id AS text_mbid FROM part WHERE p_size > 10 GROUP BY ALL""",
+    "tag_choice": f"""WITH r AS (SELECT event_id % 2 = 0 AS by_id, user_id, CASE WHEN event_id % 3 > 0 THEN [event_type || ' rock', '', 'two'] ELSE [] END AS names FROM events WHERE event_id % 11 = 0),
+        i AS (SELECT user_id, min(names) AS a FROM r WHERE by_id GROUP BY 1), n AS (SELECT user_id, min(names) AS b FROM r GROUP BY 1)
+        SELECT u.user_id, array_to_string(list_transform(list_filter(CASE WHEN len(coalesce(a, [])) > 0 THEN a ELSE b END, lambda x: x <> ''), lambda x: {_TITLE('x')}), ',') AS tags
+        FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN i USING (user_id) LEFT JOIN n USING (user_id)""",
+    "market_first": f"""WITH r AS (SELECT {_NORM('p_brand')} AS artist_key, string_split(p_name, ' ')[1] AS album_key, 1960 + p_size AS year, string_split(p_type, ' ')[1] AS genre, p_partkey AS id FROM part)
+        SELECT artist_key, album_key, CAST(year AS VARCHAR) AS market_year, genre AS market_genre FROM r QUALIFY row_number() OVER (PARTITION BY artist_key, album_key ORDER BY id % 7, id) = 1""",
+    "album_covers": "SELECT l_orderkey AS parent, l_linenumber, CASE WHEN l_orderkey % 3 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) THEN 'cover' || l_orderkey END AS cover FROM lineitem",
+    "artist_requests": f"""WITH t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS artist, {_NORM('p_brand')} AS artist_key FROM part)
+        SELECT artist_key, min(artist) AS artist, 'discography:' || artist_key AS key FROM t WHERE artist_key NOT IN (SELECT {_NORM('p_brand')} FROM part WHERE p_size = 1) GROUP BY artist_key""",
+    "desired_tags": """SELECT 'lib/' || l_orderkey || '-' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '.flac' ELSE '.mp3' END AS path, concat_ws(';', CASE WHEN l_linenumber > 2 THEN 'album=Al' END, 'artist=' || l_returnflag,
+        'bpm=' || CASE WHEN l_linenumber % 2 = 0 THEN printf('%.1f', l_quantity::DOUBLE) ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END, 'date=2001', 'genre=' || l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN 'isrc=isrc1' END,
+        CASE WHEN l_linenumber = 3 THEN 'musicbrainz_albumid=am' END, CASE l_linenumber WHEN 1 THEN 'replaygain_track_gain=-1.50 dB' WHEN 2 THEN 'replaygain_track_gain=+2.25 dB' END, CASE l_linenumber WHEN 2 THEN 'replaygain_track_peak=0.500000' END,
+        CASE WHEN l_linenumber > 1 THEN 'tracknumber=' || l_linenumber END) AS tags FROM lineitem""",
+    "tool_numbers": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 0.0::DOUBLE ELSE CAST('0.0' || CAST(l_quantity AS INT) AS DOUBLE) END AS rms,
+        CASE WHEN l_linenumber % 4 > 1 THEN CAST(CAST(l_quantity AS INT) || '.2' AS DOUBLE) END AS bpm FROM lineitem""",
+    "rename_taken_names": """WITH p AS (SELECT 'lib/' || s_suppkey AS p FROM supplier)
+        SELECT p || a AS src, p || b AS dst, kind, status FROM p, (VALUES ('/a.mp3', '/c (2).mp3', 'rename', 'planned'), ('/b.mp3', '/a.mp3', 'rename', 'planned'), ('/e.mp3', '/c (3).mp3', 'rename', 'planned'),
+        ('/a.lrc', '/c (2).lrc', 'sidecar', 'conflict'), ('/e.lrc', '/c (3).lrc', 'sidecar', 'planned')) AS v(a, b, kind, status)""",
+    "destination_dedupe": f"""{_PLAN} SELECT src, dst, kind FROM plan""",
+    "emptied_folders": f"""{_PLAN} SELECT parent FROM files LEFT JOIN (SELECT DISTINCT src FROM plan) ON path = src GROUP BY parent HAVING count(*) = count(src)""",
     "rename_stateless": f"""WITH t AS (SELECT p_brand, p_brand || '/' || printf('%08d', p_partkey) || '.mp3' AS path, p_size % 3 AS n, p_type AS artist, string_split(p_name, ' ')[1] AS title FROM part),
         w AS (SELECT *, {_NAME} AS wanted FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, wanted ORDER BY path) AS k FROM w)
         SELECT path, wanted || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.mp3' AS new_name FROM r""",

@@ -13,6 +13,8 @@ FINGERPRINTS = "fingerprint string, results array<struct<score:double,recording_
 TAGS = "mbid string, artist_key string, title_key string, names array<string>"
 MARKET = "artist_key string, album_key string, pos int, id bigint, title string, year int, genres array<string>"
 ARTWORK = "artist_key string, album_key string, results array<struct<artworkUrl100:string>>"
+FOUND_LYRICS = "artist_key string, title_key string, text string"
+RELEASE_SEARCH = "artist_key string, album_key string, pos int, id string, title string, date string"
 STORIES = "artist_key string, title_key string, plain string"
 CACHE = "key string, value_json string, stored_at timestamp, expires_at timestamp"
 ACTIONS = "src string, dst string, kind string, status string"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import cli
+from cadenza.errors import CadenzaError
 from cadenza.operators import albums, cache, enrich, rename
 from cadenza.sources import library
 
@@ -115,3 +116,79 @@ def test_streaming_audit(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.files, r.files_with_issues) for r in spark.table("audits").collect()] == [(1, 1)]
+
+
+def test_unread_files_stay(spark, tmp_path):
+    for n in ("a.mp3", "b.mp3"):
+        (tmp_path / "lib" / "x").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "lib" / "x" / n).write_bytes(b"")
+    assert cli.main(["organize", str(tmp_path / "lib"), "--target-singles", str(tmp_path / "out")]) == 0
+    assert (tmp_path / "lib/x/a.mp3").exists() and not (tmp_path / "out").exists()
+    t = spark.createDataFrame([("/l/1.mp3", "/l", ".mp3", "Art", "T", "Al", None), ("/l/2.mp3", "/l", ".mp3", None, None, None, "bad")], "path string, parent string, ext string, artist string, title string, album string, read_error string")
+    assert [r.src for r in albums.plan_singles(t, t.select("path", "parent"), "/out").collect()] == ["/l/1.mp3"]
+
+
+def _tracks(spark, rows):
+    from cadenza import schemas
+
+    names = [c.split()[0] for c in schemas.TRACKS.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.TRACKS)
+
+
+def _tables(spark):
+    from cadenza import schemas as s
+
+    made = {
+        "releases": ([], s.RELEASES), "fallback": ([], s.RELEASE_SEARCH), "recordings": ([], s.RECORDINGS), "fingerprints": ([], s.FINGERPRINTS), "tags": ([], s.TAGS), "market": ([], s.MARKET),
+        "artwork": ([("art", "al", [("http://x/100x100bb.jpg",)])], s.ARTWORK), "lyrics": ([("art", "t", "[00:01.00] <00:01.00>la")], s.FOUND_LYRICS), "stories": ([("art", "t", "A story.")], s.STORIES),
+    }
+    return {k: spark.createDataFrame(rows, schema) for k, (rows, schema) in made.items()}
+
+
+def test_each_tag_option_changes_the_plan(spark):
+    t = _tracks(spark, [{"path": "/l/1.flac", "parent": "/l", "artist": "Art", "title": "T", "album": "Al", "bpm": 90.0}]).withColumn("measured_bpm", F.lit(120.0))
+    tables = _tables(spark)
+    full = enrich.tag_album(t, tables).first()
+    assert (full.bpm, full.gain_mode, full.plain, full.enhanced, full.story) == (120.0, "album", "[00:01.00] la", "[00:01.00] <00:01.00>la", "A story.") and "1400x1400" in full.cover_url
+    assert enrich.tag_album(t, tables, bpm=False).first().bpm == 90.0
+    for option, column in (("replaygain", "gain_mode"), ("art", "cover_url"), ("lyrics", "plain")):
+        assert column not in enrich.tag_album(t, tables, **{option: False}).columns
+    assert {r.path for r in enrich.lyrics_writes(enrich.tag_album(t, tables)).collect()} == {"/l/1.lrc", "/l/1.enhanced.lrc"}
+    with pytest.raises(CadenzaError):
+        enrich.tag_album(t, tables, sound=True)
+
+
+def test_tag_and_rename_from_the_command_line(spark, tmp_path, capsys):
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    (lib / "x.mp3").write_bytes(b"")
+    (lib / "x.lrc").write_text("[ar:old]\n[00:01.00] la\n")
+    at = str(tmp_path / "tracks")
+    _tracks(spark, [{"path": f"{lib}/x.mp3", "parent": str(lib), "artist": "Art", "title": "T", "album": "Al", "track_number": 3}]).write.parquet(at)
+    assert cli.main(["tag", str(lib), "--tracks", at, "--no-lyrics", "-w", "2", "--plan", str(tmp_path / "plan"), "--json-lines", str(tmp_path / "lines")]) == 0
+    assert spark.read.parquet(str(tmp_path / "plan")).first().tags["tracknumber"] == "3"
+    assert json.loads(spark.read.text(str(tmp_path / "lines")).first().value)["artist"] == "Art"
+    assert cli.main(["--dry-run", "rename", str(lib), "--tracks", at]) == 0 and (lib / "x.mp3").exists()
+    assert cli.main(["rename", str(lib), "--tracks", at]) == 0
+    assert (lib / "03 - Art - T.lrc").read_text() == "[ti:T]\n[ar:Art]\n[00:01.00] la\n" and (lib / "03 - Art - T.mp3").exists()
+    assert "[INFO]" in capsys.readouterr().out
+
+
+def test_names_are_given_in_order_of_path_components(spark):
+    rows = [("p", "p/a-b/1.mp3", "X", ".mp3"), ("p", "p/a/1.mp3", "X", ".mp3")]
+    df = spark.createDataFrame(rows, "parent string, path string, wanted string, ext string")
+    assert {r.path: r.new_name for r in rename.stateless(df).collect()} == {"p/a/1.mp3": "X.mp3", "p/a-b/1.mp3": "X (2).mp3"}
+    assert {r.path: r.new_name for r in rename.allocate(df).collect()} == {"p/a/1.mp3": "X.mp3", "p/a-b/1.mp3": "X (2).mp3"}
+
+
+def test_requests_are_one_a_key(spark):
+    t = enrich.keyed(spark.createDataFrame([("Art", "T", "Al"), ("ART", "U", "Al"), ("", "V", "")], "artist string, title string, album string"))
+    assert [(r.artist_key, r.artist) for r in enrich.artist_requests(t).collect()] == [("art", "ART")]
+    assert sorted((r.term, r.limit) for r in enrich.artwork_requests(t).collect()) == [("", 5), ("ART Al", 5)]
+
+
+def test_checksum_errors_are_told(spark):
+    from cadenza.operators import audit
+
+    t = spark.sql("SELECT 'a/1.flac' path, 'a' parent, '1' stem, '.flac' ext, 'x' artist, 'y' title, 'Pop' genre, cast(null AS boolean) checksum_ok, 'no such tool' checksum_error, 0.5D hf_rms, cast(null AS string) read_error")
+    assert audit.with_issues(t, t.select("parent", "stem")).first().issues == ["Checksum check failed: no such tool"]

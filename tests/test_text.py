@@ -118,3 +118,10 @@ def test_sql_functions(spark, name):
     want = column(spark, getattr(T, name), values)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
     assert [r.y for r in df.selectExpr("i", f"{name}(x) AS y").orderBy("i").collect()] == want
+
+
+def test_long_runs_of_blanks_and_digits_cost_one_pass(spark):
+    for filler in (" " * 100_000, "\n" * 100_000, "7" * 100_000):
+        text = f"la{filler}la\n3 Embed\n Embed "
+        got = spark.createDataFrame([(text,)], "t string").select(T.clean_lyrics("t").alias("c"), T.strip("t").alias("s")).first()
+        assert got.c == ("la\n\nla" if filler[0] == "\n" else f"la{filler}la") and got.s == text.strip()
