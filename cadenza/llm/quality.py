@@ -9,13 +9,13 @@ Features are presence flags: hashed words and word stems, and hashed steps of te
 (share of distinct words, of letters, of symbols, ...), which words cannot show.
 
 At scale: training rows are at most ``SAMPLE`` labelled documents, chosen by a hash
-of the id, of which only bucket numbers reach the driver.  Scoring is one narrow
+of the id, one text each, of which only bucket numbers reach the driver.  Scoring is one narrow
 pass; the broadcast weight table has ``2**BITS`` entries whatever the input.
 
 Edge cases: a null or empty text has only its statistics; without two grades
 nothing is learned and all rows are kept; several labels of one id count as the
-lowest grade; labels with a null grade or id are ignored; repeated rows are scored
-one by one; further columns are ignored.
+lowest grade; of several texts of one id the one with the least hash teaches;
+labels with a null grade or id are ignored; repeated rows are scored one by one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,10 +79,9 @@ class Model:
 
     def tails(self, bucket: np.ndarray, size: np.ndarray) -> np.ndarray:
         """P(grade > k) for every text and threshold k."""
-        at = np.concatenate([[0], np.cumsum(size)])
-        total = np.zeros(len(bucket) + 1)
-        np.cumsum(self.weights[bucket], out=total[1:])
-        score = np.diff(total[at])
+        score, full = np.zeros(len(size)), np.flatnonzero(size)
+        if len(full):  # each text summed by itself: its score must not depend on its neighbours
+            score[full] = np.add.reduceat(self.weights[bucket], (np.cumsum(size) - size)[full])
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
@@ -154,13 +153,15 @@ def train(docs: DataFrame, graded: DataFrame, grades: int = 3, sample: int = SAM
     """Learn from (doc_id, grade) with grades 0 .. grades - 1."""
     marks = graded.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("_grade"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _src(docs).join(F.broadcast(chosen), "doc_id")
+    rows = rules.one_text_each(docs, chosen)
 
     def run(b: pa.RecordBatch):
         bucket, size = features(b.column(1))
         yield batch(["doc_id", "grade", "bucket"], [b.column(0), b.column(2), bk.lists(bucket, size, pa.int32())])
 
-    got = arrow_map(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, bucket array<int>").toArrow().sort_by("doc_id")
+    rows = rows.select("doc_id", "text", "_grade")
+
+    got = arrow_map(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, bucket array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     grade = got["grade"].to_numpy()
     if len(np.unique(grade)) < 2:
         return None
