@@ -8,13 +8,13 @@ enough; the examples it covers leave and the next rule starts.  ``verdict`` turn
 the list into one ordered Spark conditional expression.
 
 At scale: one narrow pass over the texts, no shuffle but for the labelled sample
-(at most ``SAMPLE`` rows, chosen by a hash of the id), which alone reaches the
+(at most ``SAMPLE`` ids, chosen by a hash of the id, one text each), which alone reaches the
 driver, as numbers.
 
 Edge cases: a null or empty text has no words and fails the base rule; without
 labels the list is empty and keeps all; conflicting labels of one id count as
-bad; null labels and labels without a document are ignored; rows that repeat an
-id are judged one by one; further columns are ignored.
+bad; of several texts of one id the one with the least hash teaches; null labels and
+labels without a document are ignored; rows that repeat an id are judged one by one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,12 +187,20 @@ def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.95, min_cover: int
     return rules
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents of the chosen ids (a bounded table) with its columns; of several texts of one id the one with the least hash, as often as it occurs."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).join(F.broadcast(chosen), "doc_id")
+    least = rows.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+    return rows.join(F.broadcast(least), ["doc_id", "_hash"])
+
+
 def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Ratios and bad flags of at most ``sample`` labelled documents."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") <= 0).cast("int").alias("bad"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = text_statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").selectExpr(*(f"double({e}) AS {n}" for n, e in RATIOS.items()), "bad")
-    got = np.array([tuple(r) for r in rows.limit(4 * sample).collect()], float).reshape(-1, len(RATIOS) + 1)
+    rows = text_statistics(one_text_each(docs, chosen)).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").selectExpr(*(f"double({e}) AS {n}" for n, e in RATIOS.items()), "bad")
+    got = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, len(RATIOS) + 1)  # at most ``sample`` rows
     got = got[np.lexsort(got.T)]  # the order of rows from executors must not matter
     return got[:, :-1], got[:, -1]
 
