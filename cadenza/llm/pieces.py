@@ -7,7 +7,8 @@ scores (or, for a model of BPE type, merges ranked by the same scores), byte
 fallback and the decoder.  Batches are encoded by the library's threads, and
 ``parity`` compares ids and decoded texts with the sentencepiece library.
 
-If no piece holds the marker after another character, merges never cross a word
+Control, unknown and byte pieces, and unused ones of unigram models, never match text;
+models with user-defined pieces are refused.  If no piece holds the marker after another character, merges never cross a word
 start, and texts are cut there first; the library then caches whole words.
 
 At scale: one narrow pass; the model's bytes (checked: at most ``MODEL_BYTES``) are
@@ -22,6 +23,7 @@ from __future__ import annotations
 import os
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -118,6 +120,8 @@ def parse(data: bytes) -> Model:
                     m.escape = bool(v)
     if m.suffix_marker or not m.escape:
         raise ValueError("models with a suffix marker or without escaped white space are not supported")
+    if any(kind == USER or kind == UNUSED and not m.unigram for _, _, kind in m.pieces):
+        raise ValueError("user-defined pieces, and unused ones in BPE models, are not supported")
     return m
 
 
@@ -141,7 +145,9 @@ def build(data: bytes):
     m = parse(data)
     unk = next(i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN)
     if m.unigram:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unk, byte_fallback=m.byte_fallback)
+        # normalised texts hold no blank, so a name with one matches nothing; the scores of such pieces must not be the least
+        low = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        model = models.Unigram([(p, s) if kind == NORMAL else (f" {p}", low) for p, s, kind in m.pieces], unk_id=unk, byte_fallback=False)
     else:
         model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
     tok = Tokenizer(model)
@@ -153,23 +159,42 @@ def build(data: bytes):
     tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER)):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    decode = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    hidden = [decoders.Replace(f" {p}", {CONTROL: "", UNKNOWN: " \u2047 "}.get(kind, p)) for p, _, kind in m.pieces if kind != NORMAL] if m.unigram else []
+    decode = [*hidden, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     tok.decoder = decoders.Sequence([*decode, decoders.Strip(" ", 1, 0)] if m.dummy_prefix else decode)
     return tok
 
 
-_built: dict[int, object] = {}
-
-
+@lru_cache(maxsize=2)
 def _tokenizer(data: bytes, threads: int):
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    if id(data) not in _built:
-        _built[id(data)] = (build(data), data)
-    return _built[id(data)][0]
+    return build(data)
+
+
+@lru_cache(maxsize=2)
+def _byte_ids(data: bytes) -> tuple[int, list[int]] | None:
+    """The unknown piece and the pieces of all bytes of a unigram model with byte fallback."""
+    m = parse(data)
+    at = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+    names = [f"<0x{b:02X}>" for b in range(256)]
+    if not m.unigram or not m.byte_fallback or not all(n in at for n in names):
+        return None
+    return next(i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN), [at[n] for n in names]
+
+
+def encode_ids(texts: list[str], data: bytes, threads: int = THREADS) -> list[list[int]]:
+    """Ids of a batch by the library's threads; in unigram models what no piece covers becomes its bytes."""
+    tok, fallback = _tokenizer(data, threads), _byte_ids(data)
+    if fallback is None:
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    unk, of = fallback
+    return [[j for i, t in zip(e.ids, e.tokens, strict=True) for j in ([of[x] for x in t.encode()] if i == unk else [i])] if unk in e.ids else e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def load(path: str = MODEL) -> bytes:
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no SentencePiece model at {path}; name one by the argument or CADENZA_SENTENCEPIECE_MODEL")
     data = Path(path).read_bytes()
     if len(data) > MODEL_BYTES:
         raise ValueError(f"a model of {len(data)} bytes is not broadcast; the limit is {MODEL_BYTES}")
@@ -181,7 +206,7 @@ def parity(texts: list[str], data: bytes) -> list[int]:
     import sentencepiece
 
     ref, tok = sentencepiece.SentencePieceProcessor(model_proto=data), build(data)
-    ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    ids = encode_ids(texts, data)
     want = ref.encode(texts, num_threads=1)
     back = tok.decode_batch(ids, skip_special_tokens=False)
     return [i for i in range(len(texts)) if ids[i] != want[i] or back[i] != ref.decode(want[i])]
@@ -195,7 +220,7 @@ def encode(docs: DataFrame, data: bytes, threads: int = THREADS) -> DataFrame:
         tok = _tokenizer(shared.value, threads)
         for t in bk.slices(b.column(1), 1 << 19):
             texts = b.column(1).slice(t.lo, len(t)).to_pylist()
-            ids = [e.ids for e in tok.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+            ids = encode_ids([x or "" for x in texts], shared.value, threads)
             back = tok.decode_batch(ids, skip_special_tokens=False)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)])
