@@ -10,7 +10,7 @@ kind; the first is the one with the least (doc_id, text hash, place).  Runs of
 both kinds together cover every sentence of any repeated passage of 2 *
 MIN_WORDS + 1 words that begins and ends at sentence bounds.
 
-A passage need not keep to sentence bounds, nor do cuts counted from a sentence's
+With ``words`` more goes: a passage need not keep to sentence bounds, nor do cuts counted from a sentence's
 start fall alike in two copies that begin within it.  So stretches of words are
 hashed too: they begin and end at anchors, which are words whose ``GRAM`` words
 have the least hash of some window of them, and have MIN_WORDS words or more.
@@ -21,8 +21,8 @@ need be from the midst of a sentence.
 At scale: hashes are counted before the shuffle, so that a passage in a third of
 all documents arrives once a task; only runs that occur again are kept, by a
 sort-merge join whose hot keys Spark splits, and the first of each kind is sought
-among these.  They and what goes are written, which lets Spark drop the shuffled
-runs; documents are joined to the list of their own.
+among these.  Runs are written once, as are those that occur again, so that both sides
+of each join have an exchange of their own; documents are joined to the list of their own.
 
 Edge cases: null and empty texts have no sentences and stay as they are; texts
 without words too; rows that repeat both id and text are one document and get
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .runtime import arrow_map, batch, table
+from .runtime import arrow_map, batch, free_name, table
 
 MIN_WORDS, LONGEST, GRAM = 25, 20, 4
 _STRETCH = np.uint64(0xA24BAED4963EE407)  # keeps hashes of stretches apart from those of runs
@@ -124,7 +124,7 @@ def _id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST, words: bool = True) -> DataFrame:
     """(doc_id, text_hash, gone): what goes from each document that loses any, as runs of n sentences or, n below 0, of -n words."""
 
     def run(b: pa.RecordBatch):
@@ -132,19 +132,19 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST
             s = sentences(t, longest)
             lo, hi, h = runs(s, min_words)
             d = s.doc[lo]
-            first, end, doc, more = stretches(s.words, min_words)
+            first, end, doc, more = stretches(s.words, min_words) if words else (lo[:0], lo[:0], lo[:0], h[:0])
             if len(h) + len(more):
                 take = pa.array(np.concatenate([d, doc]) + t.lo)
                 at, n = np.concatenate([lo - s.bounds[d], first - s.words.bounds[doc]]), np.concatenate([hi - lo, first - end])
                 yield batch(["doc_id", "text_hash", "run", "lo", "n"], [b.column(0).take(take), b.column(1).take(take), np.concatenate([h, more]).view(np.int64), at.astype(np.int32), n.astype(np.int32)])
 
     src = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = arrow_map(src, run, f"doc_id {_id_type(docs)}, text_hash bigint, run bigint, lo int, n int")
+    found = table(arrow_map(src, run, f"doc_id {_id_type(docs)}, text_hash bigint, run bigint, lo int, n int"))
     place = F.struct("doc_id", "text_hash", "lo")
-    again = found.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select(F.col("run").alias("again"))
-    found = table(found.join(again, F.col("run") == F.col("again")).drop("again"))
-    first = found.groupBy("run").agg(F.min(place).alias("first")).withColumnRenamed("run", "again")
-    later = found.join(first, F.col("run") == F.col("again")).where(~place.eqNullSafe(F.col("first")))
+    again = table(found.groupBy("run").agg(F.count("*").alias("times")).where("times > 1").select("run"))
+    found = table(found.join(again, "run"))
+    first = table(found.groupBy("run").agg(F.min(place).alias("first")))
+    later = found.join(first, "run").where(~place.eqNullSafe(F.col("first")))
     return table(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "n")).alias("gone")))
 
 
@@ -184,12 +184,12 @@ def count_names(docs: DataFrame) -> tuple[str, str]:
     return f"{prefix}n_sentences", f"{prefix}n_removed"
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST) -> DataFrame:
-    """All columns of documents with the shortened text, and n_sentences and n_removed (see count_names)."""
-    counts = count_names(docs)
-    gone = removals(docs, min_words, longest).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("__text_hash", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__gone_id"]) & keyed["__text_hash"].eqNullSafe(gone["__gone_hash"]), "left").drop("__gone_id", "__gone_hash", "__text_hash")
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST, words: bool = True) -> DataFrame:
+    """All columns of documents with the shortened text, and n_sentences and n_removed (see count_names).  Without ``words`` only whole sentences go."""
+    counts, own = count_names(docs), free_name(docs, "gone")
+    gone = removals(docs, min_words, longest, words).select(F.col("doc_id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_hash"), F.col("gone").alias(own))
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn(f"{own}_text", F.xxhash64("text"))
+    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[f"{own}_id"]) & keyed[f"{own}_text"].eqNullSafe(gone[f"{own}_hash"]), "left").drop(f"{own}_id", f"{own}_hash", f"{own}_text")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(b: pa.RecordBatch):
@@ -208,4 +208,4 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONG
 
 def op6_sentence_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return deduplicate(docs, words=False).select("doc_id", "n_sentences", "n_removed", "text")
