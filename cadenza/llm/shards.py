@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import free_name, table
 
 BITS, SHARDS = 5, 40
 
@@ -88,11 +88,20 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write all columns of documents, one folder a shard, each in curve order."""
-    placed = shard_rows(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
+    """Write all columns of documents, one folder a shard (shard=0, ...; with underscores before the name where documents have such a column), each in curve order.
+
+    A shard is written by as many tasks as its share of all rows asks for, each a run of the curve.  Rows that
+    repeat id and text go to one place; null ids are kept; an empty table gives an empty folder.
+    """
+    name = free_name(docs, "shard")
+    own = f"{name}_own"
+    placed = shard_rows(docs, shards).select(F.col("doc_id").alias(f"{own}_id"), F.col("text_crc32").alias(f"{own}_crc"), F.col("shard").alias(name), F.col("slot").alias(f"{own}_slot"))
+    placed = placed.groupBy(f"{own}_id", f"{own}_crc").agg(F.min(F.struct(name, f"{own}_slot")).alias(own)).select(f"{own}_id", f"{own}_crc", f"{own}.*")
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    out = docs.withColumn("_docs_crc", crc).join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_docs_crc") == F.col("_crc"))).drop("_id", "_crc", "_docs_crc")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    keyed = docs.withColumn(f"{own}_text", crc)
+    out = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed[f"{own}_id"]) & (keyed[f"{own}_text"] == placed[f"{own}_crc"]))
+    ordered = out.repartitionByRange(name, f"{own}_slot").sortWithinPartitions(name, f"{own}_slot")
+    ordered.select(*docs.columns, name).write.partitionBy(name).parquet(path)
 
 
 def op10_hilbert_shards(spark, sf_dir: str) -> DataFrame:
