@@ -12,6 +12,9 @@ the string are files as well.  Common prefixes are carried along: two suffixes
 induced into one bucket share one character more than the least value passed
 between their sources, which a monotone stack answers.
 
+What stays in memory: the queues' tuples, one block of each open run, and a stack no
+deeper than the longest common prefix.
+
 Edge cases: an empty string has no suffixes; one of a single character has one.
 """
 
@@ -28,11 +31,13 @@ import numpy as np
 
 MEMORY = 1 << 18
 BLOCK = 1 << 12
+#: Rows read from a spilled run at once; runs that are open at once.
+READ, FAN = 64, 64
 _serial = itertools.count()
 
 
 class DiskQueue:
-    """A priority queue of integer tuples, smallest first; beyond ``memory`` tuples it spills sorted runs."""
+    """A priority queue of integer tuples, smallest first; beyond ``memory`` tuples it spills sorted runs, and ``FAN`` runs become one."""
 
     def __init__(self, folder: Path, width: int, memory: int = MEMORY):
         self.folder, self.width, self.memory = folder, width, max(memory, 2)
@@ -44,12 +49,22 @@ class DiskQueue:
         heapq.heappush(self.heap, item)
         if len(self.heap) > self.memory:
             self.heap.sort()
-            path = self.folder / f"run-{next(_serial)}"
-            np.array(self.heap, np.int64).tofile(path)
-            self.heap = []
-            run = read_rows(path, self.width)
-            self.runs.append(run)
-            heapq.heappush(self.heads, (next(run), len(self.runs) - 1))
+            part, self.heap = self.heap, []
+            self._add(iter(part))
+            if len(self.runs) >= FAN:
+                before = [itertools.chain((head,), self.runs[r]) for head, r in self.heads]
+                self.runs, self.heads = [], []
+                self._add(heapq.merge(*before))
+
+    def _add(self, rows: Iterator[tuple]) -> None:
+        path = self.folder / f"run-{next(_serial)}"
+        with open(path, "wb") as f:
+            while part := list(itertools.islice(rows, BLOCK)):
+                np.array(part, np.int64).tofile(f)
+        run = read_rows(path, self.width)
+        self.runs.append(run)
+        if (first := next(run, None)) is not None:
+            heapq.heappush(self.heads, (first, len(self.runs) - 1))
 
     def peek(self) -> tuple | None:
         if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
@@ -69,9 +84,9 @@ class DiskQueue:
 
 
 def read_rows(path: Path, width: int) -> Iterator[tuple]:
-    """Rows of a file in blocks; the file goes when it is read."""
+    """Rows of a file, a few at a time; the file goes when it is read."""
     with open(path, "rb") as f:
-        while len(rows := np.fromfile(f, np.int64, BLOCK * width)):
+        while len(rows := np.fromfile(f, np.int64, READ * width)):
             yield from map(tuple, rows.reshape(-1, width).tolist())
     path.unlink()
 
@@ -117,18 +132,36 @@ class LeastSince:
         return self.values[bisect_right(self.steps, step)]
 
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """True for S-type positions; the last suffix is S-type, being the sentinel's."""
+def on_disk(folder: Path, kind: type, size: int) -> np.ndarray:
+    """An array of zeros in a file."""
+    return np.memmap(folder / f"array-{next(_serial)}", kind, "w+", shape=max(size, 1))[:size]
+
+
+def _types(text: np.ndarray, folder: Path) -> np.ndarray:
+    """True for S-type positions, in a file; the last suffix is S-type, being the sentinel's."""
     n = len(text)
-    out = np.ones(n, bool)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    rising = text[differs] < text[differs + 1]
-    at = np.searchsorted(differs, np.arange(n - 1))
-    inside = at < len(differs)
-    out[: n - 1][inside] = rising[at[inside]]
+    out = on_disk(folder, np.bool_, n)
+    out[n - 1] = after = True
+    for lo in reversed(range(0, n - 1, BLOCK)):
+        hi = min(lo + BLOCK, n - 1)
+        part = np.asarray(text[lo : hi + 1])
+        differs = np.flatnonzero(part[1:] != part[:-1])
+        rising = np.append(part[differs] < part[differs + 1], after)
+        out[lo:hi] = rising[np.searchsorted(differs, np.arange(hi - lo))]
+        after = bool(out[lo])
     return out
 
 
+def _stars(kinds: np.ndarray, folder: Path) -> np.ndarray:
+    """Leftmost-S positions in text order, in a file."""
+    out = Column(folder)
+    for lo in range(0, len(kinds) - 1, BLOCK):
+        part = np.asarray(kinds[lo : lo + BLOCK + 1])
+        for i in (np.flatnonzero(part[1:] & ~part[:-1]) + lo + 1).tolist():
+            out.append(i)
+    return out.done()
+
+
 def _common(text: np.ndarray, a: int, b: int) -> int:
     """Shared prefix of two suffixes by comparison, used where buckets and substrings meet."""
     n, step, got = len(text), 16, 0
@@ -145,8 +178,7 @@ def _common(text: np.ndarray, a: int, b: int) -> int:
 
 def _sorted_pieces(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folder: Path, memory: int) -> Iterator[tuple[bytes, int]]:
     """(key, number) of the leftmost-S substrings in order, by an external merge sort; of equal characters L-type ones come first."""
-    ends = np.append(stars[1:], len(text) - 1)
-    runs, part = [], []
+    runs, part, size = [], [], 0
 
     def spill():
         part.sort()
@@ -165,14 +197,17 @@ def _sorted_pieces(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folde
 
     for lo in range(0, len(stars), BLOCK):
         hi = min(lo + BLOCK, len(stars))
-        a, b = stars[lo], ends[hi - 1] + 1
+        begin = np.asarray(stars[lo:hi])
+        ends = np.append(begin[1:], stars[hi] if hi < len(stars) else len(text) - 1)
+        a, b = int(begin[0]), int(ends[-1]) + 1
         raw = (text[a:b].astype(np.int64) * 2 + kinds[a:b]).astype(">u8" if text.dtype.itemsize > 4 else ">u4")
-        base, w = int(stars[lo]), raw.dtype.itemsize
+        base, w = a, raw.dtype.itemsize
         data = raw.tobytes()
-        part += [(data[(a - base) * w : (b + 1 - base) * w], i) for i, a, b in zip(range(lo, hi), stars[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
-        if len(part) > memory:
+        part += [(data[(a - base) * w : (b + 1 - base) * w], i) for i, a, b in zip(range(lo, hi), begin.tolist(), ends.tolist(), strict=True)]
+        size += len(data)
+        if len(part) > memory or size > 64 * memory:
             spill()
-            part = []
+            part, size = [], 0
     if not runs:
         part.sort()
         yield from part
@@ -217,8 +252,8 @@ def suffix_order(text: np.ndarray, folder: Path | None = None, memory: int = MEM
         return
     with tempfile.TemporaryDirectory(dir=folder) as d:
         own = Path(d)
-        kinds = _types(text)
-        stars = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
+        kinds = _types(text, own)
+        stars = _stars(kinds, own)
         star_at, star_lcp = _star_order(text, kinds, stars, own, memory)
         yield from _induce(text, kinds, star_at, star_lcp, own, memory)
 
@@ -235,7 +270,8 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
     # ascending: L-type suffixes from leftmost-S ones and from each other
     queue = DiskQueue(folder, 4, memory)
     low_at, low_lcp, low_char = Column(folder), Column(folder), Column(folder)
-    least, last_in = LeastSince(), {}
+    letters = 1 + max(int(text[lo : lo + BLOCK].max()) for lo in range(0, len(text), BLOCK))
+    least, last_in = LeastSince(), on_disk(folder, np.int64, letters)  # the last step that put a suffix into a bucket; 0: none
     seeds = zip(_chars(text, star_at), star_lcp, strict=True)
     seed = next(seeds, None)
     step, previous, last_seed = 0, None, False
@@ -261,20 +297,20 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
         least.add(step, shared)
         previous = (p, c)
         if before >= c and p and not kinds[p - 1]:
-            since = last_in.get(before)
-            queue.push((before, step, p - 1, 0 if since is None else 1 + least.after(since)))
+            since = int(last_in[before])
+            queue.push((before, step, p - 1, 1 + least.after(since) if since else 0))
             last_in[before] = step
     low_at, low_lcp, low_char = low_at.done(), low_lcp.done(), low_char.done()
 
     # descending: S-type suffixes from L-type ones and from each other
     queue = DiskQueue(folder, 4, memory)
     out_at, out_next = Column(folder), Column(folder)  # S-type suffixes downwards, each with the prefix shared with the one above
-    least, last_in = LeastSince(), {}
-    i, step, above = len(low_at) - 1, 0, None
+    least, last_in = LeastSince(), on_disk(folder, np.int64, letters)
+    i, step, above = len(low_at) - 1, 1, None  # step 1 is the sentinel's
     block: list = []
     base = len(low_at)
-    queue.push((-int(text[-1]), 0, len(text) - 1, 0))
-    last_in[int(text[-1])] = 0
+    queue.push((-int(text[-1]), 1, len(text) - 1, 0))
+    last_in[int(text[-1])] = 1
     above_low = -1  # the prefix that the L-type suffix above shares with the one below it
     while i >= 0 or queue.heap or queue.heads:
         head = queue.peek()
@@ -303,8 +339,8 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
         above = (p, c)
         if p and kinds[p - 1]:
             before = int(text[p - 1])
-            since = last_in.get(before)
-            queue.push((-before, step, p - 1, 0 if since is None else 1 + least.after(since)))
+            since = int(last_in[before])
+            queue.push((-before, step, p - 1, 1 + least.after(since) if since else 0))
             last_in[before] = step
     out_at, out_next = out_at.done(), out_next.done()
 

@@ -21,9 +21,10 @@ A window's fate is decided by full equality of its bytes in the sort or, for
 whole pieces and parts, by 64-bit hashes of bytes and lengths.
 
 At scale: 12 bytes of text give about one row of two hashes; texts are shuffled
-twice, joined to their own ranges; thousands of copies arrive once a task; the
-sort's memory is a parameter, the rest is on disk.  A shard holds at least all
-parts that agree in their fixed bytes.
+twice, joined to their own ranges; thousands of copies arrive once a task.  A
+shard's parts, their text, its types, flags and bucket ends are files of the task's
+temporary folder; the queues' memory is a parameter.  A shard holds at least all parts
+that agree in their fixed bytes, so it may be far larger than memory.
 
 Edge cases: null texts are read as empty; texts shorter than LENGTH lose nothing;
 rows that repeat id and text count as copies of each other and get the same
@@ -32,13 +33,17 @@ result each; other columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Iterator
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .induced import MEMORY, suffix_order
+from .induced import MEMORY, Column, on_disk, suffix_order
 from .runtime import arrow_map, batch, ship, table
 
 LENGTH, ANCHOR, STEP = 200, 32, 11
@@ -122,56 +127,108 @@ def _parts(src: DataFrame, contested: DataFrame, length: int, step: int) -> Data
     return arrow_map(joined, run, f"doc_id {kind}, text_hash bigint, fixed bigint, part bigint, lo int, hi int, n bigint, left binary, right binary")
 
 
-def repeated_starts(parts: list[tuple[bytes, int, bytes, int]], step: int, memory: int = MEMORY) -> list[np.ndarray]:
-    """For each (left, name, right, windows) the numbers of its windows that occur elsewhere in the list too, from one suffix order of all.
-
-    A window is the run of ``step`` symbols that begins at its number: bytes, the
-    name of the fixed bytes, and bytes.
-    """
-    size = np.array([len(left) + len(right) + 2 for left, _, right, _ in parts])
-    at = np.concatenate([[0], np.cumsum(size)])
-    raw = np.frombuffer(b"".join(left + b"\0" + right + b"\0" for left, _, right, _ in parts), np.uint8)
-    text = np.zeros(len(raw) + 1, np.uint32)
-    text[:-1] = raw.astype(np.uint32) + 2
-    text[at[1:] - 1] = 1
-    text[at[:-1] + np.array([len(p[0]) for p in parts])] = np.unique(np.array([p[1] for p in parts]), return_inverse=True)[1] + 258
-    hit = np.zeros(len(text), bool)
-    before = -1
-    for i, shared in suffix_order(text, memory=memory):
-        if shared >= step:
-            hit[i] = hit[before] = True
-        before = i
-    return [np.flatnonzero(hit[a : a + p[3]]) for p, a in zip(parts, at.tolist(), strict=False)]
+class Shard:
+    """Parts laid end to end in files; a part is bytes before its fixed ones, their name, bytes after them, and an end mark."""
+
+    def __init__(self, folder: Path):
+        self.folder, self.text, self.at, self.windows = folder, open(folder / "text", "wb"), Column(folder), Column(folder)
+        self.size = self.names = 0
+        self.key = None
+
+    def add(self, left: bytes, fixed: int, right: bytes, windows: int) -> None:
+        """Parts that share their fixed bytes must come one after the other."""
+        self.names += fixed != self.key
+        self.key = fixed
+        self.at.append(self.size)
+        self.windows.append(windows)
+        for raw, end in ((left, self.names + 257), (right, 1)):
+            part = np.empty(len(raw) + 1, np.uint32)
+            part[:-1] = np.frombuffer(raw, np.uint8)
+            part[:-1] += 2
+            part[-1] = end
+            part.tofile(self.text)
+        self.size += len(left) + len(right) + 2
+
+    def repeated(self, step: int, memory: int) -> Iterator[np.ndarray]:
+        """For each part the numbers of its windows that occur elsewhere in the shard too, from one suffix order of all.
+
+        A window is the run of ``step`` symbols that begins at its number.
+        """
+        np.zeros(1, np.uint32).tofile(self.text)
+        self.text.close()
+        at, windows = self.at.done(), self.windows.done()
+        text = np.memmap(self.folder / "text", np.uint32, "r")
+        hit = on_disk(self.folder, np.bool_, len(text))
+        before = -1
+        for i, shared in suffix_order(text, self.folder, memory):
+            if shared >= step:
+                hit[i] = hit[before] = True
+            before = i
+        for a, n in zip(at, windows, strict=True):
+            yield np.flatnonzero(hit[a : a + n])
+
+
+def repeated_starts(parts: Iterable[tuple[bytes, int, bytes, int]], step: int, memory: int = MEMORY) -> Iterator[np.ndarray]:
+    """For each (left, name, right, windows), in order of names, the numbers of its windows that occur elsewhere in the list too."""
+    with tempfile.TemporaryDirectory() as d:
+        shard = Shard(Path(d))
+        for p in parts:
+            shard.add(*p)
+        yield from shard.repeated(step, memory)
 
 
 def _sorted_shards(found: DataFrame, step: int, shard: int, memory: int) -> DataFrame:
     """(doc_id, text_hash, lo, hi) ranges of repeated windows among parts that agree in their fixed bytes."""
 
-    def flush(rows, data):
-        for k, starts in enumerate(repeated_starts(data, step, memory)):
-            if len(starts):
-                cuts = np.flatnonzero(np.diff(starts) > 1)
-                for a, b in zip(starts[np.append(0, cuts + 1)].tolist(), starts[np.append(cuts, len(starts) - 1)].tolist(), strict=True):
-                    yield (*rows[k][:2], rows[k][2] + a, rows[k][2] + b)
-
-    def emit(out, ids):
-        return batch(["doc_id", "text_hash", "lo", "hi"], [pa.array([r[0] for r in out], ids), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int32())])
+    def settle(parts: Shard, path: Path):
+        with pa.OSFile(str(path)) as f:
+            starts = parts.repeated(step, memory)
+            for b in pa.ipc.open_stream(f):
+                row, first, last = [], [], []
+                for k, lo in enumerate(b.column(2).to_pylist()):
+                    if len(s := next(starts)):
+                        cuts = np.flatnonzero(np.diff(s) > 1)
+                        first.append(lo + s[np.append(0, cuts + 1)])
+                        last.append(lo + s[np.append(cuts, len(s) - 1)])
+                        row += [k] * len(first[-1])
+                if row:
+                    yield batch(["doc_id", "text_hash", "lo", "hi"], [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *(np.concatenate(x).astype(np.int32) for x in (first, last))])
+
+    def groups(batches):
+        """Slices of the batches, each followed by whether a shard ends there: between groups, once it is large enough."""
+        size = key = None
+        for b in batches:
+            fixed = b.column(2).to_numpy()
+            long = np.array([len(x) + len(y) + 2 for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)])
+            lo = 0
+            for i in range(b.num_rows):
+                if size is not None and size >= shard and fixed[i] != key:
+                    yield b.slice(lo, i - lo), True
+                    lo, size = i, 0
+                size, key = (size or 0) + int(long[i]), fixed[i]
+            yield b.slice(lo), False
 
     def run(batches):
-        rows, data, size, key, ids = [], [], 0, None, None
-        for b in batches:
-            ids = b.column(0).type
-            cols = [b.column(i).to_pylist() for i in range(7)]
-            for d, h, fixed, lo, hi, left, right in zip(*cols, strict=True):
-                if size >= shard and fixed != key:  # shards end between groups
-                    yield emit(list(flush(rows, data)), ids)
-                    rows, data, size = [], [], 0
-                key = fixed
-                rows.append((d, h, lo))
-                data.append((left, fixed, right, hi - lo + 1))
-                size += len(left) + len(right) + 2
-        if rows:
-            yield emit(list(flush(rows, data)), ids)
+        todo = groups(batches)
+        more = True
+        while more:
+            more = False
+            with tempfile.TemporaryDirectory() as d:
+                parts, path, out = Shard(Path(d)), Path(d) / "rows", None
+                with open(path, "wb") as f:
+                    for b, ends in todo:
+                        rows = b.select([0, 1, 3])
+                        out = out or pa.ipc.new_stream(f, rows.schema)
+                        out.write_batch(rows)
+                        for fixed, lo, hi, left, right in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                            parts.add(left, fixed, right, hi - lo + 1)
+                        if ends:
+                            more = True
+                            break
+                    if out:
+                        out.close()
+                if out:
+                    yield from settle(parts, path)
 
     ship(found.sparkSession)
     kind = found.schema["doc_id"].dataType.simpleString()
