@@ -49,6 +49,13 @@ def test_every_row_gets_a_result(spark, odd, none, bench, name):
     assert OPERATORS[name](spark, none, bench).count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six. " * 9, "a", "b"), (2, "one two three four five six. " * 9, "c", "d")], "doc_id long, text string, `__text_hash` string, `__gone` string")
+    assert spans.deduplicate(docs).columns[:4] == docs.columns and spans.deduplicate(docs).count() == 2
+    kept = ordermin.keep_one(docs)
+    assert kept.columns == docs.columns and [r["__text_hash"] for r in kept.collect()] == ["a"]
+
+
 def test_results_of_odd_rows(spark, odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(odd, bench).collect()}
     assert got[(3, 12)].n_hit == 10 and got[(1, 0)].n_hit == 0 and got[(6, 1)].n_hit == 1 and got[(6, 1)].n_items == 0 and got[(None, 12)]["items"] == ["1"]

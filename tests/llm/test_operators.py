@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import duckdb
@@ -136,6 +138,63 @@ def test_rules_find_a_planted_conjunction_and_agree_with_their_columns(spark):
     assert rules.learn(x[:0], y[:0]) == []
 
 
+def test_verdict_agrees_with_the_rules_on_their_own_columns(spark):
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 40, (400, len(rules.COUNTS))).tolist()
+    df = spark.createDataFrame([tuple(r) for r in counts], ", ".join(f"{c} bigint" for c in rules.COUNTS))
+    x = np.array([tuple(r) for r in df.selectExpr(*(f"double({e})" for e in rules.RATIOS.values())).collect()])
+    learned = rules.learn(x, ((x[:, 1] > 1.2) | (x[:, 8] <= 0.1)).astype(float), precision=0.8) + [[rules.Test(0, True, 30.0), rules.Test(2, False, 0.5)]]
+    kept, fired = rules.verdict(learned)
+    got = [(r.kept, r.fired) for r in df.select(kept.alias("kept"), fired.alias("fired")).collect()]
+    which = [next((i for i, rule in enumerate(learned) if rules._holds(rule, x[k : k + 1])[0]), None) for k in range(len(x))]
+    assert len(learned) > 1 and got == [(w is None, w) for w in which] and any(not k for k, _ in got)
+
+
+def test_quality_scores_against_plain_sums_and_whatever_the_neighbours(spark):
+    docs = [t or "" for _, t in documents(spark)][:60]
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), np.array([-1.0, 1.5]))
+    alone = [model.tails(*quality.features(pa.array([t]))) for t in docs]
+    for t, got in zip(docs, alone, strict=True):
+        f = set(quality.features(pa.array([t]))[0].tolist())
+        z = sum(model.weights[i] for i in f)
+        assert np.allclose(got[0], [1 / (1 + np.exp(h - z)) for h in model.thresholds])
+        stats = len(quality.features(pa.array([""]))[0])
+        assert len(f) <= stats + 3 * len(set(words(t)))
+    for lead in range(3):
+        together = model.tails(*quality.features(pa.array(docs[lead:] + docs[:lead])))
+        assert (together == np.concatenate(alone[lead:] + alone[:lead])).all()
+
+
+def test_ftrl_against_plain_steps():
+    rng = random.Random(6)
+    rows = [(np.array(sorted(rng.sample(range(12), 4)), np.int32), np.array([rng.random() for _ in range(4)])) for _ in range(30)]
+    y = np.array([rng.randrange(3) for _ in rows])
+    l1, l2, alpha, beta = 0.05, 0.1, 0.3, 1.0
+    w, bias = langid.ftrl(rows, y, 12, 3, l1, l2, alpha, beta, epochs=2, seed=5)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(key, l1):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True))
+            scores = [sum(v * weight((f, c), l1) for f, v in x.items()) + weight(("bias", c), 0.0) for c in range(3)]
+            top = [math.exp(s - max(scores)) for s in scores]
+            steps = []
+            for c in range(3):
+                g = top[c] / sum(top) - (c == y[r])
+                steps += [((f, c), g * v, weight((f, c), l1)) for f, v in x.items()] + [(("bias", c), g, weight(("bias", c), 0.0))]
+            for key, g, old in steps:
+                z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / alpha * old
+                n[key] += g * g
+    assert np.allclose(w, [[weight((f, c), l1) for c in range(3)] for f in range(12)]) and np.allclose(bias, [weight(("bias", c), 0.0) for c in range(3)])
+
+
 def test_rules_query(spark):
     rows = QUERIES["op5_decision_list"](spark, BIG).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
@@ -243,6 +302,21 @@ def test_unigram_models_are_rebuilt():
     assert pieces.parity(["ab", "a b", " ab  a ", "ba", "", "abab"], data) == []
 
 
+def test_control_and_byte_pieces_match_no_text():
+    field = lambda n, b: bytes([n << 3 | 2]) + (bytes([len(b)]) if len(b) < 128 else bytes([len(b) & 127 | 128, len(b) >> 7])) + b
+    piece = lambda p, s, k=1: field(1, field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + bytes([0x18, k]))
+    normal = [("▁", -3), ("a", -2), ("b", -2.5), ("▁a", -2.2), ("ab", -2.1), ("<", -5), (">", -5), ("s", -4), ("0", -6), ("x", -6), ("4", -6), ("1", -6)]
+    head = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + piece("bb", 0, 5)
+    tail = field(3, field(1, b"identity") + b"\x18\x01\x20\x01")
+    texts = ["ab <s> a", "<s>", "abba </s>", "", "<0x41> a", "a1"]
+    plain = head + b"".join(piece(p, s) for p, s in normal) + field(2, b"\x18\x01") + tail
+    assert pieces.parity(texts, plain) == [] and 1 not in pieces.encode_ids(["ab <s> a"], plain)[0]
+    with_bytes = head + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(p, s) for p, s in normal) + field(2, b"\x18\x01\x98\x02\x01") + tail
+    assert pieces.parse(with_bytes).byte_fallback and pieces.parity([*texts, "é漢 a", "zz ab"], with_bytes) == []
+    with pytest.raises(ValueError):
+        pieces.build(piece("<unk>", 0, 2) + piece("a", -1) + piece("<usr>", 0, 4) + field(2, b"\x18\x02") + tail)
+
+
 # --- 6
 
 
@@ -330,6 +404,20 @@ def test_suffix_order_against_sorting():
         assert list(induced.suffix_order(np.array(t, np.uint32), memory=rng.choice([4, 50, 1000]))) == want
 
 
+def test_the_sort_takes_no_more_memory_for_longer_shards():
+    def peak(n):
+        rng = np.random.default_rng(n)
+        parts = ((rng.bytes(10), k // 3, rng.bytes(10), 11) for k in range(n))
+        tracemalloc.start()
+        assert sum(1 for _ in suffixes.repeated_starts(parts, 11, memory=200)) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    few, many = peak(2000), peak(8000)
+    assert many < 1.25 * few, (few, many)
+
+
 def brute_repeats(rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = collections.Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
@@ -508,3 +596,27 @@ def test_written_shards_hold_every_document(spark, tmp_path):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     shards.write_shards(docs, str(tmp_path / "out"), 5)
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == docs.count()
+
+
+def test_written_shards_of_odd_tables(spark, tmp_path):
+    rows = [(i, f"text {i % 7}", "own") for i in range(40)] + [(None, "a", "x"), (None, None, "y"), (3, "text 3", "again"), (3, "text 3", "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    shards.write_shards(docs, str(tmp_path / "odd"), 4)
+    got = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(map(repr, got.select("doc_id", "text", "shard").collect())) == sorted(map(repr, docs.collect()))
+    assert got.select("_shard").distinct().count() == 4
+    shards.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+
+
+def test_runs_of_the_curve_let_readers_skip_files(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    rows = shards.shard_rows(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    boxes = collections.defaultdict(lambda: [set(), set(), []])
+    for r in rows:
+        for at, v in zip(boxes[r.shard], (r.lang, r.source, r["size"]), strict=True):
+            at.add(v) if isinstance(at, set) else at.append(v)
+    big = sorted(r["size"] for r in rows)[int(0.95 * len(rows))]
+    share = lambda kind: np.mean([kind(b) for b in boxes.values()])
+    langs, sources = ({r[c] for r in rows} for c in ("lang", "source"))
+    assert np.mean([share(lambda b, x=x: x in b[0]) for x in langs]) < 0.6 and np.mean([share(lambda b, x=x: x in b[1]) for x in sources]) < 0.7
+    assert share(lambda b: max(b[2]) >= big) < 0.6
