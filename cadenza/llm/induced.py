@@ -32,7 +32,7 @@ import numpy as np
 MEMORY = 1 << 18
 BLOCK = 1 << 12
 #: Rows read from a spilled run at once; runs that are open at once.
-READ, FAN = 64, 64
+READ, FAN = 256, 64
 _serial = itertools.count()
 
 
@@ -110,7 +110,7 @@ class Column:
     def done(self) -> np.ndarray:
         self.flush()
         self.file.close()
-        return np.memmap(self.path, np.int64, "r") if self.path.stat().st_size else np.zeros(0, np.int64)
+        return np.memmap(self.path, np.int64, "r").view(np.ndarray) if self.path.stat().st_size else np.zeros(0, np.int64)
 
 
 class LeastSince:
@@ -134,7 +134,7 @@ class LeastSince:
 
 def on_disk(folder: Path, kind: type, size: int) -> np.ndarray:
     """An array of zeros in a file."""
-    return np.memmap(folder / f"array-{next(_serial)}", kind, "w+", shape=max(size, 1))[:size]
+    return np.memmap(folder / f"array-{next(_serial)}", kind, "w+", shape=max(size, 1)).view(np.ndarray)[:size]
 
 
 def _types(text: np.ndarray, folder: Path) -> np.ndarray:
@@ -163,10 +163,17 @@ def _stars(kinds: np.ndarray, folder: Path) -> np.ndarray:
 
 
 def _common(text: np.ndarray, a: int, b: int) -> int:
-    """Shared prefix of two suffixes by comparison, used where buckets and substrings meet."""
-    n, step, got = len(text), 16, 0
+    """Shared prefix of two suffixes by comparison, used where buckets and substrings meet; few characters one by one, then more at once."""
+    char, got = memoryview(text), 0
+    left = len(text) - max(a, b)
+    few = min(8, left)
+    while got < few and char[a + got] == char[b + got]:
+        got += 1
+    if got < few or got == left:
+        return got
+    step = 16
     while True:
-        m = min(step, n - a - got, n - b - got)
+        m = min(step, left - got)
         if m <= 0:
             return got
         differs = np.flatnonzero(text[a + got : a + got + m] != text[b + got : b + got + m])
@@ -218,13 +225,14 @@ def _sorted_pieces(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folde
 
 def _star_order(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folder: Path, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """Leftmost-S suffixes in order, and the prefix each shares with the one before."""
-    names = np.memmap(folder / f"names-{next(_serial)}", np.int64, "w+", shape=len(stars) + 1)
+    names, at = on_disk(folder, np.int64, len(stars) + 1), stars
+    stars, mark = memoryview(stars), memoryview(names)
     order, lcps, before, name = Column(folder), Column(folder), None, 0
-    for key, i in _sorted_pieces(text, kinds, stars, folder, memory):
+    for key, i in _sorted_pieces(text, kinds, at, folder, memory):
         name += before is None or key != before[0]
-        lcps.append(0 if before is None else _common(text, int(stars[i]), int(stars[before[1]])) if key != before[0] else -1)
-        names[i] = name
-        order.append(int(stars[i]))
+        lcps.append(0 if before is None else _common(text, stars[i], stars[before[1]]) if key != before[0] else -1)
+        mark[i] = name
+        order.append(stars[i])
         before = (key, i)
     order, lcps = order.done(), lcps.done()
     if name == len(stars):
@@ -233,8 +241,8 @@ def _star_order(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, folder:
     for i, l in suffix_order(names, folder, memory):
         if i < len(stars):
             # l names agree, which cover the text from one position to the other; the rest is compared
-            got = 0 if last < 0 else int(stars[i + l] - stars[i]) + _common(text, int(stars[i + l]), int(stars[last + l]))
-            order.append(int(stars[i]))
+            got = 0 if last < 0 else stars[i + l] - stars[i] + _common(text, stars[i + l], stars[last + l])
+            order.append(stars[i])
             lcps.append(got)
             last = i
     return order.done(), lcps.done()
@@ -267,11 +275,12 @@ def _chars(text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp: np.ndarray, folder: Path, memory: int) -> Iterator[tuple[int, int]]:
+    char, is_s = memoryview(text), memoryview(kinds)  # single elements come faster from these
     # ascending: L-type suffixes from leftmost-S ones and from each other
     queue = DiskQueue(folder, 4, memory)
     low_at, low_lcp, low_char = Column(folder), Column(folder), Column(folder)
     letters = 1 + max(int(text[lo : lo + BLOCK].max()) for lo in range(0, len(text), BLOCK))
-    least, last_in = LeastSince(), on_disk(folder, np.int64, letters)  # the last step that put a suffix into a bucket; 0: none
+    least, last_in = LeastSince(), memoryview(on_disk(folder, np.int64, letters))  # the last step that put a suffix into a bucket; 0: none
     seeds = zip(_chars(text, star_at), star_lcp, strict=True)
     seed = next(seeds, None)
     step, previous, last_seed = 0, None, False
@@ -282,7 +291,7 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
             low_at.append(p)
             low_lcp.append(shared)
             low_char.append(c)
-            before = int(text[p - 1]) if p else -1
+            before = char[p - 1] if p else -1
             if last_seed:  # an S-type suffix came between: the bucket is new
                 shared = 0
             last_seed = False
@@ -296,8 +305,8 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
         step += 1
         least.add(step, shared)
         previous = (p, c)
-        if before >= c and p and not kinds[p - 1]:
-            since = int(last_in[before])
+        if before >= c and p and not is_s[p - 1]:
+            since = last_in[before]
             queue.push((before, step, p - 1, 1 + least.after(since) if since else 0))
             last_in[before] = step
     low_at, low_lcp, low_char = low_at.done(), low_lcp.done(), low_char.done()
@@ -305,7 +314,7 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
     # descending: S-type suffixes from L-type ones and from each other
     queue = DiskQueue(folder, 4, memory)
     out_at, out_next = Column(folder), Column(folder)  # S-type suffixes downwards, each with the prefix shared with the one above
-    least, last_in = LeastSince(), on_disk(folder, np.int64, letters)
+    least, last_in = LeastSince(), memoryview(on_disk(folder, np.int64, letters))
     i, step, above = len(low_at) - 1, 1, None  # step 1 is the sentinel's
     block: list = []
     base = len(low_at)
@@ -337,29 +346,30 @@ def _induce(text: np.ndarray, kinds: np.ndarray, star_at: np.ndarray, star_lcp:
         step += 1
         least.add(step, gap)
         above = (p, c)
-        if p and kinds[p - 1]:
-            before = int(text[p - 1])
-            since = int(last_in[before])
+        if p and is_s[p - 1]:
+            before = char[p - 1]
+            since = last_in[before]
             queue.push((-before, step, p - 1, 1 + least.after(since) if since else 0))
             last_in[before] = step
     out_at, out_next = out_at.done(), out_next.done()
 
     # merge: in each bucket L-type suffixes come first
+    low_at, low_lcp, low_char, out_at, out_next = map(memoryview, (low_at, low_lcp, low_char, out_at, out_next))
     k, before, below = len(out_at) - 1, None, 0
     j = 0
     while j < len(low_at) or k >= 0:
-        if j < len(low_at) and (k < 0 or low_char[j] <= text[out_at[k]]):
-            p, c = int(low_at[j]), int(low_char[j])
-            shared, low = int(low_lcp[j]) if before is not None and before[2] else 0, True
+        if j < len(low_at) and (k < 0 or low_char[j] <= char[out_at[k]]):
+            p, c = low_at[j], low_char[j]
+            shared, low = low_lcp[j] if before is not None and before[2] else 0, True
             j += 1
         else:
-            p = int(out_at[k])
-            c = int(text[p])
+            p = out_at[k]
+            c = char[p]
             if before is not None and before[1] == c:
                 shared = _common(text, p, before[0]) if before[2] else below
             else:
                 shared = 0
-            below, low = int(out_next[k]), False
+            below, low = out_next[k], False
             k -= 1
         yield p, shared if before is not None and before[1] == c else 0
         before = (p, c, low)

@@ -13,6 +13,7 @@ from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
 from .spans import op6_sentence_spans
+from .suffixes import ORACLE as ORACLE_7
 from .suffixes import op7_external_suffix_sort
 
 QUERIES = {
@@ -30,4 +31,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
     "op3_license_scan": ORACLE_3,
+    "op7_external_suffix_sort": ORACLE_7,
 }

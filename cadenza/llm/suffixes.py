@@ -157,12 +157,12 @@ class Shard:
         np.zeros(1, np.uint32).tofile(self.text)
         self.text.close()
         at, windows = self.at.done(), self.windows.done()
-        text = np.memmap(self.folder / "text", np.uint32, "r")
+        text = np.memmap(self.folder / "text", np.uint32, "r").view(np.ndarray)
         hit = on_disk(self.folder, np.bool_, len(text))
-        before = -1
+        flag, before = memoryview(hit), -1
         for i, shared in suffix_order(text, self.folder, memory):
             if shared >= step:
-                hit[i] = hit[before] = True
+                flag[i] = flag[before] = True
             before = i
         for a, n in zip(at, windows, strict=True):
             yield np.flatnonzero(hit[a : a + n])
@@ -292,6 +292,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     return arrow_map(joined, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     k AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+     r AS (SELECT rid, i FROM k QUALIFY count(*) OVER (PARTITION BY m) > 1),
+     p AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -{LENGTH + 1}) + {LENGTH} AS new FROM r),
+     g AS (SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM p),
+     spans AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY rid, run),
+     gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS s, a AS e FROM spans UNION ALL SELECT rid, max(b), 1 << 40 FROM spans GROUP BY rid),
+     kept AS (SELECT rid, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS h FROM gaps JOIN d USING (rid) GROUP BY rid),
+     gone AS (SELECT rid, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY rid)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN gone USING (rid)
+"""
+
+
 def op7_external_suffix_sort(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
