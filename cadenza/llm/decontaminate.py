@@ -114,8 +114,8 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     bits = items.select(F.shiftrightunsigned("key", 64 - BITMAP_BITS).alias("bit"))
     words = bits.groupBy(F.expr("bit div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("b"))
     out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    for w, b in words.collect():
-        out[w] = b
+    got = words.toArrow()
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out.view(np.uint8)
 
 
