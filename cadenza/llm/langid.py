@@ -13,7 +13,8 @@ of ``2**BITS`` buckets by the number of languages, whatever the input.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is
 every text where nothing could be learned; null ids count as empty strings for
-the fold; very short texts are scored as they are; repeated rows each get a row;
+the fold; a language that the sample misses, as one with fewer than some
+1 in ``SAMPLE`` of the training rows may be, is never predicted; very short texts are scored as they are; repeated rows each get a row;
 further columns are ignored.
 """
 

@@ -299,7 +299,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text,
      p AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -{LENGTH + 1}) + {LENGTH} AS new FROM r),
      g AS (SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM p),
      spans AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY rid, run),
-     gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS s, a AS e FROM spans UNION ALL SELECT rid, max(b), 1 << 40 FROM spans GROUP BY rid),
+     gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS s, a AS e FROM spans UNION ALL SELECT rid, max(b), 1 << 30 FROM spans GROUP BY rid),
      kept AS (SELECT rid, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS h FROM gaps JOIN d USING (rid) GROUP BY rid),
      gone AS (SELECT rid, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY rid)
 SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256

@@ -64,7 +64,7 @@ def test_results_of_odd_rows(spark, odd, bench):
     assert groups.count((3, None)) == 2 and (7, None) in groups  # the null id comes first
     kept = ordermin.keep_one(odd)
     assert kept.columns == odd.columns and [r.doc_id for r in kept.where("text LIKE 'one%' OR text LIKE 'ONE%'").collect()] == [None]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "5", "6", "None", "None"] or kept.where("text IS NULL").count() == 1
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "6", "None", "None"]
     kept_bytes = {r.doc_id: r for r in suffixes.remove_repeats(odd).collect()}
     assert kept_bytes[5].n_removed > 400_000 and kept_bytes[6].n_removed == 0
     assert spans.deduplicate(odd).columns[-2:] == ["_n_sentences", "_n_removed"]
