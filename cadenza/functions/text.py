@@ -48,7 +48,9 @@ def _folder():
 
 
 def fold(c: Column | str) -> Column:
-    return _folder()(_col(c))
+    """Lower case without combining marks; ASCII text never leaves the JVM."""
+    other = _col(c).rlike(r"[^\x00-\x7F]")
+    return F.when(other, _folder()(F.when(other, _col(c)))).otherwise(F.lower(_col(c)))
 
 
 def _clean(folded: Column) -> Column:

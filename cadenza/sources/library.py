@@ -1,17 +1,19 @@
 """A library tree as a table.
 
 ``binaryFile`` skips names that begin with '_' or '.' and reads brackets in paths as
-patterns, so the walk is a Python data source with one partition per entry of the
-root: listing runs in parallel and each task holds one file's row at a time.
+patterns, so the walk is a Python data source.  Folders are opened from the root down
+until there are ``TASKS`` of them, each then a task of its own; a task holds one file's
+row at a time.  ``decoded`` is the seam for whatever reads the files' contents.
 """
 
 from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from ..functions import text as T
 from ..functions.tables import AUDIO_EXTENSIONS
 
 
+TASKS = 64
+
+
 class LibraryWalk(DataSource):
     """Options: path, the root folder."""
 
@@ -40,19 +45,20 @@ class _Reader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[InputPartition]:
-        with os.scandir(self.root) as entries:
-            return [InputPartition(e.path) for e in sorted(entries, key=lambda e: e.name)] or [InputPartition(None)]
+        """(folder, whether with all below it)."""
+        flat, trees = [], [self.root]
+        while trees and len(flat) + len(trees) < TASKS:
+            flat += trees
+            trees = [e.path for t in trees for e in sorted(os.scandir(t), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+        return [InputPartition((f, False)) for f in flat] + [InputPartition((t, True)) for t in trees]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        top = partition.value
-        if top is None:
-            return
-        if not os.path.isdir(top):
-            yield from _row(top)
-            return
-        for folder, _, names in os.walk(top):
+        top, below = partition.value
+        for folder, folders, names in os.walk(top):
             for n in names:
                 yield from _row(os.path.join(folder, n))
+            if not below:
+                folders.clear()
 
 
 def _row(path: str) -> Iterator[tuple]:
@@ -69,6 +75,30 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", T.parent("path").alias("parent"), T.stem("path").alias("stem"), T.extension("path").alias("ext"), "length", "modified")
 
 
+def decoded(files: DataFrame, decode: Callable[[str], dict], schema: str) -> DataFrame:
+    """Files with the fields of decode(path), as the schema names them, and read_error; a file that fails has nulls and its message.
+
+    decode runs on the executors, a batch of paths at a time: tag readers, fingerprints, checksums and tempo tools fit here.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = files.sparkSession
+    out = spark.createDataFrame([], f"path string, {schema}, read_error string").schema
+    fields = to_arrow_schema(out)
+
+    def one(path: str) -> dict:
+        try:
+            return {**decode(path), "path": path, "read_error": None}
+        except Exception as e:  # a row's failure is a value, not the job's
+            return {"path": path, "read_error": f"{type(e).__name__}: {e}"}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([one(p) for p in b.column(0).to_pylist()], fields)
+
+    return files.join(files.select("path").mapInArrow(run, out), "path", "left")
+
+
 def audio(files: DataFrame) -> DataFrame:
     return files.where(F.col("ext").isin(*AUDIO_EXTENSIONS))
 

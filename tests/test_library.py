@@ -25,6 +25,31 @@ def test_walk_sees_hidden_and_bracketed(spark, tree):
     assert [r.text for r in library.lyrics(spark, str(tree)).collect()] == ["[00:01.00] a"]
 
 
+def test_walk_of_deep_and_wide_trees(spark, tmp_path, monkeypatch):
+    want = set()
+    for i in range(9):
+        for j in range(3):
+            f = tmp_path / f"a{i}" / "b" / f"c{j}" / "t.mp3"
+            f.parent.mkdir(parents=True)
+            f.write_bytes(b"")
+            want.add(str(f))
+    (tmp_path / "a0" / "top.mp3").write_bytes(b"")
+    for tasks in (1, 5, 64):
+        monkeypatch.setattr(library, "TASKS", tasks)
+        got = [r.path for r in library.scan(spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(want | {str(tmp_path / "a0" / "top.mp3")})
+
+
+def test_decoders_fill_columns_and_failures_are_rows(spark, tree):
+    def decode(path):
+        if path.endswith(".wav"):
+            raise ValueError("no header")
+        return {"artist": path[-5], "bpm": 90.5}
+
+    got = {r.stem: (r.artist, r.bpm, r.read_error) for r in library.decoded(library.audio(library.scan(spark, str(tree))), decode, "artist string, bpm double").collect()}
+    assert got["x"] == ("x", 90.5, None) and got["z"] == (None, None, "ValueError: no header") and len(got) == 5
+
+
 def test_folder_classes(spark):
     rows = [("a", "X"), ("a", "X"), ("a", "x "), ("b", "X"), ("c", "X"), ("c", "Y"), ("c", None), ("d", None), ("d", None), ("d", "Q")]
     got = {r.parent: r.is_single for r in albums.folder_classes(spark.createDataFrame(rows, "parent string, album string")).collect()}
