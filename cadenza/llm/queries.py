@@ -12,6 +12,7 @@ from .pieces import op4_sentencepiece
 from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
+from .spans import ORACLE as ORACLE_6
 from .spans import op6_sentence_spans
 from .suffixes import ORACLE as ORACLE_7
 from .suffixes import op7_external_suffix_sort
@@ -31,5 +32,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
     "op3_license_scan": ORACLE_3,
+    "op6_sentence_spans": ORACLE_6,
     "op7_external_suffix_sort": ORACLE_7,
 }

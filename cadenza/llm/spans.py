@@ -209,3 +209,23 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONG
 def op6_sentence_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduplicate(docs, words=False).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+_WORD, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+#: DuckDB SQL for the rows of op6_sentence_spans, with ids that do not repeat.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract(text, '^{_GAP}') AS lead, regexp_extract_all(text, '{_WORD}{_GAP}') AS pieces,
+                  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS pos FROM d),
+m AS (SELECT *, coalesce(sum(regexp_matches(piece, '[.!?][ \t\r\n\x0b\x0c]|\n')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark FROM p),
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, mark ORDER BY pos) - 1) % {LONGEST} = 0 AS new FROM m),
+o AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS sid FROM n),
+s AS (SELECT doc_id, sid, min(pos) AS a, max(pos) AS b, string_agg(piece, '' ORDER BY pos) AS piece FROM o GROUP BY doc_id, sid),
+r AS (SELECT x.doc_id, x.sid AS i, y.sid AS j, x.a, y.b FROM s AS x ASOF JOIN s AS y ON x.doc_id = y.doc_id AND x.a + {MIN_WORDS - 1} <= y.b
+      UNION SELECT y.doc_id, x.sid, y.sid, x.a, y.b FROM s AS y ASOF JOIN s AS x ON x.doc_id = y.doc_id AND y.b - {MIN_WORDS - 1} >= x.a),
+g AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(w[a:b], ' ') ORDER BY doc_id, i) AS nth FROM r JOIN d USING (doc_id)),
+x AS (SELECT DISTINCT doc_id, unnest(range(i::BIGINT, j::BIGINT + 1)) AS sid FROM g WHERE nth > 1),
+k AS (SELECT s.doc_id, count(*) AS n_sentences, count(x.sid) AS n_removed, coalesce(string_agg(CASE WHEN s.sid = 1 THEN lead ELSE '' END || piece, '' ORDER BY s.sid) FILTER (x.sid IS NULL), '') AS kept
+      FROM s JOIN d USING (doc_id) LEFT JOIN x ON x.doc_id = s.doc_id AND x.sid = s.sid GROUP BY s.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept, text) AS text FROM d LEFT JOIN k USING (doc_id)
+"""

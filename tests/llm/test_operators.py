@@ -263,7 +263,7 @@ def test_wrapped_and_embedded_licenses_are_found_whole(spark):
     assert (got[2].licenses, got[2].best_containment) == (["MIT-notice"], 1.0) and got[3].licenses == ["short"] and got[4].licenses == []
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op7_external_suffix_sort"])
+@pytest.mark.parametrize("name", ["op3_license_scan", "op6_sentence_spans", "op7_external_suffix_sort"])
 def test_scans_match_sql(spark, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{BIG}/documents.parquet'")
