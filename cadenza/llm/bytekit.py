@@ -182,3 +182,70 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = Non
     offs = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind))
+
+
+def joined(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words of a slice, one space after each but the last of a text: bytes, starts, ends."""
+    size = w.end - w.start
+    gap = np.ones(len(size), np.int64)
+    gap[w.bounds[1:][w.counts > 0] - 1] = 0
+    end = np.cumsum(size + gap) - gap
+    start = end - size
+    out = np.full(int(end[-1]) if len(end) else 0, 32, np.uint8)
+    out[ranges(start, size)] = LOWER[t.buf[ranges(w.start, size)]]
+    return out, start, end
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of every run, end to end."""
+    total = np.cumsum(size)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - size), size)
+
+
+# fixed values: the five primes of XXH64
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of every span of bytes: each step is one numpy pass over all spans that reach it."""
+    size = (end - start).astype(np.int64)
+    pad = np.concatenate([buf, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(pad) - 7, "<u8", pad.data, strides=(1,))
+    half = np.ndarray(len(pad) - 7, "<u4", pad.data, strides=(1,))
+    mixed = lambda lane: _turn(lane * _P2, 31) * _P1
+    s = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        h = np.full(len(size), s + _P5, np.uint64)
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            long = long[np.argsort(-size[long], kind="stable")]
+            stripes = size[long] >> 5
+            v = [np.full(len(long), x, np.uint64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
+            for k in range(int(stripes[0])):
+                on = int(np.searchsorted(-stripes, -k, "left"))  # spans with more than k stripes
+                at = start[long[:on]] + 32 * k
+                for i in range(4):
+                    v[i][:on] = _turn(v[i][:on] + wide[at + 8 * i] * _P2, 31) * _P1
+            acc = _turn(v[0], 1) + _turn(v[1], 7) + _turn(v[2], 12) + _turn(v[3], 18)
+            for x in v:
+                acc = (acc ^ mixed(x)) * _P1 + _P4
+            h[long] = acc
+        h += size.astype(np.uint64)
+        at, rest = start + (size & ~31), size & 31
+        for k in range(3):
+            on = np.flatnonzero(rest >= 8 * (k + 1))
+            h[on] = _turn(h[on] ^ mixed(wide[at[on] + 8 * k]), 27) * _P1 + _P4
+        at, rest = at + (rest & 24), rest & 7
+        on = np.flatnonzero(rest >= 4)
+        h[on] = _turn(h[on] ^ (half[at[on]].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at, rest = at + (rest & 4), rest & 3
+        for k in range(3):
+            on = np.flatnonzero(rest > k)
+            h[on] = _turn(h[on] ^ (pad[at[on] + k].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))

@@ -12,6 +12,7 @@ from .pieces import op4_sentencepiece
 from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
+from .simhash import op13_simhash_pigeonhole
 from .spans import ORACLE as ORACLE_6
 from .spans import op6_sentence_spans
 from .suffixes import ORACLE as ORACLE_7
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op13_simhash_pigeonhole": op13_simhash_pigeonhole,
 }
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
