@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE as ORACLE_1
 from .decontaminate import op1_winnowing_decontamination
+from .divergence import ORACLE as ORACLE_12
+from .divergence import op12_source_divergence
 from .langid import op9_ftrl_language_id
 from .licenses import ORACLE as ORACLE_3
 from .licenses import op3_license_scan
@@ -29,6 +31,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op12_source_divergence": op12_source_divergence,
     "op13_simhash_pigeonhole": op13_simhash_pigeonhole,
 }
 ORACLE_SQL = {
@@ -36,4 +39,5 @@ ORACLE_SQL = {
     "op3_license_scan": ORACLE_3,
     "op6_sentence_spans": ORACLE_6,
     "op7_external_suffix_sort": ORACLE_7,
+    "op12_source_divergence": ORACLE_12,
 }
