@@ -17,6 +17,7 @@ from .shards import op10_hilbert_shards
 from .simhash import op13_simhash_pigeonhole
 from .spans import ORACLE as ORACLE_6
 from .spans import op6_sentence_spans
+from .structure import op11_dial_structure_repair
 from .suffixes import ORACLE as ORACLE_7
 from .suffixes import op7_external_suffix_sort
 
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_ftrl_language_id": op9_ftrl_language_id,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_dial_structure_repair": op11_dial_structure_repair,
     "op12_source_divergence": op12_source_divergence,
     "op13_simhash_pigeonhole": op13_simhash_pigeonhole,
 }
