@@ -274,7 +274,8 @@ def close_links(fps: DataFrame, plan: list[tuple[list[int], int]] | None = None,
     if large.isEmpty():
         return _bucket_links(rows, LIMIT)
     crowded = table(rows.join(large, ["part", "key"], "left_semi").select("fp").distinct())
-    return _bucket_links(rows.join(large, ["part", "key"], "left_anti"), LIMIT).union(_meeting_links(crowded))
+    rest = table(rows.join(large, ["part", "key"], "left_anti"))  # else the join stands for the exchange and the sort, and may become a broadcast
+    return _bucket_links(rest, LIMIT).union(_meeting_links(crowded))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
