@@ -73,6 +73,9 @@ def _snapshot(spark: SparkSession, folder: str | None, name: str, schema: str) -
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if not os.path.isdir(args.path):
         raise AudioError(f"folder not found: {args.path}")
+    if not args.dry_run and args.verb != "audit":
+        for cut_off in actions.unfinished(args.path):
+            LOG.info({"resumed": actions.resume(spark, cut_off)})
     files = library.scan(spark, args.path).cache()
     tracks = load_tracks(spark, files, args.tracks)
     if args.verb == "audit":
@@ -85,19 +88,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.verb == "rename":
         named = rename.wanted_names(tracks.where("read_error IS NULL")).withColumn("is_track", F.lit(True))
         others = files.join(named.select("path"), "path", "left_anti").select("path", "parent", F.col("stem").alias("wanted"), "ext", F.lit(False).alias("is_track"))
-        plan = rename.rename_actions(rename.allocate(named.select("path", "parent", "wanted", "ext", "is_track").unionByName(others)), files).cache()
+        plan = rename.rename_actions(rename.allocate(named.select("path", "parent", "wanted", "ext", "is_track").unionByName(others)), files, named).cache()
         heads = rename.header_writes(named, plan, library.lyrics(spark, args.path)).cache()
-        LOG.info({"headers": heads.count()})  # read before files move
-        _finish(plan, args.dry_run)
-        if not args.dry_run:
-            actions.write_texts(heads)
+        LOG.info({"headers": heads.count()})
+        _finish(args, plan, texts=heads)
     elif args.verb == "organize":
-        plan = albums.with_sidecars(albums.plan_singles(tracks, files, args.target_singles), files).cache()
-        empty = albums.emptied_folders(plan, files).cache()
-        empty.count()
-        _finish(plan, args.dry_run)
-        if not args.dry_run:
-            actions.clean_up(empty)
+        plan = albums.with_sidecars(albums.plan_singles(tracks, files, args.target_singles), files, tracks).cache()
+        _finish(args, plan, folders=albums.emptied_folders(plan, files))
     elif args.verb == "tag":
         s = args.snapshots
         keyless = {"fingerprints": args.acoustid_key, "tags": args.lastfm_key, "market": args.discogs_token}
@@ -114,8 +111,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         LOG.info(reports.tag_statistics(new).first().asDict())
         if args.plan:
             enrich.desired_tags(new).write.mode("overwrite").parquet(args.plan)
-        if not args.no_lyrics and not args.dry_run:
-            LOG.info({"lyrics": actions.write_texts(enrich.lyrics_writes(new), create=True)})
+        if not args.no_lyrics:
+            texts = enrich.lyrics_writes(new).cache()
+            LOG.info({"lyrics": texts.count()})
+            if not args.dry_run:
+                LOG.info({"applied": actions.apply(args.path, texts=texts, create=True)})
         if args.json:
             _write_json(reports.tag_report(new, datetime.now(timezone.utc).isoformat()), args.json)
         if args.json_lines:
@@ -125,10 +125,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
-def _finish(plan: DataFrame, dry: bool) -> None:
+def _finish(args: argparse.Namespace, plan: DataFrame, **more: DataFrame) -> None:
     LOG.info({r.kind: r.n for r in actions.summary(plan).collect()})
-    if not dry:
-        LOG.info({"applied": actions.apply(plan)})
+    if not args.dry_run:
+        LOG.info({"applied": actions.apply(args.path, plan, **more)})
 
 
 def main(argv: list[str] | None = None) -> int:

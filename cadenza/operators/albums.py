@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .rename import sidecar_moves
 
 
 def folder_classes(tracks: DataFrame) -> DataFrame:
@@ -34,11 +35,10 @@ def plan_singles(tracks: DataFrame, existing: DataFrame, target: str) -> DataFra
     return first_wins(moves.join(existing.select(F.col("path").alias("dst")), "dst", "left_anti"))
 
 
-def with_sidecars(moves: DataFrame, existing: DataFrame) -> DataFrame:
-    """Moves plus those of the .lrc files beside them, where there is one and its place is free."""
-    lrc = moves.select(T.with_suffix("src", ".lrc").alias("src"), T.with_suffix("dst", ".lrc").alias("dst"), F.lit("sidecar").alias("kind"))
-    paths = existing.select("path")
-    lrc = lrc.join(paths.withColumnRenamed("path", "src"), "src", "left_semi").join(paths.withColumnRenamed("path", "dst"), "dst", "left_anti")
+def with_sidecars(moves: DataFrame, existing: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """Moves plus those of the .lrc files beside them; one that tracks share goes with the first of them, and of equal free places the first source gets it."""
+    owners = moves.select(F.col("src").alias("path")) if tracks is None else tracks
+    lrc = sidecar_moves(moves, existing, owners).where("status = 'planned'").drop("status")
     return moves.select("src", "dst", "kind").unionByName(lrc)
 
 

@@ -66,23 +66,47 @@ def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
     return cols.groupBy("parent").applyInPandas(folder, "parent string, path string, new_name string")
 
 
-def rename_actions(allocated: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst, kind, status) for tracks and their sidecars; a sidecar whose place is taken is a conflict, never overwritten."""
-    dst = F.concat("parent", F.lit("/"), "new_name")
-    tracks = allocated.select(F.col("path").alias("src"), dst.alias("dst"), F.lit("rename").alias("kind")).where("src <> dst")
+def sidecar_owners(tracks: DataFrame) -> DataFrame:
+    """Tracks (path, ...) of which each is the first, in order of path components, that shares its sidecar; with lrc, the sidecar's path."""
+    named = tracks.withColumn("lrc", T.with_suffix("path", ".lrc"))
+    w = Window.partitionBy("lrc").orderBy(T.path_parts("path"))
+    return named.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def sidecar_moves(moves: DataFrame, files: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(src, dst, kind, status) of the .lrc files beside moved tracks (src, dst): a sidecar goes with the first of the tracks that share it.
+
+    One whose place is taken, by a file that is there or by a sidecar of an earlier source, is a conflict.
+    """
+    owned = sidecar_owners(tracks.select("path")).withColumnRenamed("path", "_owner")
     paths = files.select("path")
-    lrc = tracks.select(T.with_suffix("src", ".lrc").alias("src"), T.with_suffix("dst", ".lrc").alias("dst"), F.lit("sidecar").alias("kind"))
-    lrc = lrc.join(paths.withColumnRenamed("path", "src"), "src", "left_semi").where("src <> dst").join(paths.select(F.col("path").alias("dst"), F.lit("conflict").alias("_c")), "dst", "left")
-    return tracks.withColumn("status", F.lit("planned")).unionByName(lrc.withColumn("status", F.coalesce("_c", F.lit("planned"))).drop("_c"))
+    lrc = moves.select(F.col("src").alias("_owner"), T.with_suffix("dst", ".lrc").alias("dst")).join(owned, "_owner").select(F.col("lrc").alias("src"), "dst")
+    lrc = lrc.where("src <> dst").join(paths.withColumnRenamed("path", "src"), "src", "left_semi").join(paths.select(F.col("path").alias("dst"), F.lit(True).alias("_there")), "dst", "left")
+    first = F.row_number().over(Window.partitionBy("dst").orderBy(T.path_parts("src"))) == 1
+    return lrc.select("src", "dst", F.lit("sidecar").alias("kind"), F.when(F.col("_there").isNull() & first, "planned").otherwise("conflict").alias("status"))
+
+
+def rename_actions(allocated: DataFrame, files: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """(src, dst, kind, status) for tracks and their sidecars; a sidecar whose place is taken is a conflict, never overwritten.
+
+    tracks (path) are all that may own a sidecar, those that keep their names included; without them, the renamed ones.
+    """
+    dst = F.concat("parent", F.lit("/"), "new_name")
+    moves = allocated.select(F.col("path").alias("src"), dst.alias("dst"), F.lit("rename").alias("kind")).where("src <> dst")
+    lrc = sidecar_moves(moves, files, moves.select(F.col("src").alias("path")) if tracks is None else tracks)
+    return moves.withColumn("status", F.lit("planned")).unionByName(lrc)
 
 
 def header_writes(tracks: DataFrame, plan: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """(path, text) of sidecars whose [ar:] and [ti:] lines must change, at their place after the plan; lyrics are (parent, stem, text)."""
-    moved = plan.where("kind = 'sidecar' AND status = 'planned'").select(F.col("src").alias("lrc"), F.col("dst").alias("to"))
-    named = tracks.select(T.with_suffix("path", ".lrc").alias("lrc"), "artist", "title")
+    """(path, text) of sidecars whose [ar:] and [ti:] lines must change, at their place after the plan; lyrics are (parent, stem, text).
+
+    A sidecar names the first of the tracks that share it; one in conflict stays as it is.
+    """
+    moved = plan.where("kind = 'sidecar'").select(F.col("src").alias("lrc"), F.when(F.col("status") == "planned", F.col("dst")).alias("to"), F.col("status").alias("_status"))
+    named = sidecar_owners(tracks).select("lrc", "artist", "title")
     texts = lyrics.select(F.concat("parent", F.lit("/"), "stem", F.lit(".lrc")).alias("lrc"), "text")
     new = T.sync_headers("text", "artist", "title")
-    rows = texts.join(named, "lrc").join(moved, "lrc", "left").select(F.coalesce("to", "lrc").alias("path"), "text", new.alias("new"))
+    rows = texts.join(named, "lrc").join(moved, "lrc", "left").where("coalesce(_status, 'planned') = 'planned'").select(F.coalesce("to", "lrc").alias("path"), "text", new.alias("new"))
     return rows.where("text <> new").select("path", F.col("new").alias("text"))
 
 

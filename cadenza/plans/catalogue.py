@@ -338,14 +338,18 @@ def rename_stateful(spark, sf_dir):
 
 
 def rename_taken_names(spark, sf_dir):
-    """Each folder: 'a' wants 'c', which a text file holds; 'b' wants the name that 'a' leaves; 'd' wants what it has; 'e' wants 'c' as well."""
+    """Each folder: 'a' wants 'c', which a text file holds; 'b' wants the name that 'a' leaves; 'd' wants what it has; 'e' wants 'c' as well.
+
+    'p' and 'q' want one name with different endings, so that one place for two sidecars; the two files 's' share one sidecar.
+    """
     (supplier,) = _read(spark, sf_dir, "supplier")
     p = F.concat(F.lit("lib/"), F.col("s_suppkey").cast("string"))
-    row = lambda name, wanted, track: F.struct(F.lit(name).alias("name"), F.lit(wanted).alias("wanted"), F.lit(track).alias("is_track"))
-    rows = F.array(row("a", "c", True), row("b", "a", True), row("c", "c", False), row("d", "d", True), row("e", "c", True))
-    named = supplier.select(p.alias("parent"), F.inline(rows)).select("parent", F.concat("parent", F.lit("/"), "name", F.lit(".mp3")).alias("path"), "wanted", F.lit(".mp3").alias("ext"), "is_track")
-    files = named.select("path", "parent").union(supplier.select(p.alias("parent"), F.explode(F.array(F.lit("/a.lrc"), F.lit("/e.lrc"), F.lit("/c (2).lrc"))).alias("name")).select(F.concat("parent", "name"), "parent"))
-    return rename.rename_actions(rename.allocate(named), files)
+    row = lambda name, wanted, track, ext=".mp3": F.struct(F.lit(name).alias("name"), F.lit(wanted).alias("wanted"), F.lit(track).alias("is_track"), F.lit(ext).alias("ext"))
+    rows = F.array(row("a", "c", True), row("b", "a", True), row("c", "c", False), row("d", "d", True), row("e", "c", True), row("p", "t", True, ".flac"), row("q", "t", True), row("s", "v", True, ".flac"), row("s", "w", True))
+    named = supplier.select(p.alias("parent"), F.inline(rows)).select("parent", F.concat("parent", F.lit("/"), "name", "ext").alias("path"), "wanted", "ext", "is_track")
+    texts = F.array(*(F.lit(f"/{n}.lrc") for n in ("a", "e", "c (2)", "p", "q", "s")))
+    files = named.select("path", "parent").union(supplier.select(p.alias("parent"), F.explode(texts).alias("name")).select(F.concat("parent", "name"), "parent"))
+    return rename.rename_actions(rename.allocate(named), files, named.where("is_track"))
 
 
 def rate_slots(spark, sf_dir):
@@ -481,7 +485,8 @@ ORACLE_SQL = {
         CASE WHEN l_linenumber % 4 > 1 THEN CAST(CAST(l_quantity AS INT) || '.2' AS DOUBLE) END AS bpm FROM lineitem""",
     "rename_taken_names": """WITH p AS (SELECT 'lib/' || s_suppkey AS p FROM supplier)
         SELECT p || a AS src, p || b AS dst, kind, status FROM p, (VALUES ('/a.mp3', '/c (2).mp3', 'rename', 'planned'), ('/b.mp3', '/a.mp3', 'rename', 'planned'), ('/e.mp3', '/c (3).mp3', 'rename', 'planned'),
-        ('/a.lrc', '/c (2).lrc', 'sidecar', 'conflict'), ('/e.lrc', '/c (3).lrc', 'sidecar', 'planned')) AS v(a, b, kind, status)""",
+        ('/a.lrc', '/c (2).lrc', 'sidecar', 'conflict'), ('/e.lrc', '/c (3).lrc', 'sidecar', 'planned'), ('/p.flac', '/t.flac', 'rename', 'planned'), ('/q.mp3', '/t.mp3', 'rename', 'planned'),
+        ('/p.lrc', '/t.lrc', 'sidecar', 'planned'), ('/q.lrc', '/t.lrc', 'sidecar', 'conflict'), ('/s.flac', '/v.flac', 'rename', 'planned'), ('/s.mp3', '/w.mp3', 'rename', 'planned'), ('/s.lrc', '/v.lrc', 'sidecar', 'planned')) AS v(a, b, kind, status)""",
     "destination_dedupe": f"""{_PLAN} SELECT src, dst, kind FROM plan""",
     "emptied_folders": f"""{_PLAN} SELECT parent FROM files LEFT JOIN (SELECT DISTINCT src FROM plan) ON path = src GROUP BY parent HAVING count(*) = count(src)""",
     "rename_stateless": f"""WITH t AS (SELECT p_brand, p_brand || '/' || printf('%08d', p_partkey) || '.mp3' AS path, p_size % 3 AS n, p_type AS artist, string_split(p_name, ' ')[1] AS title FROM part),

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 from ..functions.tables import AUDIO_EXTENSIONS
+from .sink import HOME
 
 
 TASKS = 64
@@ -49,7 +50,7 @@ class _Reader(DataSourceReader):
         flat, trees = [], [self.root]
         while trees and len(flat) + len(trees) < TASKS:
             flat += trees
-            trees = [e.path for t in trees for e in sorted(os.scandir(t), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+            trees = [e.path for t in trees for e in sorted(os.scandir(t), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name != HOME]
         return [InputPartition((f, False)) for f in flat] + [InputPartition((t, True)) for t in trees]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -57,8 +58,7 @@ class _Reader(DataSourceReader):
         for folder, folders, names in os.walk(top):
             for n in names:
                 yield from _row(os.path.join(folder, n))
-            if not below:
-                folders.clear()
+            folders[:] = [f for f in folders if below and f != HOME]
 
 
 def _row(path: str) -> Iterator[tuple]:
