@@ -9,7 +9,9 @@ row at a time.  ``decoded`` is the seam for whatever reads the files' contents.
 from __future__ import annotations
 
 import os
+import stat
 import sys
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import text as T
 from ..functions.tables import AUDIO_EXTENSIONS
@@ -27,52 +29,133 @@ from .sink import HOME
 TASKS = 64
 
 
+SCHEMA = "path string, parent string, stem string, ext string, length bigint, modified timestamp, changed bigint"
+
+
 class LibraryWalk(DataSource):
-    """Options: path, the root folder."""
+    """Options: path, the root folder; settle, seconds that a file must rest before a stream reads it.
+
+    Equality and membership of ext, and equality and prefix of parent, are decided by the walk: files of other
+    endings are not looked at, and folders that cannot hold wanted ones are not opened.  As a stream, the offset is
+    a moment; each batch has the files that were written, moved or renamed since the last one.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "library_walk"
 
     def schema(self) -> str:
-        return "path string, length bigint, modified timestamp"
+        return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _ChangeReader(self.options["path"], float(self.options.get("settle", "2")))
+
+
+class _Walk:
+    """The files below a root that pass the pushed filters."""
 
-class _Reader(DataSourceReader):
     def __init__(self, root: str):
-        self.root = root
+        self.root, self.exts, self.parents, self.prefixes = root, None, None, []
 
-    def partitions(self) -> list[InputPartition]:
+    def may_hold(self, folder: str) -> bool:
+        """Whether the folder or one below it can be wanted."""
+        below = folder.rstrip("/") + "/"
+        return (self.parents is None or any(p == folder or p.startswith(below) for p in self.parents)) and all(folder.startswith(p) or p.startswith(below) or p == folder for p in self.prefixes)
+
+    def wanted(self, folder: str) -> bool:
+        return (self.parents is None or folder in self.parents) and all(folder.startswith(p) for p in self.prefixes)
+
+    def trees(self) -> list[tuple[str, bool]]:
         """(folder, whether with all below it)."""
         flat, trees = [], [self.root]
         while trees and len(flat) + len(trees) < TASKS:
             flat += trees
-            trees = [e.path for t in trees for e in sorted(os.scandir(t), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name != HOME]
-        return [InputPartition((f, False)) for f in flat] + [InputPartition((t, True)) for t in trees]
+            trees = [e.path for t in trees for e in sorted(os.scandir(t), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name != HOME and self.may_hold(e.path)]
+        return [(f, False) for f in flat] + [(t, True) for t in trees]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        top, below = partition.value
+    def rows(self, top: str, below: bool, after: int = -1, until: int | None = None) -> Iterator[tuple]:
         for folder, folders, names in os.walk(top):
+            folders[:] = [f for f in folders if below and f != HOME and self.may_hold(os.path.join(folder, f))]
+            if not self.wanted(folder):
+                continue
             for n in names:
-                yield from _row(os.path.join(folder, n))
-            folders[:] = [f for f in folders if below and f != HOME]
+                ext = n[n.rindex(".") :].lower() if "." in n[1:] and not n.endswith(".") else ""
+                if self.exts is not None and ext not in self.exts:
+                    continue
+                path = os.path.join(folder, n)
+                try:
+                    st = os.stat(path)
+                except OSError:  # gone since its folder was read
+                    continue
+                changed = max(st.st_mtime_ns, st.st_ctime_ns)
+                if stat.S_ISREG(st.st_mode) and changed > after and (until is None or changed <= until):
+                    yield path, folder, n[: len(n) - len(ext)], ext, st.st_size, datetime.fromtimestamp(st.st_mtime, timezone.utc), changed
+
+
+class _Reader(DataSourceReader, _Walk):
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
+        for f in filters:
+            column, kind = getattr(f, "attribute", ()), type(f).__name__
+            if kind in ("EqualTo", "In") and column == ("ext",):
+                values = set(f.value if kind == "In" else [f.value])
+                self.exts = values if self.exts is None else self.exts & values
+            elif kind in ("EqualTo", "In") and column == ("parent",):
+                values = set(f.value if kind == "In" else [f.value])
+                self.parents = values if self.parents is None else self.parents & values
+            elif kind == "StringStartsWith" and column == ("parent",):
+                self.prefixes.append(f.value)
+            elif not (kind == "IsNotNull" and column in (("ext",), ("parent",))):
+                yield f
 
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(t) for t in self.trees()]
 
-def _row(path: str) -> Iterator[tuple]:
-    if os.path.isfile(path):
-        st = os.stat(path)
-        yield path, st.st_size, datetime.fromtimestamp(st.st_mtime, timezone.utc)
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.rows(*partition.value)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All regular files below root with parent, stem and lower-cased extension."""
+class _ChangeReader(DataSourceStreamReader, _Walk):
+    """Moments are nanoseconds of the later of modification and status change, so that a file moved in with an old date counts too."""
+
+    def __init__(self, root: str, settle: float):
+        _Walk.__init__(self, root)
+        self.settle = settle
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"until": -1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"until": time.time_ns() - int(self.settle * 1e9)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition((*t, start["until"], end["until"])) for t in self.trees()]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.rows(*partition.value)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for batches that are done."""
+
+
+def _register(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
     spark.dataSource.register(LibraryWalk)
-    files = spark.read.format("library_walk").option("path", root).load()
-    return files.select("path", T.parent("path").alias("parent"), T.stem("path").alias("stem"), T.extension("path").alias("ext"), "length", "modified")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """All regular files below root: path, parent, stem, ext (lower case), length and modified; filters of ext and parent reach the walk."""
+    _register(spark)
+    return spark.read.format("library_walk").option("path", root).load().drop("changed")
+
+
+def scan_changes(spark: SparkSession, root: str, settle: float = 2) -> DataFrame:
+    """The same rows as a stream: first all files, then in each batch those changed since the last; a file is read once it has rested for some seconds."""
+    _register(spark)
+    return spark.readStream.format("library_walk").option("path", root).option("settle", str(settle)).load().drop("changed")
 
 
 def decoded(files: DataFrame, decode: Callable[[str], dict], schema: str) -> DataFrame:
