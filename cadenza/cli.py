@@ -1,8 +1,8 @@
 """Command line: ``tag``, ``audit``, ``rename`` and ``organize`` over a library folder.
 
-Audio files are not decoded here.  ``--tracks`` names a Parquet table of tracks (see
-``schemas.TRACKS``) by path; without it, files are known by name alone.  ``tag`` takes
-snapshot tables of look-ups from ``--snapshots``.  Exit codes: 0 done, 1 error, 130 interrupted.
+Tags are read from the files themselves, or, with ``--tracks``, from a Parquet table of tracks (see
+``schemas.TRACKS``) by path.  ``tag`` takes snapshot tables of look-ups from ``--snapshots``, and writes tags
+and lyrics.  Exit codes: 0 done, 1 error, 130 interrupted.
 """
 
 from __future__ import annotations
@@ -53,11 +53,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load_tracks(spark: SparkSession, files: DataFrame, tracks: str | None) -> DataFrame:
-    """Audio files with their track rows; files without one carry an error."""
+    """Audio files with their track rows, of the given table or else by their own tags; files without one carry an error."""
     audio = library.audio(files).select("path", "parent", "stem", "ext")
-    names = [c.split()[0] for c in schemas.TRACKS.split(", ")]
-    known = spark.read.schema(schemas.TRACKS).parquet(tracks) if tracks else spark.createDataFrame([], schemas.TRACKS)
-    known = known.select("path", *(n for n in names if n not in ("path", "parent")), F.lit(True).alias("_known"))
+    names = [c.split() for c in schemas.TRACKS.split(", ")]
+    known = spark.read.schema(schemas.TRACKS).parquet(tracks) if tracks else library.read_tracks(audio)
+    fields = [F.col(n) if n in known.columns else F.lit(None).cast(kind).alias(n) for n, kind in names if n not in ("path", "parent")]
+    known = known.select("path", *fields, F.lit(True).alias("_known"))
     return audio.join(known, "path", "left").withColumn("read_error", F.coalesce("read_error", F.when(F.col("_known").isNull(), F.lit("no metadata")))).drop("_known")
 
 
@@ -106,16 +107,22 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             )
         }
         options = {"bpm": not args.no_bpm, "replaygain": not args.no_replaygain, "art": not args.no_art, "lyrics": not args.no_lyrics, "force": args.force}
+        tables["covers"] = library.covers(files)
         readable = tracks.where("read_error IS NULL").repartition(max(args.workers, 1), "parent")
         new = enrich.tag_album(readable, tables, **options).cache()
         LOG.info(reports.tag_statistics(new).first().asDict())
+        wanted = enrich.desired_tags(new)
         if args.plan:
-            enrich.desired_tags(new).write.mode("overwrite").parquet(args.plan)
+            wanted.write.mode("overwrite").parquet(args.plan)
         if not args.no_lyrics:
             texts = enrich.lyrics_writes(new).cache()
             LOG.info({"lyrics": texts.count()})
-            if not args.dry_run:
-                LOG.info({"applied": actions.apply(args.path, texts=texts, create=True)})
+        if not args.no_art:
+            LOG.info({"covers": enrich.cover_downloads(new).count()})
+        if not args.dry_run:
+            flac = F.lower(F.col("path")).endswith(".flac")
+            cover = new.select("path", F.when(flac, F.col("cover")).alias("cover")) if "cover" in new.columns else new.select("path", F.lit(None).cast("string").alias("cover"))
+            LOG.info({"applied": actions.apply(args.path, texts=None if args.no_lyrics else texts, tags=wanted.join(cover, "path"), create=True)})
         if args.json:
             _write_json(reports.tag_report(new, datetime.now(timezone.utc).isoformat()), args.json)
         if args.json_lines:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources import sink
 
 #: In this order: (phase, the table of the run that it carries out).
-PHASES = (("stage", "moves"), ("place", "moves"), ("text", "texts"), ("tidy", "folders"))
+PHASES = (("tags", "tags"), ("stage", "moves"), ("place", "moves"), ("text", "texts"), ("tidy", "folders"))
 
 
 def summary(plan: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("kind").count().withColumnRenamed("count", "n")
 
 
-def apply(root: str, plan: DataFrame | None = None, texts: DataFrame | None = None, folders: DataFrame | None = None, create: bool = False) -> dict[str, int]:
-    """Carry out moves (src, dst), then texts (path, text), then remove those folders (parent) that are empty; all tables are written down first.
+def apply(root: str, plan: DataFrame | None = None, texts: DataFrame | None = None, folders: DataFrame | None = None, tags: DataFrame | None = None, create: bool = False) -> dict[str, int]:
+    """Carry out tags (path, tags, cover: a picture file or null), moves (src, dst), texts (path, text), then remove those folders (parent) that are empty; all tables are written down first.
 
     Existing files are never overwritten by a move; texts replace files that are there, or, with create, make new ones too.
     Returns how many moved, were written and were removed.  Failures of single files are rows of the journal, not errors.
     """
-    given = next(t for t in (plan, texts, folders) if t is not None)
+    given = next(t for t in (plan, texts, folders, tags) if t is not None)
     spark = given.sparkSession
     run = os.path.join(os.path.abspath(root), sink.HOME, uuid.uuid4().hex)
     os.makedirs(run)
@@ -41,7 +41,7 @@ def apply(root: str, plan: DataFrame | None = None, texts: DataFrame | None = No
         if "status" in plan.columns:
             plan = plan.where(F.coalesce("status", F.lit("planned")) == "planned")
         plan = plan.where("src <> dst").select("src", "dst", F.sha2("src", 256).alias("id"))
-    tables = {"moves": plan, "texts": texts and texts.select("path", "text"), "folders": folders and folders.select("parent")}
+    tables = {"moves": plan, "texts": texts and texts.select("path", "text"), "folders": folders and folders.select("parent"), "tags": tags and tags.select("path", "tags", "cover")}
     for name, rows in tables.items():
         if rows is not None:
             rows.write.parquet(f"file://{run}/{name}")

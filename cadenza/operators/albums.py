@@ -56,5 +56,7 @@ def gain_modes(tracks: DataFrame, *keys: str) -> DataFrame:
 
 
 def album_covers(tracks: DataFrame, covers: DataFrame) -> DataFrame:
-    """Tracks with their folder's cover, null where there is none; one cover a folder."""
-    return tracks.join(covers.dropDuplicates(["parent"]), "parent", "left")
+    """Tracks with their folder's cover, null where there is none; one cover a folder, the least of several."""
+    rest = [c for c in covers.columns if c != "parent"]
+    one = covers.groupBy("parent").agg(F.min(F.struct(*rest)).alias("_one")).select("parent", *(F.col(f"_one.{c}") for c in rest))
+    return tracks.join(one, "parent", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CadenzaError
 from ..functions import text as T
-from .albums import gain_modes
+from .albums import album_covers, gain_modes
 
 
 def keyed(tracks: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def enrich(tracks: DataFrame, *, releases: DataFrame, fallback: DataFrame, recor
     t = keyed(tracks)
     if "measured_bpm" not in t.columns:
         t = t.withColumn("measured_bpm", F.lit(None).cast("double"))
-    prints = fingerprints.groupBy("fingerprint").agg(F.first(first_accepted("results")).alias("fp_mbid"))
+    prints = fingerprints.groupBy("fingerprint").agg(F.min(first_accepted("results")).alias("fp_mbid"))  # one row a fingerprint is meant; of several the least id
     t = t.join(prints, "fingerprint", "left").join(match_recording(recordings), ["artist_key", "title_key"], "left")
     t = t.join(match_release(t, releases, fallback), ["artist_key", "album_key"], "left")
     t = t.withColumn("_own", F.col("mbid")).withColumn("mbid", precedence(force)["mbid"])
@@ -131,12 +131,24 @@ def artwork_requests(tracks: DataFrame, country: str = "US") -> DataFrame:
 def artwork(tracks: DataFrame, artwork_rows: DataFrame, size: int = 1400) -> DataFrame:
     """Keyed tracks with the URL of their album's cover, for FLAC files only."""
     tracks = tracks.withColumn("_flac", F.lower("path").endswith(".flac"))
-    one = artwork_rows.groupBy("artist_key", "album_key").agg(F.first("results").alias("results")).select("artist_key", "album_key", T.artwork_url(F.slice("results", 1, ARTWORK_LIMIT), size).alias("cover_url"))
+    one = artwork_rows.select("artist_key", "album_key", T.artwork_url(F.slice("results", 1, ARTWORK_LIMIT), size).alias("url")).groupBy("artist_key", "album_key").agg(F.min("url").alias("cover_url"))
     return tracks.join(one, ["artist_key", "album_key"], "left").withColumn("cover_url", F.when(F.col("_flac"), F.col("cover_url"))).drop("_flac")
 
 
+def without_covers(tracks: DataFrame, covers: DataFrame, force: bool = False) -> DataFrame:
+    """Tracks with cover, their folder's picture file, and cover_url only where the folder has none or force asks for a new one."""
+    held = album_covers(tracks, covers)
+    return held if force else held.withColumn("cover_url", F.when(F.col("cover").isNull(), F.col("cover_url")))
+
+
+def cover_downloads(tracks: DataFrame) -> DataFrame:
+    """(dst, url): one picture to fetch a folder, that of its first track which has an address."""
+    asked = tracks.where("cover_url IS NOT NULL").withColumn("_path", T.path_parts("path"))
+    return first_per_key(asked, ["parent"], ["_path"]).select(F.concat("parent", F.lit("/cover.jpg")).alias("dst"), F.col("cover_url").alias("url"))
+
+
 def stories(tracks: DataFrame, story_rows: DataFrame) -> DataFrame:
-    one = story_rows.dropDuplicates(["artist_key", "title_key"]).select("artist_key", "title_key", T.story("plain").alias("story"))
+    one = story_rows.select("artist_key", "title_key", T.story("plain").alias("told")).groupBy("artist_key", "title_key").agg(F.min("told").alias("story"))
     return tracks.join(one, ["artist_key", "title_key"], "left")
 
 
@@ -152,7 +164,8 @@ def tag_album(tracks: DataFrame, tables: dict[str, DataFrame], **options) -> Dat
     """Tracks after the look-up chain and the optional steps, each of which an option of ``OPTIONS`` turns off.
 
     tables: releases, fallback, recordings, fingerprints, tags, market, and artwork, lyrics, stories where those steps
-    run.  bpm takes measured_bpm, replaygain adds each folder's gain_mode, art adds cover_url, lyrics adds enhanced and
+    run.  bpm takes measured_bpm, replaygain adds each folder's gain_mode, art adds cover_url
+    (with the table covers, of folders' own pictures, just for folders without one, and cover), lyrics adds enhanced and
     plain sidecar texts; stories are added where the table is given.
     """
     check_options(options)
@@ -167,6 +180,8 @@ def tag_album(tracks: DataFrame, tables: dict[str, DataFrame], **options) -> Dat
         out = out.join(modes, "parent", "left")
     if on("art"):
         out = artwork(out, tables["artwork"])
+        if "covers" in tables:
+            out = without_covers(out, tables["covers"], options.get("force", False))
     if on("lyrics"):
         out = lyrics_lookup(out, tables["lyrics"])
     if "stories" in tables:

@@ -6,12 +6,15 @@ sidecars, part and lineitem for folders, events for look-ups.
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES, LYRICS_JUNK
 from ..operators import albums, audit, cache, enrich, rename, reports
+from ..sources import library, tags
 
 FLAGSHIP = "audit_summary"
 
@@ -352,6 +355,38 @@ def rename_taken_names(spark, sf_dir):
     return rename.rename_actions(rename.allocate(named), files, named.where("is_track"))
 
 
+def blank_file(kind: str, rate: int, channels: int, bits: int) -> bytes:
+    """A file without tags: FLAC stream information, an MPEG frame (44,100 Hz, 128 kbit/s, stereo), or a WAV head with 64 bytes of silence."""
+    if kind == "flac":
+        info = bytes(10) + (rate << 44 | channels - 1 << 41 | bits - 1 << 36).to_bytes(8, "big") + bytes(16)
+        return b"fLaC\x80" + len(info).to_bytes(3, "big") + info
+    if kind == "mp3":
+        return b"\xff\xfb\x90\x00" + bytes(413)
+    step = channels * bits // 8
+    return b"RIFF" + struct.pack("<I", 100) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * step, step, bits) + b"data" + struct.pack("<I", 64) + bytes(64)
+
+
+def tag_round_trip(spark, sf_dir):
+    """Files made from parts: tags are written into each, read back and taken as track fields."""
+    (part,) = _read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    files = F.array(*(F.struct(F.lit(f"{i}.{kind}").alias("end"), F.lit(bytearray(blank_file(kind, rate, channels, bits))).alias("content")) for i, (kind, rate, channels, bits) in enumerate(_BLANKS)))
+    of = F.element_at(files, (k % len(_BLANKS) + 1).cast("int"))
+    tracks = part.select(
+        F.concat(F.lit("lib/"), k.cast("string"), F.lit("."), of["end"]).alias("path"), of["content"].alias("content"), F.concat(F.lit("Artíst "), "p_brand").alias("artist"), F.col("p_name").alias("title"), F.col("p_type").alias("album"),
+        F.when(k % 4 == 0, F.col("p_brand")).alias("album_artist"), F.col("p_size").alias("track_number"), F.when(k % 3 == 0, F.lit("2024-05-06")).when(k % 3 == 1, F.lit("1999")).alias("date"), F.lit("Pop").alias("genre"),
+        F.format_string("RO%010d", k).alias("isrc"), (F.col("p_size") * 2 + 60).cast("double").alias("bpm"), F.when(k % 2 == 0, F.concat(F.lit("mb-"), k.cast("string"))).alias("mbid"), F.lit(None).cast("string").alias("album_mbid"),
+        F.lit(None).cast("double").alias("track_gain"), F.lit(None).cast("double").alias("track_peak"),
+    )
+    written = tags.write_tags(tracks.select("path", "content").join(enrich.desired_tags(tracks), "path"))
+    found = library.read_tracks(written.where("write_error IS NULL"))
+    return found.select("path", "artist", "title", "album", "album_artist", "track_number", "date", "genre", "isrc", "bpm", "mbid", "sample_rate", "bitrate", "channels", "bits", "read_error")
+
+
+#: Kinds of files of ``tag_round_trip``, with rate, channels and bits.
+_BLANKS = [("flac", 44100, 2, 16), ("mp3", 44100, 2, 16), ("wav", 48000, 1, 24), ("flac", 96000, 6, 24)]
+
+
 def rate_slots(spark, sf_dir):
     (events,) = _read(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
@@ -379,7 +414,7 @@ def track_numbers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
     single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
-    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, rate_slots, json_tags, lookup_keys, track_numbers,
+    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, rate_slots, json_tags, lookup_keys, track_numbers,
 )}
 
 _GENRE = "CASE p_partkey % 8 WHEN 0 THEN 'hip hop' WHEN 1 THEN 'indie rock' WHEN 2 THEN 'Top 40 Pop' WHEN 3 THEN '1,234.5' WHEN 4 THEN p_type WHEN 5 THEN 'rnb' WHEN 6 THEN '90d' ELSE ' acid jazz ' || p_size END"
@@ -487,6 +522,10 @@ ORACLE_SQL = {
         SELECT p || a AS src, p || b AS dst, kind, status FROM p, (VALUES ('/a.mp3', '/c (2).mp3', 'rename', 'planned'), ('/b.mp3', '/a.mp3', 'rename', 'planned'), ('/e.mp3', '/c (3).mp3', 'rename', 'planned'),
         ('/a.lrc', '/c (2).lrc', 'sidecar', 'conflict'), ('/e.lrc', '/c (3).lrc', 'sidecar', 'planned'), ('/p.flac', '/t.flac', 'rename', 'planned'), ('/q.mp3', '/t.mp3', 'rename', 'planned'),
         ('/p.lrc', '/t.lrc', 'sidecar', 'planned'), ('/q.lrc', '/t.lrc', 'sidecar', 'conflict'), ('/s.flac', '/v.flac', 'rename', 'planned'), ('/s.mp3', '/w.mp3', 'rename', 'planned'), ('/s.lrc', '/v.lrc', 'sidecar', 'planned')) AS v(a, b, kind, status)""",
+    "tag_round_trip": """WITH f(i, kind, rate, channels, bits, bitrate) AS (VALUES (0, 'flac', 44100, 2, 16, NULL), (1, 'mp3', 44100, 2, NULL, 128000), (2, 'wav', 48000, 1, 24, 1152000), (3, 'flac', 96000, 6, 24, NULL))
+        SELECT 'lib/' || p_partkey || '.' || i || '.' || kind AS path, 'Artíst ' || p_brand AS artist, p_name AS title, p_type AS album, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS album_artist, p_size::INT AS track_number,
+        CASE p_partkey % 3 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '1999' END AS date, 'Pop' AS genre, CASE WHEN kind = 'flac' THEN printf('RO%010d', p_partkey) END AS isrc, (p_size * 2 + 60)::DOUBLE AS bpm,
+        CASE WHEN p_partkey % 2 = 0 THEN 'mb-' || p_partkey END AS mbid, rate AS sample_rate, bitrate, channels, bits, NULL::VARCHAR AS read_error FROM part JOIN f ON i = p_partkey % 4""",
     "destination_dedupe": f"""{_PLAN} SELECT src, dst, kind FROM plan""",
     "emptied_folders": f"""{_PLAN} SELECT parent FROM files LEFT JOIN (SELECT DISTINCT src FROM plan) ON path = src GROUP BY parent HAVING count(*) = count(src)""",
     "rename_stateless": f"""WITH t AS (SELECT p_brand, p_brand || '/' || printf('%08d', p_partkey) || '.mp3' AS path, p_size % 3 AS n, p_type AS artist, string_split(p_name, ' ')[1] AS title FROM part),

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..functions import text as T
 from ..functions.tables import AUDIO_EXTENSIONS
 from .sink import HOME
+from .tags import read_tags
 
 
 TASKS = 64
@@ -217,6 +218,17 @@ def tracks_from_tags(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_tracks(files: DataFrame) -> DataFrame:
+    """Track fields and read_error of files (path), from their own tags."""
+    found = read_tags(files)
+    return tracks_from_tags(found).join(found.select("path", "bits", "read_error"), "path")
+
+
+def covers(files: DataFrame) -> DataFrame:
+    """(parent, cover): each folder's cover picture."""
+    return files.where(F.lower(T.base_name("path")) == "cover.jpg").groupBy("parent").agg(F.min("path").alias("cover"))
+
+
 def projection(tracks: DataFrame) -> DataFrame:
     """The report's view of a track: file name added, album artist falls back to the artist."""
     return tracks.select(

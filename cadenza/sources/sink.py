@@ -1,4 +1,4 @@
-"""Carrying plans out: a data source whose tasks move files, write texts and remove folders.
+"""Carrying plans out: a data source whose tasks move files, write texts and tags, and remove folders.
 
 A run has a folder of its own (``<library>/.cadenza/<run>``) that holds the plan, the files on their way and
 a journal; a file system that the driver and all executors share is assumed, as by the walk.
@@ -29,6 +29,9 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from . import tags as codec
+from .tags import rewrite
+
 HOME = ".cadenza"
 
 
@@ -54,7 +57,7 @@ class _Writer(DataSourceWriter):
         self.run, self.phase, self.create = run, phase, create
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        step = {"stage": self._stage, "place": self._place, "text": self._text, "tidy": self._tidy}[self.phase]
+        step = {"stage": self._stage, "place": self._place, "text": self._text, "tidy": self._tidy, "tags": self._tags}[self.phase]
         counts: Counter = Counter()
         folder = os.path.join(self.run, "journal")
         os.makedirs(folder, exist_ok=True)
@@ -63,7 +66,7 @@ class _Writer(DataSourceWriter):
             for row in iterator:
                 status, at = step(row)
                 counts[status] += 1
-                journal.write(json.dumps({"phase": self.phase, "status": status, "at": at, **{k: v for k, v in row.asDict().items() if k != "text"}}, ensure_ascii=False) + "\n")
+                journal.write(json.dumps({"phase": self.phase, "status": status, "at": at, **{k: v for k, v in row.asDict().items() if k not in ("text", "tags")}}, ensure_ascii=False) + "\n")
                 journal.flush()
         return _Did(dict(counts), path)
 
@@ -137,6 +140,18 @@ class _Writer(DataSourceWriter):
             return f"failed: {e.strerror}", path
         return "done", path
 
+    def _tags(self, row) -> tuple[str, str]:
+        path, cover = row["path"], row["cover"]
+        try:
+            picture = None
+            if cover:
+                with open(cover, "rb") as f:
+                    picture = ("image/png" if cover.lower().endswith(".png") else "image/jpeg", f.read())
+            rewrite(path, {k: v for k, v in row["tags"].items() if v}, picture)
+        except Exception as e:  # a file that is broken or of a kind without a writer stays as it is
+            return f"failed: {type(e).__name__}: {e}", path
+        return "done", path
+
     def _tidy(self, row) -> tuple[str, str]:
         try:
             os.rmdir(row["parent"])
@@ -192,5 +207,6 @@ def summary_path(run: str, phase: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+    for module in (sys.modules[__name__], codec):
+        cloudpickle.register_pickle_by_value(module)  # executors need no copy of this package
     spark.dataSource.register(LibraryActions)
