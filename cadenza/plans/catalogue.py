@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES, LYRICS_JUNK
-from ..operators import albums, audit, cache, enrich, rename, reports
+from ..operators import albums, audio, audit, cache, enrich, rename, reports
 from ..sources import library, tags
 
 FLAGSHIP = "audit_summary"
@@ -387,6 +387,51 @@ def tag_round_trip(spark, sf_dir):
 _BLANKS = [("flac", 44100, 2, 16), ("mp3", 44100, 2, 16), ("wav", 48000, 1, 24), ("flac", 96000, 6, 24)]
 
 
+def _frames(spark, sf_dir) -> DataFrame:
+    """Embeddings as 10 ms frames of ten tracks; every sixth frame the level changes, down to silence."""
+    (rows,) = _read(spark, sf_dir, "embeddings")
+    at = F.expr("vec_id div 10")
+    return rows.select(F.concat(F.lit("lib/"), (F.col("vec_id") % 10).cast("string")).alias("path"), at.alias("at"), F.col("embedding").cast("array<double>").alias("samples"), F.lit(6400).alias("rate"), F.pow(F.lit(10.0), -F.expr("vec_id div 60 % 6").cast("double")).alias("level"))
+
+
+def high_frequency_energy(spark, sf_dir):
+    rms = audio.high_frequency_rms(_frames(spark, sf_dir), 1600)
+    return rms.select("path", F.round("hf_rms", 9).alias("hf_rms"), (F.col("hf_rms") < 0.1).alias("fake_lossless"))
+
+
+def album_loudness(spark, sf_dir):
+    frames = _frames(spark, sf_dir).withColumn("samples", F.expr("transform(samples, x -> x * level)"))
+    tracks = frames.select("path").distinct().withColumn("parent", F.expr("cast(substring(path, 5) as int) % 3"))
+    return audio.replay_gain(frames, tracks, weighting="flat").select("path", F.round("track_gain", 6).alias("track_gain"), F.round("album_gain", 6).alias("album_gain"))
+
+
+def fingerprint_matches(spark, sf_dir):
+    """Noisy copies of every other track that begin three frames later find their tracks."""
+    frames = _frames(spark, sf_dir)
+    noise = F.expr("transform(samples, (x, j) -> x + 0.02 * ((j * 7 + at) % 13 - 6) / 6)")
+    copies = frames.where("at >= 3 AND cast(substring(path, 5) as int) % 2 = 0").select(F.concat(F.lit("copy of "), "path").alias("path"), (F.col("at") - 3).alias("at"), noise.alias("samples"), "rate")
+    prints = lambda x: audio.landmarks(audio.peaks(x))
+    found = audio.accepted(audio.match_prints(prints(copies), prints(frames)))
+    return found.select("path", "found", "offset", "votes", F.round("score", 9).alias("score"))
+
+
+def event_tempo(spark, sf_dir):
+    """Each user's values in order of time, ten a second, as onsets."""
+    (events,) = _read(spark, sf_dir, "events")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return audio.tempo(events.select(F.col("user_id").alias("path"), at.alias("at"), F.coalesce("value", F.lit(0.0)).alias("onset")), 10).select(F.col("path").alias("user_id"), "bpm")
+
+
+#: The frames of ``_frames``, and the transform of each by definition.
+_FRAMES = """f AS (SELECT 'lib/' || vec_id % 10 AS path, vec_id // 10 AS pos, vec_id // 60 % 6 AS lvl, embedding AS x FROM embeddings)"""
+_DFT = lambda frames, name: f"""{name}_s AS (SELECT path, pos, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) - 1 AS j FROM {frames}),
+    {name} AS (SELECT path, pos, k, pow(sum(v * cos(2 * pi() * j * k / 64)), 2) + pow(sum(v * sin(2 * pi() * j * k / 64)), 2) AS p FROM {name}_s, range(33) t(k) GROUP BY ALL)"""
+_PRINTS = lambda frames, name: f"""{_DFT(frames, name + "_d")}, {name}_n AS (SELECT *, lag(p) OVER w AS lo, lead(p) OVER w AS hi FROM {name}_d WINDOW w AS (PARTITION BY path, pos ORDER BY k)),
+    {name}_p AS (SELECT path, pos, k FROM {name}_n WHERE p > lo AND p > hi QUALIFY row_number() OVER (PARTITION BY path, pos ORDER BY p DESC, k) <= 3),
+    {name} AS (SELECT a.path, a.pos, a.k AS f1, b.k AS f2, b.pos - a.pos AS step FROM {name}_p a JOIN {name}_p b ON a.path = b.path AND b.pos BETWEEN a.pos + 1 AND a.pos + 5)"""
+_LEVEL = "-0.691 + 10 * log10(sum(e) / count(*))"
+
+
 def rate_slots(spark, sf_dir):
     (events,) = _read(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
@@ -414,7 +459,7 @@ def track_numbers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
     single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
-    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, rate_slots, json_tags, lookup_keys, track_numbers,
+    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, high_frequency_energy, album_loudness, fingerprint_matches, event_tempo, rate_slots, json_tags, lookup_keys, track_numbers,
 )}
 
 _GENRE = "CASE p_partkey % 8 WHEN 0 THEN 'hip hop' WHEN 1 THEN 'indie rock' WHEN 2 THEN 'Top 40 Pop' WHEN 3 THEN '1,234.5' WHEN 4 THEN p_type WHEN 5 THEN 'rnb' WHEN 6 THEN '90d' ELSE ' acid jazz ' || p_size END"
@@ -522,6 +567,18 @@ ORACLE_SQL = {
         SELECT p || a AS src, p || b AS dst, kind, status FROM p, (VALUES ('/a.mp3', '/c (2).mp3', 'rename', 'planned'), ('/b.mp3', '/a.mp3', 'rename', 'planned'), ('/e.mp3', '/c (3).mp3', 'rename', 'planned'),
         ('/a.lrc', '/c (2).lrc', 'sidecar', 'conflict'), ('/e.lrc', '/c (3).lrc', 'sidecar', 'planned'), ('/p.flac', '/t.flac', 'rename', 'planned'), ('/q.mp3', '/t.mp3', 'rename', 'planned'),
         ('/p.lrc', '/t.lrc', 'sidecar', 'planned'), ('/q.lrc', '/t.lrc', 'sidecar', 'conflict'), ('/s.flac', '/v.flac', 'rename', 'planned'), ('/s.mp3', '/w.mp3', 'rename', 'planned'), ('/s.lrc', '/v.lrc', 'sidecar', 'planned')) AS v(a, b, kind, status)""",
+    "high_frequency_energy": f"""WITH {_FRAMES}, {_DFT("f", "d")}, e AS (SELECT path, pos, sum(CASE WHEN k * 100 >= 1600 THEN p / 4096 * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END ELSE 0 END) AS e FROM d GROUP BY ALL)
+        SELECT path, round(sqrt(avg(e)), 9) AS hf_rms, sqrt(avg(e)) < 0.1 AS fake_lossless FROM e GROUP BY path""",
+    "album_loudness": f"""WITH {_FRAMES}, e AS (SELECT path, pos, list_sum(list_transform(x, lambda v: pow(v::DOUBLE * pow(10.0::DOUBLE, -lvl::DOUBLE), 2))) / 64 AS e FROM f),
+        b AS (SELECT a.path, a.pos, sum(c.e) / 4 AS e FROM e a JOIN e c ON a.path = c.path AND c.pos BETWEEN a.pos AND a.pos + 3 GROUP BY ALL HAVING count(*) = 4),
+        g AS (SELECT *, floor((-0.691 + 10 * log10(e)) * 10) AS bin, substr(path, 5)::INT % 3 AS parent FROM b WHERE e > 0 AND -0.691 + 10 * log10(e) >= -70),
+        t1 AS (SELECT path, {_LEVEL} AS gate FROM g GROUP BY path), a1 AS (SELECT parent, {_LEVEL} AS gate FROM g GROUP BY parent),
+        t2 AS (SELECT path, -18.0 - ({_LEVEL}) AS gain FROM g JOIN t1 USING (path) WHERE (bin + 1) / 10 > gate - 10 GROUP BY path), a2 AS (SELECT parent, -18.0 - ({_LEVEL}) AS gain FROM g JOIN a1 USING (parent) WHERE (bin + 1) / 10 > gate - 10 GROUP BY parent)
+        SELECT p.path, round(t2.gain, 6) AS track_gain, round(a2.gain, 6) AS album_gain FROM (SELECT DISTINCT path FROM f) p LEFT JOIN t2 USING (path) LEFT JOIN a2 ON a2.parent = substr(p.path, 5)::INT % 3""",
+    "fingerprint_matches": f"""WITH {_FRAMES}, c AS (SELECT 'copy of ' || path AS path, pos - 3 AS pos, list_transform(x, lambda v, j: v::DOUBLE + 0.02::DOUBLE * (((j - 1) * 7 + pos) % 13 - 6) / 6) AS x FROM f WHERE pos >= 3 AND substr(path, 5)::INT % 2 = 0),
+        {_PRINTS("f", "kn")}, {_PRINTS("c", "asked")}, v AS (SELECT a.path, b.path AS found, b.pos - a.pos AS "offset", count(*) AS votes FROM asked a JOIN kn b USING (f1, f2, step) GROUP BY ALL),
+        n AS (SELECT path, count(*) AS n FROM asked GROUP BY path)
+        SELECT path, found, "offset", votes, round(votes / n, 9) AS score FROM v JOIN n USING (path) WHERE votes / n >= 0.2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY votes DESC, found, "offset") = 1""",
     "tag_round_trip": """WITH f(i, kind, rate, channels, bits, bitrate) AS (VALUES (0, 'flac', 44100, 2, 16, NULL), (1, 'mp3', 44100, 2, NULL, 128000), (2, 'wav', 48000, 1, 24, 1152000), (3, 'flac', 96000, 6, 24, NULL))
         SELECT 'lib/' || p_partkey || '.' || i || '.' || kind AS path, 'Artíst ' || p_brand AS artist, p_name AS title, p_type AS album, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS album_artist, p_size::INT AS track_number,
         CASE p_partkey % 3 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '1999' END AS date, 'Pop' AS genre, CASE WHEN kind = 'flac' THEN printf('RO%010d', p_partkey) END AS isrc, (p_size * 2 + 60)::DOUBLE AS bpm,
