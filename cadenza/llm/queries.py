@@ -15,7 +15,6 @@ from .quality import op2_ordinal_quality
 from .rules import op5_decision_list
 from .shards import op10_hilbert_shards
 from .simhash import op13_simhash_pigeonhole
-from .spans import ORACLE as ORACLE_6
 from .spans import op6_sentence_spans
 from .structure import op11_dial_structure_repair
 from .suffixes import ORACLE as ORACLE_7
@@ -39,7 +38,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_winnowing_decontamination": ORACLE_1,
     "op3_license_scan": ORACLE_3,
-    "op6_sentence_spans": ORACLE_6,
     "op7_external_suffix_sort": ORACLE_7,
     "op12_source_divergence": ORACLE_12,
 }

@@ -208,11 +208,11 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONG
 
 def op6_sentence_spans(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate(docs, words=False).select("doc_id", "n_sentences", "n_removed", "text")
+    return deduplicate(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 _WORD, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-#: DuckDB SQL for the rows of op6_sentence_spans, with ids that do not repeat.
+#: DuckDB SQL for the rows of op6_sentence_spans without ``words``, with ids that do not repeat.  SQL has no hash that would give the anchors.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract(text, '^{_GAP}') AS lead, regexp_extract_all(text, '{_WORD}{_GAP}') AS pieces,
                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
