@@ -1,7 +1,8 @@
 """Near-duplicate detection with order MinHash.
 
-A text's k-mers are runs of ``K`` words, each labelled with its occurrence number
-so that repeats count.  One sketch takes the ``ELL`` labelled k-mers with the least
+A text's k-mers are runs of k words, each labelled with its occurrence number
+so that repeats count.  k is 5, or 3 and 2 for short texts (``CLASSES``), of whose longer runs a fifth of edits
+would leave too few; lengths at which two texts could fall in different classes belong to both.  One sketch takes the ``ELL`` labelled k-mers with the least
 values under a random order and keeps them in text order; it collides for two
 texts that share these k-mers in the same order, which follows edit similarity
 more closely than a set sketch.  Each of ``BANDS`` bands is one sketch, so two texts
@@ -29,7 +30,7 @@ rounds that grows with the logarithm of the longest chain; nothing about all
 documents reaches the driver but counts.
 
 Edge cases: a null text is read as empty; texts without words form classes by
-equal bytes and have no near copies; texts of fewer than K words have one k-mer;
+equal bytes and have no near copies; texts of fewer than k words have one k-mer; very long texts are read whole; an empty table gives no rows;
 rows that repeat an id are grouped by their text and each returned; ties take the
 least id, nulls first; other columns are ignored.  n_links counts the links that
 were verified, not all that hold.
@@ -48,14 +49,17 @@ from pyspark.sql import functions as F
 from . import bytekit as bk
 from .runtime import arrow_map, batch, cut, free_name, table
 
-K, ELL, BANDS, SIMILARITY = 5, 2, 64, 0.8
+ELL, BANDS, SIMILARITY = 2, 64, 0.8
+#: (words in a k-mer, least and most words of the texts, bands): neighbours overlap by what two lengths may differ, 1 / SIMILARITY.
+CLASSES = ((5, 120, 1 << 62, BANDS), (3, 20, 150, 48), (2, 1, 25, BANDS))
+_FROM = np.cumsum([0, *(c[3] for c in CLASSES)])  # a band's number goes on through the classes
 #: Lengths of sketches in mixed buckets; further bands of classes with many mixed buckets above LARGE.  Parts of a hot key.  Cells of a table of equal words.
 DEEP, EXTRA, LARGE, SALT, CELLS = (4, 8), 128, 16, 8, 1 << 22
 _LOW = np.uint64(0xFFFFFFFF)
 _ORDERS = np.random.Generator(np.random.PCG64(8)).integers(0, 2**63, BANDS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def labelled_kmers(w: bk.Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def labelled_kmers(w: bk.Words, k: int = CLASSES[0][0]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (k-mer, occurrence number) in text order and the offsets of the texts among them."""
     short = (w.counts > 0) & (w.counts < k)
     first, doc, h = bk.ngrams(w.hash, w.bounds, k)
@@ -77,8 +81,8 @@ def labelled_kmers(w: bk.Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return h, at
 
 
-def band_keys(h: np.ndarray, at: np.ndarray, bands: Sequence[int] = range(BANDS), ells: Sequence[int] = (ELL,)) -> np.ndarray:
-    """(texts, bands * ells) keys; texts without k-mers get zeros."""
+def band_keys(h: np.ndarray, at: np.ndarray, bands: Sequence[int] = range(BANDS), ells: Sequence[int] = (ELL,), kind: int = 0) -> np.ndarray:
+    """(texts, bands * ells) keys, apart for each kind; texts without k-mers get zeros."""
     out = np.zeros((len(at) - 1, len(bands) * len(ells)), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if not len(full):
@@ -95,13 +99,36 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: Sequence[int] = range(BANDS)
             x[pos[~gone]] = top
             picks.append(pos)
             if ell in ells:
-                key = np.full(len(full), band << 8 | ell, np.uint64)
+                key = np.full(len(full), kind << 32 | band << 8 | ell, np.uint64)
                 for p in np.sort(np.stack(picks), axis=0):
                     key = bk.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(p < 0, np.uint64(0), h[p]))
                 out[full, i * len(ells) + ells.index(ell)] = key
     return out
 
 
+def _of(w: bk.Words, d: np.ndarray) -> bk.Words:
+    """The words of some of the texts."""
+    size = w.counts[d]
+    return bk.Words(w.start, w.end, w.hash[bk.ranges(w.bounds[:-1][d], size)], np.append(0, np.cumsum(size)))
+
+
+def sketches(w: bk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All band keys end to end, how many each text has, and the number of its first band."""
+    members = [np.flatnonzero((w.counts >= lo) & (w.counts <= hi)) for _, lo, hi, _ in CLASSES]
+    size, first = np.zeros(len(w.counts), np.int64), np.full(len(w.counts), _FROM[-1])
+    for c, d in enumerate(members):
+        size[d] += CLASSES[c][3]
+        first[d] = np.minimum(first[d], _FROM[c])
+    at = np.cumsum(size) - size
+    keys = np.zeros(int(size.sum()), np.uint64)
+    for c, d in enumerate(members):
+        k, _, _, bands = CLASSES[c]
+        if len(d):
+            keys[at[d][:, None] + np.arange(bands)] = band_keys(*labelled_kmers(_of(w, d), k), range(bands), kind=c)
+            at[d] += bands
+    return keys, size, first
+
+
 def _shared_words(a: np.ndarray, b: np.ndarray) -> int:
     """The size of the two bags' intersection."""
     (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
@@ -226,17 +253,16 @@ def _describe(docs: DataFrame) -> DataFrame:
             raw = bk.span_hash(bk.byte_prefix(t.buf), t.offs[:-1], t.offs[1:])
             empty = w.counts == 0
             second = bk.span_hash(bk.prefix(bk.mix(w.hash)), w.bounds[:-1], w.bounds[1:])
-            keys = band_keys(*labelled_kmers(w))
-            size = np.where(empty, 0, BANDS)
+            keys, size, from_ = sketches(w)
             yield batch(
-                ["doc_id", "text_hash", "c1", "c2", "n_words", "bands"],
-                [b.column(0).slice(t.lo, len(t)), b.column(2).slice(t.lo, len(t)), np.where(empty, raw, whole).view(np.int64), np.where(empty, ~raw, second).view(np.int64), w.counts.astype(np.int64), bk.lists(keys[~empty].ravel().view(np.int64), size, pa.int64())],
+                ["doc_id", "text_hash", "c1", "c2", "n_words", "first_band", "bands"],
+                [b.column(0).slice(t.lo, len(t)), b.column(2).slice(t.lo, len(t)), np.where(empty, raw, whole).view(np.int64), np.where(empty, ~raw, second).view(np.int64), w.counts.astype(np.int64), from_.astype(np.int32), bk.lists(keys.view(np.int64), size, pa.int64())],
             )
 
     text = F.col("text").cast("string")
     src = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(src, run, f"doc_id {kind}, text_hash bigint, c1 bigint, c2 bigint, n_words bigint, bands array<bigint>")
+    return arrow_map(src, run, f"doc_id {kind}, text_hash bigint, c1 bigint, c2 bigint, n_words bigint, first_band int, bands array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -310,19 +336,27 @@ def _deeper(texts: DataFrame, mixed: DataFrame) -> DataFrame:
 
     def run(b: pa.RecordBatch):
         for t in bk.slices(b.column(1)):
-            h, at = labelled_kmers(bk.words(t))
+            w = bk.words(t)
             spots = b.column(2).slice(t.lo, len(t))
             doc, band = np.repeat(np.arange(len(t)), np.diff(spots.offsets.to_numpy())), spots.flatten().to_numpy()
-            heavy = np.flatnonzero(b.column(3).slice(t.lo, len(t)).to_numpy(zero_copy_only=False))
+            heavy = b.column(3).slice(t.lo, len(t)).to_numpy(zero_copy_only=False).astype(bool)
             who, keys = [], []
-            for bands, ells, d in [*(([int(x)], DEEP, np.sort(doc[band == x])) for x in np.unique(band)), (range(BANDS, BANDS + EXTRA), (ELL, *DEEP), heavy)]:
-                if len(d):
-                    size = at[d + 1] - at[d]
-                    own = np.concatenate([[0], np.cumsum(size)])
-                    part = h[np.repeat(at[d] - own[:-1], size) + np.arange(own[-1])]
-                    got = band_keys(part, own, bands, ells)
-                    who.append(np.repeat(d, got.shape[1]))
-                    keys.append(got.ravel())
+            for c, (k, lo, hi, _) in enumerate(CLASSES):
+                mine = (band >= _FROM[c]) & (band < _FROM[c + 1])
+                more = np.flatnonzero(heavy & (w.counts >= lo) & (w.counts <= hi))
+                if not mine.any() and not len(more):
+                    continue
+                here = np.unique(np.concatenate([doc[mine], more]))  # texts of this class alone are cut to k-mers
+                h, at = labelled_kmers(_of(w, here), k)
+                asked = [([int(x - _FROM[c])], DEEP, np.sort(doc[mine & (band == x)])) for x in np.unique(band[mine])]
+                for bands, ells, d in [*asked, (range(BANDS, BANDS + EXTRA), (ELL, *DEEP), more)]:
+                    if len(d):
+                        e = np.searchsorted(here, d)
+                        size = at[e + 1] - at[e]
+                        part = h[bk.ranges(at[e], size)]
+                        got = band_keys(part, np.append(0, np.cumsum(size)), bands, ells, c)
+                        who.append(np.repeat(d, got.shape[1]))
+                        keys.append(got.ravel())
             if who:
                 yield batch(["c1", "key"], [b.column(0).take(pa.array(np.concatenate(who) + t.lo)), np.concatenate(keys).view(np.int64)])
 
@@ -345,7 +379,7 @@ def _led(buckets: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, bands: DataFrame, base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The verified links (a, b) between classes, from their band keys."""
-    buckets = _buckets(bands.select("c1", F.posexplode("bands").alias("band", "key")))
+    buckets = _buckets(bands.select("c1", "first_band", F.posexplode("bands").alias("pos", "key")).select("c1", (F.col("pos") + F.col("first_band")).alias("band"), "key"))
     texts = _texts(docs, base.join(buckets.select("c1").distinct(), "c1", "left_semi").select("c1", "low.doc_id", "low.text_hash", "n_words"))
     tried = cut(_led(buckets).distinct())
     links = cut(_verify(tried, texts, similarity))
@@ -361,7 +395,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     """One row a document row: doc_id, exact_id (least id with equal words), class_id (least id of its near copies), n_links, and text_hash and stays (it is the group's first by id and hash)."""
     rows = table(_describe(docs))
     base = cut(rows.groupBy("c1", "c2", "n_words").agg(F.min(F.struct("doc_id", "text_hash")).alias("low")))
-    bands = cut(rows.where("n_words > 0").groupBy("c1").agg(F.first("bands").alias("bands")))
+    bands = cut(rows.where("n_words > 0").groupBy("c1").agg(F.first("first_band").alias("first_band"), F.first("bands").alias("bands")))  # equal words, equal bands
     links = near_copies(docs, bands, base, similarity)
     degree = links.select(F.col("a").alias("c1")).union(links.select(F.col("b").alias("c1"))).groupBy("c1").agg(F.count("*").alias("n_links"))
     roots = components(links).withColumnRenamed("node", "c1").join(degree, "c1", "full")

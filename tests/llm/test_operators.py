@@ -621,6 +621,31 @@ def test_recall_over_every_pair_that_the_alignment_accepts(spark):
     assert all(len(c) == 1 or all(any(frozenset((d, e)) in links for e in c) for d in c) for c in classes.values())
 
 
+def test_recall_of_short_texts_up_to_the_limit(spark):
+    """Any number of words replaced, inserted and dropped that the alignment still accepts, at every length."""
+    rng, fresh = random.Random(11), iter(range(10**9))
+    docs, pairs = [], collections.defaultdict(list)
+    for n in (5, 7, 10, 15, 19, 20, 24, 30, 50, 90, 110, 119, 130, 150, 200):
+        limit = int(0.2 * n + 1e-9)
+        for k in sorted({1, (limit + 1) // 2, limit}):
+            for i in range(40):
+                text = [f"w{rng.randrange(3000)}" for _ in range(n)]
+                other = list(text)
+                for at in rng.sample(range(n), k):
+                    other[at] = f"e{next(fresh)}"
+                if i % 4 == 0 and k > 1:  # of the k edits, one inserts and one drops
+                    other = [*text[:2], f"e{next(fresh)}", *text[2:]]
+                    del other[rng.randrange(3, len(other))]
+                pairs[n, k].append((len(docs), len(docs) + 1))
+                docs += [text, other]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in ordermin.near_duplicate_groups(rows).collect()}
+    found = {key: np.mean([got[a] == got[b] for a, b in own]) for key, own in pairs.items()}
+    print({key: round(float(x), 3) for key, x in found.items()})
+    assert min(found.values()) >= 0.9, found
+    assert len(set(got.values())) >= len(docs) / 2  # pairs are alone
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in ordermin.components(spark.createDataFrame(links, "a long, b long")).collect()}
