@@ -55,6 +55,8 @@ CLASSES = ((5, 120, 1 << 62, BANDS), (3, 20, 150, 48), (2, 1, 25, BANDS))
 _FROM = np.cumsum([0, *(c[3] for c in CLASSES)])  # a band's number goes on through the classes
 #: Lengths of sketches in mixed buckets; further bands of classes with many mixed buckets above LARGE.  Parts of a hot key.  Cells of a table of equal words.
 DEEP, EXTRA, LARGE, SALT, CELLS = (4, 8), 128, 16, 8, 1 << 22
+#: Bytes of text sketched at once: every band is some ten numpy calls, so short texts go many together.
+SLICE = 1 << 19
 _LOW = np.uint64(0xFFFFFFFF)
 _ORDERS = np.random.Generator(np.random.PCG64(8)).integers(0, 2**63, BANDS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -246,7 +248,7 @@ def _describe(docs: DataFrame) -> DataFrame:
     """One row a document row: class key, text hash, number of words, band keys."""
 
     def run(b: pa.RecordBatch):
-        for t in bk.slices(b.column(1)):
+        for t in bk.slices(b.column(1), SLICE):
             w = bk.words(t)
             pre = bk.prefix(w.hash)
             whole = bk.span_hash(pre, w.bounds[:-1], w.bounds[1:])
@@ -335,7 +337,7 @@ def _deeper(texts: DataFrame, mixed: DataFrame) -> DataFrame:
     spots = mixed.groupBy("c1").agg(F.collect_set("band").alias("spots"), (F.count_if(F.col("n") > LARGE) * 16 >= BANDS).alias("heavy"))
 
     def run(b: pa.RecordBatch):
-        for t in bk.slices(b.column(1)):
+        for t in bk.slices(b.column(1), SLICE):
             w = bk.words(t)
             spots = b.column(2).slice(t.lo, len(t))
             doc, band = np.repeat(np.arange(len(t)), np.diff(spots.offsets.to_numpy())), spots.flatten().to_numpy()
