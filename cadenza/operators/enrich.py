@@ -31,6 +31,27 @@ def first_rows(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
 
 
+#: Length of the pieces by which titles are found.
+GRAM = 3
+
+
+def release_candidates(wanted: DataFrame, titled: DataFrame) -> DataFrame:
+    """Pairs of wanted (artist_key, album_key) and titled (artist_key, _title, ...) that may hold the album in the title: all that do, and few others.
+
+    Titles are indexed by their pieces of ``GRAM`` characters; an album asks for the piece of its own that the fewest
+    of its artist's titles have.  Albums shorter than a piece, which most titles hold, are joined by artist.
+    """
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
+    long = F.length("album_key") >= GRAM
+    grams = wanted.where(long).select("artist_key", "album_key", F.explode(pieces("album_key")).alias("_gram"))
+    asked = grams.select("artist_key", "_gram").distinct()
+    index = titled.where(F.length("_title") >= GRAM).select("*", F.explode(pieces("_title")).alias("_gram")).join(asked, ["artist_key", "_gram"], "left_semi")
+    counts = index.groupBy("artist_key", "_gram").agg(F.count("*").alias("_n"))
+    rarest = grams.join(counts, ["artist_key", "_gram"], "left").groupBy("artist_key", "album_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
+    probes = rarest.where("_least.n > 0").select("artist_key", "album_key", F.col("_least.gram").alias("_gram"))
+    return index.join(probes, ["artist_key", "_gram"]).drop("_gram").unionByName(titled.join(wanted.where(~long), "artist_key"))
+
+
 def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """(artist_key, album_key, release_id, release_date): of an artist's releases the first whose title equals or contains the album; else the fallback search's first row.
 
@@ -38,8 +59,9 @@ def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame |
     """
     wanted = tracks.select("artist_key", "album_key").distinct().where("album_key NOT IN ('', 'unknown album', 'unknown')")
     titled = releases.select("artist_key", "pos", F.col("id").alias("release_id"), F.col("date").alias("release_date"), T.normalize_text("title").alias("_title"))
-    hits = wanted.join(titled, "artist_key").where(F.col("_title").contains(F.col("album_key")))
-    found = first_per_key(hits, ["artist_key", "album_key"], ["pos", "release_id"]).drop("pos", "_title")
+    hits = release_candidates(wanted, titled).where(F.col("_title").contains(F.col("album_key")))
+    first = F.min(F.struct("pos", "release_id", "release_date")).alias("_first")
+    found = hits.groupBy("artist_key", "album_key").agg(first).select("artist_key", "album_key", "_first.release_id", "_first.release_date")
     if fallback is None:
         return found
     other = first_per_key(fallback, ["artist_key", "album_key"], ["pos", "id"]).select("artist_key", "album_key", F.col("id").alias("_id"), F.col("date").alias("_date"))

@@ -1,8 +1,8 @@
 """Collision-free file names.
 
 ``stateless`` numbers equal names in path order (by component) and ignores what is on disk: one
-window.  ``allocate`` follows a folder's files one after the other, with the names
-freed and taken on the way; the state is one folder's names.
+window.  ``allocate`` follows files one after the other, with the names freed and taken
+on the way; the state is a folder's names, or those of them that are alike but for numbers.
 """
 
 from __future__ import annotations
@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import cut
+from . import scan
 
+#: Folders above this many rows are dealt to tasks by their names.
+LARGE = 100_000
+#: Lists of large folders and sets are broadcast up to this many rows.
+BROADCAST_ROWS = 10_000
 _NUMBERED = re.compile(r"(.*) \((\d{1,9})\)(\.[^.]*)", re.DOTALL)
 
 
@@ -30,40 +36,86 @@ def stateless(named: DataFrame) -> DataFrame:
 
 
 def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
-    """(parent, path, new_name) by sequential allocation.
+    """(parent, path, new_name) by sequential allocation in path order (by component).
 
     A file whose wanted name is its own keeps it.  With ``compat`` its present name
     counts as taken while it looks for another, so that twins swap numbers on every
     run; without, a rerun changes nothing.
+
+    What names a file may get depends on names alike but for numbers in brackets, and on when those are left.
+    So a folder of more than ``LARGE`` rows is dealt by such names to many tasks.  In it a set of alike names of that size,
+    in which one name is wanted and none is left meanwhile, is numbered by ranges instead: the position among free
+    numbers and claims in one order is the number.  Just a larger set whose own names change is one task.
+    A null wanted name leaves the file as it is.
     """
 
-    def folder(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: pdf["path"].iloc[i].split("/"))]
-        own = [p.rsplit("/", 1)[-1] for p in pdf["path"]]
-        taken, out, last = set(own), [], {}
+        taken, out, last = set(pdf["own"][pdf["holds"]]), [], {}
+
         def free(name: str) -> None:
             taken.discard(name)
             if m := _NUMBERED.fullmatch(name):  # a lower number can be had again
                 key = m[1] + m[3]
                 last[key] = min(last.get(key, 1), max(int(m[2]) - 1, 1))
 
-        for name, want, ext, is_track in zip(own, pdf["wanted"], pdf["ext"], pdf["is_track"], strict=True):
-            key = new = f"{want}{ext}"
-            if is_track and new != name:
-                if not compat:
+        for path, name, want, ext, claims, moves in zip(*(pdf[c] for c in ("path", "own", "wanted", "ext", "claims", "moves")), strict=True):
+            if not claims:
+                if moves:
                     free(name)
-                k = last.get(key, 1)
-                while new in taken:
-                    k += 1
-                    new = f"{want} ({k}){ext}"
-                last[key] = max(k - 1, 1)
+                continue
+            key = new = f"{want}{ext}"
+            if not compat:
                 free(name)
-                taken.add(new)
-            out.append(new if is_track else name)
-        return pd.DataFrame({"parent": pdf["parent"], "path": pdf["path"], "new_name": out})
-
-    cols = named.select("parent", "path", "wanted", "ext", F.coalesce(F.col("is_track"), F.lit(True)).alias("is_track") if "is_track" in named.columns else F.lit(True).alias("is_track"))
-    return cols.groupBy("parent").applyInPandas(folder, "parent string, path string, new_name string")
+            k = last.get(key, 1)
+            while new in taken:
+                k += 1
+                new = f"{want} ({k}){ext}"
+            last[key] = max(k - 1, 1)
+            free(name)
+            taken.add(new)
+            out.append((pdf["parent"].iloc[0], path, new))
+        return pd.DataFrame(out, columns=["parent", "path", "new_name"], dtype=object)
+
+    track = F.coalesce("is_track", F.lit(True)) if "is_track" in named.columns else F.lit(True)
+    own = F.element_at(F.split("path", "/"), -1)
+    rows = named.select("parent", "path", "wanted", "ext", own.alias("own"), F.coalesce(F.concat("wanted", "ext"), own).alias("key"), track.alias("_track"))
+    rows = rows.withColumn("moves", F.col("_track") & (F.col("own") != F.col("key")))
+    asked, held = (F.regexp_replace(c, r" \(\d+\)", "") for c in ("key", "own"))
+    use = lambda root, claims, holds: F.struct(root.alias("root"), F.lit(claims).alias("claims"), holds.alias("holds"))
+    both = F.array_compact(F.array(F.when(F.col("moves"), use(asked, True, asked == held)), F.when(~F.col("moves") | (asked != held), use(held, False, F.lit(True)))))
+    uses = rows.select("parent", "path", "wanted", "ext", "own", "key", "moves", F.inline(both))
+    new, deals = None, uses.withColumn("deal", F.lit(0).cast("long"))
+    folders = cut(uses.groupBy("parent").agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE))
+    if n := folders.count():
+        sized = uses.join(F.broadcast(folders) if n <= BROADCAST_ROWS else folders, "parent", "left")
+        new, rest = _by_ranges(sized)
+        deals = rest.withColumn("deal", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("rows") / LARGE))))
+    told = deals.groupBy("parent", "deal").applyInPandas(follow, "parent string, path string, new_name string")
+    kept = rows.where(~F.col("moves")).select("parent", "path", F.col("own").alias("new_name"))
+    return kept.union(told) if new is None else kept.union(told).union(new)
+
+
+def _by_ranges(uses: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Names for large sets of alike names that stay as they are, and the uses of all other sets; rows is null in small folders."""
+    name = F.when(F.col("claims"), F.struct("wanted", "ext"))
+    sets = uses.where("rows IS NOT NULL").groupBy("parent", "root").agg(F.count("*").alias("n"), F.min(name).alias("least"), F.max(name).alias("most"), F.max(F.col("moves") & F.col("holds")).alias("left"))
+    large = cut(sets.where((F.col("n") > LARGE) & ~F.col("left") & (F.col("least") == F.col("most"))).select("parent", "root", F.col("least.wanted").alias("base"), F.col("least.ext").alias("end")))
+    n = large.count()
+    if not n:
+        return None, uses
+    keys = ["parent", "root"]
+    known = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    rest = uses.join(known, keys, "left_anti")
+    mine = uses.join(known, keys)
+    digits = F.regexp_extract(F.substring("own", F.length("base") + 1, F.length("own")), r"^ \(([1-9]\d{0,8})\)", 1)
+    number = F.when(F.col("own") == F.concat("base", "end"), 1).when((digits != "1") & (F.col("own") == F.concat("base", F.lit(" ("), digits, F.lit(")"), "end")), digits.try_cast("long"))
+    held = mine.where(~F.col("claims")).withColumn("number", number).where("number IS NOT NULL").select(*keys, "number").distinct()
+    gaps = scan.positions(held, keys, ["number"], "_n").select(*keys, (F.col("number") - F.col("_n")).alias("at"), F.lit(0).alias("claim"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("wanted"), F.lit(None).cast("string").alias("ext"))
+    asked = scan.positions(mine.where("claims").withColumn("_parts", T.path_parts("path")), keys, ["_parts"], "_n").select(*keys, (F.col("_n") - 1).alias("at"), F.lit(1).alias("claim"), "path", "wanted", "ext")
+    placed = scan.positions(gaps.union(asked), keys, ["at", "claim"], "_n").where("claim = 1")
+    new = F.concat("wanted", F.when(F.col("_n") > 1, F.format_string(" (%d)", "_n")).otherwise(""), "ext")
+    return placed.select("parent", "path", new.alias("new_name")), rest
 
 
 def sidecar_owners(tracks: DataFrame) -> DataFrame:
@@ -110,9 +162,15 @@ def header_writes(tracks: DataFrame, plan: DataFrame, lyrics: DataFrame) -> Data
     return rows.where("text <> new").select("path", F.col("new").alias("text"))
 
 
-def slots(requests: DataFrame, interval: float, keys: list[str], at: str, order: list[str]) -> DataFrame:
-    """Add ``slot``: when each request may go if requests of a key are at least ``interval`` apart, in arrival order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("_n", n).withColumn("slot", F.col("_n") * interval + F.max(F.col(at) - F.col("_n") * interval).over(run)).drop("_n")
+def slots(requests: DataFrame, interval: float, keys: list[str], at: str, order: list[str], blocks: int | None = None) -> DataFrame:
+    """Add ``slot``: when each request may go if requests of a key are at least ``interval`` apart, in arrival order.
 
+    The n-th request goes at n intervals after the latest of (arrival - its number's intervals) up to it: a running
+    maximum, taken range by range (see ``scan``), so that one key's requests spread over tasks.
+    """
+    placed = scan.positions(requests, keys, order, "_n", blocks).withColumn("_n", F.col("_n") - 1).withColumn("_over", F.col(at) - F.col("_n") * interval)
+    on = [*keys, "_block"]
+    tops = scan.carried(placed.groupBy(*on).agg(F.max("_over").alias("_over")), keys, "_over", F.max, "_top")
+    run = Window.partitionBy(*on).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    out = scan.with_carried(placed.withColumn("_run", F.max("_over").over(run)), tops, keys, "_top")
+    return out.withColumn("slot", F.col("_n") * interval + F.greatest("_run", "_top")).drop("_n", "_over", "_run", "_top", "_block")

@@ -7,6 +7,7 @@ sidecars, part and lineitem for folders, events for look-ups.
 from __future__ import annotations
 
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions import text as T
 from ..functions.tables import ARTIST_ALIASES, BROAD_GENRES, GENRE_BLACKLIST, GENRE_NAMES, LYRICS_JUNK
 from ..operators import albums, audio, audit, cache, enrich, rename, reports
 from ..sources import library, tags
+from ..staging import shared_dir
 
 FLAGSHIP = "audit_summary"
 
@@ -228,6 +230,25 @@ def cache_latest(spark, sf_dir):
     return cache.upsert(old, new).select("key", "value_json")
 
 
+def _cache_rows(spark, sf_dir) -> DataFrame:
+    (events,) = _read(spark, sf_dir, "events")
+    key, at = F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), F.col("ts").cast("timestamp")
+    return cache.entry(events.select(key.alias("key"), F.col("event_id").cast("string").alias("value_json"), at.alias("at")), F.col("at"))
+
+
+def cache_store(spark, sf_dir):
+    """The cache as stored: all entries, then every fifth again as a later run, which has new values for some keys."""
+    rows, path = _cache_rows(spark, sf_dir), f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    cache.store(rows.where("value_json % 5 > 0"), path, now)
+    cache.store(rows.where("value_json % 5 = 0"), path, now)
+    return cache.load(spark, path).where(F.col("expires_at") > now).select("key", "value_json", "expires_at")
+
+
+def cache_changes(spark, sf_dir):
+    return cache.changes(_cache_rows(spark, sf_dir))
+
+
 def cache_lookup(spark, sf_dir):
     (events,) = _read(spark, sf_dir, "events")
     key, at = F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), F.col("ts").cast("timestamp")
@@ -438,6 +459,25 @@ def rate_slots(spark, sf_dir):
     return rename.slots(events.withColumn("at", at), 60.0, ["user_id"], "at", ["ts", "event_id"]).select("event_id", F.round("slot", 3).alias("slot"))
 
 
+def provider_slots(spark, sf_dir):
+    """All requests to one provider, which one window would put into one task."""
+    (events,) = _read(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    one = events.select("event_id", "ts", at.alias("at"), F.lit("search").alias("provider"))
+    return rename.slots(one, 60.0, ["provider"], "at", ["ts", "event_id"]).select("event_id", F.round("slot", 3).alias("slot"))
+
+
+def rename_alike(spark, sf_dir):
+    """One folder in which a third of all files want one name, of which some numbers are taken; the others want a name by part."""
+    (line,) = _read(spark, sf_dir, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    wanted = F.when(k % 3 == 0, "x").otherwise(F.format_string("p%d", F.col("l_partkey")))
+    files = line.select(F.format_string("lib/%08d-%d.mp3", k, n).alias("path"), wanted.alias("wanted"), F.lit(True).alias("is_track"))
+    taken = line.where((n == 1) & (k % 4 == 1)).select(F.format_string("lib/x (%d).mp3", k).alias("path"), F.lit("x").alias("wanted"), F.lit(False).alias("is_track")).distinct()
+    named = files.union(taken).select(F.lit("lib").alias("parent"), "path", "wanted", F.lit(".mp3").alias("ext"), "is_track")
+    return rename.allocate(named).select("path", "new_name")
+
+
 def json_tags(spark, sf_dir):
     (events,) = _read(spark, sf_dir, "events")
     k = F.from_json("props", "k bigint").getField("k")
@@ -459,7 +499,7 @@ def track_numbers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
     single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
-    cache_latest, cache_lookup, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, high_frequency_energy, album_loudness, fingerprint_matches, event_tempo, rate_slots, json_tags, lookup_keys, track_numbers,
+    cache_latest, cache_lookup, cache_store, cache_changes, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, high_frequency_energy, album_loudness, fingerprint_matches, event_tempo, rate_slots, provider_slots, rename_alike, json_tags, lookup_keys, track_numbers,
 )}
 
 _GENRE = "CASE p_partkey % 8 WHEN 0 THEN 'hip hop' WHEN 1 THEN 'indie rock' WHEN 2 THEN 'Top 40 Pop' WHEN 3 THEN '1,234.5' WHEN 4 THEN p_type WHEN 5 THEN 'rnb' WHEN 6 THEN '90d' ELSE ' acid jazz ' || p_size END"
@@ -544,6 +584,12 @@ ORACLE_SQL = {
         coalesce(tagged, CASE WHEN k % 9 > 0 THEN 'Pop' END) AS genre, CASE WHEN k % 10 = 0 THEN 120.5::DOUBLE ELSE 90.0::DOUBLE END AS bpm, coalesce(n_name, fp, own) AS forced_mbid FROM g""",
     "cache_latest": """WITH r AS (SELECT user_id || ':' || event_type AS key, CAST(event_id AS VARCHAR) AS value_json, ts FROM events)
         SELECT key, value_json FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1""",
+    "cache_store": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, CAST(event_id AS VARCHAR) AS value_json, ts FROM events),
+        l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1)
+        SELECT key, value_json, ts + INTERVAL {cache.TTL} SECONDS AS expires_at FROM l WHERE ts + INTERVAL {cache.TTL} SECONDS > TIMESTAMP '2024-01-15 00:00:00'""",
+    "cache_changes": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, ts, max(CAST(event_id AS VARCHAR)) AS value_json FROM events GROUP BY ALL),
+        n AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS again, ts + INTERVAL {cache.TTL} SECONDS AS ends FROM r)
+        SELECT key, ts AS at, 'put' AS change, value_json FROM n UNION ALL SELECT key, ends, 'expired', NULL FROM n WHERE again IS NULL OR again > ends""",
     "cache_lookup": f"""WITH r AS (SELECT user_id || ':' || event_type AS key, event_id, ts FROM events), s AS (SELECT key, CAST(event_id AS VARCHAR) AS value_json, ts FROM r WHERE event_id % 4 > 0 AND event_id % 5 > 0),
         l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, value_json DESC) = 1)
         SELECT q.key, CASE WHEN l.ts + INTERVAL {cache.TTL} SECONDS > TIMESTAMP '2024-01-15 00:00:00' THEN l.value_json END AS value_json, NULL::VARCHAR AS bypassed FROM (SELECT DISTINCT key FROM r) q LEFT JOIN l USING (key)""",
@@ -590,6 +636,14 @@ ORACLE_SQL = {
         SELECT path, wanted || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.mp3' AS new_name FROM r""",
     "rate_slots": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
         SELECT event_id, round(n * 60.0::DOUBLE + max(epoch_us(ts) / 1000000.0::DOUBLE - n * 60.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS slot FROM r""",
+    "provider_slots": """WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events)
+        SELECT event_id, round(n * 60.0::DOUBLE + max(epoch_us(ts) / 1000000.0::DOUBLE - n * 60.0::DOUBLE) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS slot FROM r""",
+    "rename_alike": """WITH f AS (SELECT 'lib/' || printf('%08d-%d', l_orderkey, l_linenumber) || '.mp3' AS path, CASE WHEN l_orderkey % 3 = 0 THEN 'x' ELSE 'p' || l_partkey END AS w FROM lineitem),
+        t AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 1),
+        free AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM range(1, (SELECT count(*) + 2 FROM lineitem) + (SELECT count(*) FROM t)) AS g(k) WHERE k = 1 OR k NOT IN (SELECT k FROM t)),
+        r AS (SELECT path, w, row_number() OVER (PARTITION BY w ORDER BY path) AS i FROM f)
+        SELECT path, w || CASE WHEN coalesce(free.k, r.i) > 1 THEN ' (' || coalesce(free.k, r.i) || ')' ELSE '' END || '.mp3' AS new_name FROM r LEFT JOIN free ON w = 'x' AND r.i = free.i
+        UNION ALL SELECT 'lib/x (' || k || ').mp3', 'x (' || k || ').mp3' FROM t""",
     "json_tags": "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 THEN 't' || CAST(json_extract(props, '$.k') AS BIGINT) ELSE '' END AS names FROM events",
     "lookup_keys": f"SELECT c_custkey, 'search:' || {_NORM('c_name')} || ':' || {_NORM('c_mktsegment')} AS key FROM customer",
     "track_numbers": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 < 2 THEN l_linenumber END AS number FROM lineitem",
