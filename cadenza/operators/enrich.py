@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CadenzaError
 from ..functions import text as T
+from ..staging import cut
 from .albums import album_covers, gain_modes
 
 
@@ -45,21 +46,23 @@ def release_candidates(wanted: DataFrame, titled: DataFrame) -> DataFrame:
     long = F.length("album_key") >= GRAM
     grams = wanted.where(long).select("artist_key", "album_key", F.explode(pieces("album_key")).alias("_gram"))
     asked = grams.select("artist_key", "_gram").distinct()
-    index = titled.where(F.length("_title") >= GRAM).select("*", F.explode(pieces("_title")).alias("_gram")).join(asked, ["artist_key", "_gram"], "left_semi")
+    index = cut(titled.where(F.length("_title") >= GRAM).select("*", F.explode(pieces("_title")).alias("_gram")).join(asked, ["artist_key", "_gram"], "left_semi"))
     counts = index.groupBy("artist_key", "_gram").agg(F.count("*").alias("_n"))
     rarest = grams.join(counts, ["artist_key", "_gram"], "left").groupBy("artist_key", "album_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
     probes = rarest.where("_least.n > 0").select("artist_key", "album_key", F.col("_least.gram").alias("_gram"))
     return index.join(probes, ["artist_key", "_gram"]).drop("_gram").unionByName(titled.join(wanted.where(~long), "artist_key"))
 
 
-def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame | None = None, indexed: bool = False) -> DataFrame:
     """(artist_key, album_key, release_id, release_date): of an artist's releases the first whose title equals or contains the album; else the fallback search's first row.
 
-    An empty album or 'unknown album' matches nothing.
+    An empty album or 'unknown album' matches nothing.  A service gives at most ``RELEASE_LIMIT`` releases an artist, each
+    of which is held against the artist's albums; for tables without such a limit, ``indexed`` finds them by pieces of titles.
     """
     wanted = tracks.select("artist_key", "album_key").distinct().where("album_key NOT IN ('', 'unknown album', 'unknown')")
     titled = releases.select("artist_key", "pos", F.col("id").alias("release_id"), F.col("date").alias("release_date"), T.normalize_text("title").alias("_title"))
-    hits = release_candidates(wanted, titled).where(F.col("_title").contains(F.col("album_key")))
+    pairs = release_candidates(cut(wanted), titled) if indexed else wanted.join(titled, "artist_key")
+    hits = pairs.where(F.col("_title").contains(F.col("album_key")))
     first = F.min(F.struct("pos", "release_id", "release_date")).alias("_first")
     found = hits.groupBy("artist_key", "album_key").agg(first).select("artist_key", "album_key", "_first.release_id", "_first.release_date")
     if fallback is None:

@@ -88,7 +88,7 @@ def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
     new, deals = None, uses.withColumn("deal", F.lit(0).cast("long"))
     folders = cut(uses.groupBy("parent").agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE))
     if n := folders.count():
-        sized = uses.join(F.broadcast(folders) if n <= BROADCAST_ROWS else folders, "parent", "left")
+        sized = cut(uses.join(F.broadcast(folders) if n <= BROADCAST_ROWS else folders, "parent", "left"))
         new, rest = _by_ranges(sized)
         deals = rest.withColumn("deal", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("rows") / LARGE))))
     told = deals.groupBy("parent", "deal").applyInPandas(follow, "parent string, path string, new_name string")
@@ -112,7 +112,7 @@ def _by_ranges(uses: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     number = F.when(F.col("own") == F.concat("base", "end"), 1).when((digits != "1") & (F.col("own") == F.concat("base", F.lit(" ("), digits, F.lit(")"), "end")), digits.try_cast("long"))
     held = mine.where(~F.col("claims")).withColumn("number", number).where("number IS NOT NULL").select(*keys, "number").distinct()
     gaps = scan.positions(held, keys, ["number"], "_n").select(*keys, (F.col("number") - F.col("_n")).alias("at"), F.lit(0).alias("claim"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("wanted"), F.lit(None).cast("string").alias("ext"))
-    asked = scan.positions(mine.where("claims").withColumn("_parts", T.path_parts("path")), keys, ["_parts"], "_n").select(*keys, (F.col("_n") - 1).alias("at"), F.lit(1).alias("claim"), "path", "wanted", "ext")
+    asked = scan.positions(mine.where("claims").select(*keys, "path", "wanted", "ext", T.path_parts("path").alias("_parts")), keys, ["_parts"], "_n").select(*keys, (F.col("_n") - 1).alias("at"), F.lit(1).alias("claim"), "path", "wanted", "ext")
     placed = scan.positions(gaps.union(asked), keys, ["at", "claim"], "_n").where("claim = 1")
     new = F.concat("wanted", F.when(F.col("_n") > 1, F.format_string(" (%d)", "_n")).otherwise(""), "ext")
     return placed.select("parent", "path", new.alias("new_name")), rest

@@ -184,6 +184,15 @@ def first_match_contains(spark, sf_dir):
     return enrich.match_release(tracks, releases).select("artist_key", "album_key", "release_id")
 
 
+def first_match_indexed(spark, sf_dir):
+    """One artist with all releases: each album, two words of a name, by the pieces of titles."""
+    (part,) = _read(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    tracks = part.select(F.lit("a").alias("artist_key"), T.normalize_text(F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, 2))).alias("album_key"))
+    releases = part.select(F.lit("a").alias("artist_key"), F.col("p_partkey").cast("int").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("2001-02-03").alias("date"))
+    return enrich.match_release(tracks, releases, indexed=True).select("album_key", "release_id")
+
+
 def lookup_fallback(spark, sf_dir):
     (part,) = _read(spark, sf_dir, "part")
     word = lambda n: T.normalize_text(F.element_at(F.split("p_name", " "), n))
@@ -498,7 +507,7 @@ def track_numbers(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, sanitize_names, extract_date, genre_rules, alias_canonical, bracket_issues, format_names, suffix_paths, clean_text_lines, lrc_headers, missing_sidecar, semi_single,
-    single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
+    single_folders, uniform_properties, audit_summary, audit_issues, audit_report, tag_statistics, first_match_contains, first_match_indexed, lookup_fallback, score_threshold_first, top5_tags, precedence_chain,
     cache_latest, cache_lookup, cache_store, cache_changes, destination_dedupe, emptied_folders, first_recording, tag_choice, market_first, album_covers, artist_requests, desired_tags, tool_numbers, rename_stateless, rename_stateful, rename_taken_names, tag_round_trip, high_frequency_energy, album_loudness, fingerprint_matches, event_tempo, rate_slots, provider_slots, rename_alike, json_tags, lookup_keys, track_numbers,
 )}
 
@@ -568,6 +577,9 @@ ORACLE_SQL = {
     "first_match_contains": f"""WITH w AS (SELECT DISTINCT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key FROM part),
         r AS (SELECT {_NORM('p_brand')} AS artist_key, p_partkey AS pos, {_NORM('p_name')} AS t FROM part)
         SELECT artist_key, album_key, CAST(min(pos) AS VARCHAR) AS release_id FROM w JOIN r USING (artist_key) WHERE contains(t, album_key) GROUP BY ALL""",
+    "first_match_indexed": f"""WITH w AS (SELECT DISTINCT {_NORM("concat_ws(' ', string_split(p_name, ' ')[1], string_split(p_name, ' ')[2])")} AS album_key FROM part),
+        r AS (SELECT p_partkey AS pos, {_NORM('p_name')} AS t FROM part)
+        SELECT album_key, CAST(min(pos) AS VARCHAR) AS release_id FROM w JOIN r ON contains(t, album_key) WHERE album_key <> '' GROUP BY ALL""",
     "lookup_fallback": f"""WITH w AS (SELECT DISTINCT {_NORM('p_brand')} AS artist_key, {_NORM("string_split(p_name, ' ')[1]")} AS album_key FROM part),
         r AS (SELECT {_NORM('p_brand')} AS artist_key, p_partkey % 90 AS pos, p_partkey::VARCHAR AS id, {_NORM('p_name')} AS t FROM part WHERE p_partkey % 3 = 0),
         m AS (SELECT artist_key, album_key, min(x).id AS id FROM (SELECT artist_key, album_key, {{'pos': pos, 'id': id}} AS x FROM w JOIN r USING (artist_key) WHERE contains(t, album_key)) GROUP BY ALL),

@@ -97,7 +97,7 @@ def test_releases_of_one_artist_are_found_by_their_rarest_piece(spark):
     some = [r.title for r in titles.where("pos % 997 = 0").collect()]
     albums = [("a", t[14:20].lower()) for t in some] + [("a", "no such one"), ("a", "hits"), ("a", "zz"), ("b", "hits"), ("a", "")]
     wanted = spark.createDataFrame(albums, "artist_key string, album_key string")
-    got = {(r.artist_key, r.album_key): r.release_id for r in enrich.match_release(wanted, titles).collect()}
+    got = {(r.artist_key, r.album_key): r.release_id for r in enrich.match_release(wanted, titles, indexed=True).collect()}
     held = [(int(r.id), r.title.lower()) for r in titles.collect()]
     for artist, album in albums:
         first = min((i for i, t in held if album in t), default=None) if artist == "a" and album else None
