@@ -17,8 +17,9 @@ with t = -1 is not probed at all.
 
 At scale: equal fingerprints are one row before any search, so copies cost nothing.  A key's
 fingerprints meet in one task as a sorted stream of at most ``BUCKET`` rows, which yields a
-spanning forest of its verified links, not all pairs.  Fingerprints of larger keys are linked
-without pairs: each is sent to all ``2 * BALL`` radius-2 neighbours, and all that meet in one
+spanning forest of its verified links, not all pairs.  Larger keys are split by the same principle:
+their fingerprints go to five finer keys each, up to ``LEVELS`` times.  What is larger even then is linked
+without pairs: each fingerprint is sent to its 2,081 neighbours within 2 bits, and all that meet in one
 are within 4 bits of each other, so one link to the least suffices.  Only the matrix and
 the counts of the parts reach the driver, whose size does not grow.
 
@@ -31,6 +32,7 @@ component_id is its least id that is not null; an empty table gives no rows; oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -46,6 +48,8 @@ from .runtime import arrow_map, batch, cut, ship, table
 GRAM, SEED, BITS, LIMIT = 4, 42, 64, 4
 #: Fingerprints that one key may bring together; shingles counted at once; a probe's cost in candidate tests.
 BUCKET, BLOCK, PROBE = 1 << 14, 1 << 15, 100
+#: How often a key of more fingerprints is split before its fingerprints are linked through common neighbours.
+LEVELS = 3
 _ONE = np.uint64(1)
 
 
@@ -201,7 +205,9 @@ def _signatures(plan: list[tuple[list[int], int]]) -> Column:
 def forest(run: np.ndarray, fps: np.ndarray, near: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of links within limit bits that connect what links of each run connect; equal values of run lie together."""
     n = len(run)
-    begin = np.flatnonzero(np.diff(run, prepend=run[:1] - 1)) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.diff(run, prepend=run[:1] - 1))
     after = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n))) - np.arange(n) - 1  # members of the run behind each
     root, out = np.arange(n), []
 
@@ -243,7 +249,8 @@ def _bucket_links(rows: DataFrame, limit: int) -> DataFrame:
             new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             last = int(new[-1]) if len(new) else 0
             held = [c[last:] for c in cols]
-            yield links([c[:last] for c in cols])
+            if last:  # else all rows so far are one key's
+                yield links([c[:last] for c in cols])
         if held is not None:
             yield links(held)
 
@@ -266,16 +273,38 @@ def _meeting_links(fps: DataFrame) -> DataFrame:
     return points.join(least, "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def _even_parts(n: int, both: np.ndarray, level: int) -> list[int]:
+    """Masks of ``LIMIT`` + 1 parts among which the bits are dealt by how evenly they are set, so that each part has its share of free ones."""
+    p = np.diag(both) / max(n, 1)
+    mixed = np.random.default_rng(level).permutation(BITS)
+    order = mixed[np.argsort(-np.round(p * (1 - p), 2)[mixed], kind="stable")]
+    return [_mask(order[i :: LIMIT + 1].tolist()) for i in range(LIMIT + 1)]
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of large keys under finer keys: two within ``LIMIT`` bits agree in one of ``LIMIT`` + 1 parts, whichever these are."""
+    masks = _even_parts(*bit_counts(rows.select("fp").distinct()), level)
+    held = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)))
+    own = F.xxhash64("part", "key", "p.i", F.col("fp").bitwiseAND(F.col("p.m")))  # keys that a hash joins cost time, not links
+    return rows.select("*", F.explode(held).alias("p")).select(F.col("p.i").alias("part"), own.alias("key"), "fp", "near")
+
+
 def close_links(fps: DataFrame, plan: list[tuple[list[int], int]] | None = None, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of distinct fingerprints whose components are those of all pairs within ``LIMIT`` bits."""
     plan = plan or search_plan(fps)
     rows = fps.select("fp", F.explode(_signatures(plan)).alias("s")).select("s.part", F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), "fp", "s.near")
-    large = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("part", "key"))
-    if large.isEmpty():
-        return _bucket_links(rows, LIMIT)
-    crowded = table(rows.join(large, ["part", "key"], "left_semi").select("fp").distinct())
-    rest = table(rows.join(large, ["part", "key"], "left_anti"))  # else the join stands for the exchange and the sort, and may become a broadcast
-    return _bucket_links(rest, LIMIT).union(_meeting_links(crowded))
+    found = []
+    for level in range(LEVELS + 1):
+        large = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("part", "key"))
+        if large.isEmpty():
+            break
+        crowded = table(rows.join(large, ["part", "key"], "left_semi"))
+        rest = table(rows.join(large, ["part", "key"], "left_anti"))  # else the join stands for the exchange and the sort, and may become a broadcast
+        found.append(_bucket_links(rest, LIMIT))
+        rows = _split(crowded, level) if level < LEVELS else _meeting_links(table(crowded.select("fp").distinct()))
+    else:
+        return reduce(DataFrame.union, found, rows)
+    return reduce(DataFrame.union, found, _bucket_links(rows, LIMIT))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:

@@ -139,3 +139,37 @@ def test_query_on_whole_table(spark):
     low = plain_groups(prints, [r.doc_id for r in docs])
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op13_simhash_pigeonhole"](spark, sf).collect()}
     assert got == {r.doc_id: (f"{f:016x}", c) for r, f, c in zip(docs, prints, low, strict=True)}
+
+
+def test_keys_longer_than_an_arrow_batch(spark):
+    """All rows of a batch may belong to one key, which is then not complete."""
+    assert [len(x) for x in simhash.forest(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), 4)] == [0, 0]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        prints = [(i << 20) | 5 for i in range(64)]
+        links = simhash.close_links(spark.createDataFrame([(x,) for x in prints], "fp long"), [(list(range(20)), 0), (list(range(40, 64)), 3)]).collect()
+    finally:
+        spark.conf.set(size, was)
+    near = {x: x for x in prints}
+    for _ in prints:
+        for r in links:
+            near[r.a] = near[r.b] = min(near[r.a], near[r.b])
+    assert set(near.values()) == {5}
+
+
+def test_large_keys_are_split_before_neighbours_are_tried(spark, monkeypatch):
+    """A key of 3,000 fingerprints that differ elsewhere comes down to small keys; no fingerprint goes to its 2,081 neighbours."""
+    monkeypatch.setattr(simhash, "_meeting_links", lambda fps: pytest.fail("not split"))
+    rnd = random.Random(8)
+    prints = [rnd.getrandbits(50) << 13 for _ in range(1500)]
+    prints = sorted({*prints, *(p ^ (1 << rnd.randrange(13, 63)) ^ (1 << rnd.randrange(13, 63)) for p in prints)})
+    plan = [(list(range(13)), 0), *((list(range(13 + 13 * i, min(26 + 13 * i, 64))), 0) for i in range(4))]
+    links = simhash.close_links(spark.createDataFrame([(p,) for p in prints], "fp long"), plan, 64).collect()
+    low = plain_groups(prints, prints)
+    near = {p: p for p in prints}
+    for _ in range(20):
+        for r in links:
+            near[r.a] = near[r.b] = min(near[r.a], near[r.b])
+    assert [near[p] for p in prints] == low
