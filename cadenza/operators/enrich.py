@@ -39,18 +39,19 @@ GRAM = 3
 def release_candidates(wanted: DataFrame, titled: DataFrame) -> DataFrame:
     """Pairs of wanted (artist_key, album_key) and titled (artist_key, _title, ...) that may hold the album in the title: all that do, and few others.
 
-    Titles are indexed by their pieces of ``GRAM`` characters; an album asks for the piece of its own that the fewest
-    of its artist's titles have.  Albums shorter than a piece, which most titles hold, are joined by artist.
+    Titles are found by their pieces of ``GRAM`` characters; an album asks for the piece of its own that the fewest
+    of its artist's titles have.  An album shorter than that is a piece itself.  Pieces are made twice, to count
+    titles and to find them, and are not kept.
     """
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
-    long = F.length("album_key") >= GRAM
-    grams = wanted.where(long).select("artist_key", "album_key", F.explode(pieces("album_key")).alias("_gram"))
+    parts = lambda c, size: F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(F.col(c), i, F.lit(size)))))
+    own = F.when(F.length("album_key") >= GRAM, parts("album_key", GRAM)).otherwise(F.array("album_key"))
+    grams = wanted.where(F.length("album_key") > 0).select("artist_key", "album_key", F.explode(own).alias("_gram"))
     asked = grams.select("artist_key", "_gram").distinct()
-    index = cut(titled.where(F.length("_title") >= GRAM).select("*", F.explode(pieces("_title")).alias("_gram")).join(asked, ["artist_key", "_gram"], "left_semi"))
-    counts = index.groupBy("artist_key", "_gram").agg(F.count("*").alias("_n"))
+    every = F.flatten(F.array_compact(F.array(*(parts("_title", n) for n in range(1, GRAM + 1)))))
+    counts = titled.select("artist_key", F.explode(every).alias("_gram")).join(asked, ["artist_key", "_gram"], "left_semi").groupBy("artist_key", "_gram").agg(F.count("*").alias("_n"))
     rarest = grams.join(counts, ["artist_key", "_gram"], "left").groupBy("artist_key", "album_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
-    probes = rarest.where("_least.n > 0").select("artist_key", "album_key", F.col("_least.gram").alias("_gram"))
-    return index.join(probes, ["artist_key", "_gram"]).drop("_gram").unionByName(titled.join(wanted.where(~long), "artist_key"))
+    probes = cut(rarest.where("_least.n > 0").select("artist_key", "album_key", F.col("_least.gram").alias("_gram")))
+    return titled.select("*", F.explode(every).alias("_gram")).join(probes, ["artist_key", "_gram"]).drop("_gram")
 
 
 def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame | None = None, indexed: bool = False) -> DataFrame:
@@ -60,10 +61,11 @@ def match_release(tracks: DataFrame, releases: DataFrame, fallback: DataFrame |
     of which is held against the artist's albums; for tables without such a limit, ``indexed`` finds them by pieces of titles.
     """
     wanted = tracks.select("artist_key", "album_key").distinct().where("album_key NOT IN ('', 'unknown album', 'unknown')")
+    first = F.min(F.struct("pos", "release_id", "release_date")).alias("_first")
     titled = releases.select("artist_key", "pos", F.col("id").alias("release_id"), F.col("date").alias("release_date"), T.normalize_text("title").alias("_title"))
-    pairs = release_candidates(cut(wanted), titled) if indexed else wanted.join(titled, "artist_key")
+    titled = titled.groupBy("artist_key", "_title").agg(first).select("artist_key", "_title", "_first.*")  # of equal titles none but the first can be chosen
+    pairs = release_candidates(cut(wanted), cut(titled)) if indexed else wanted.join(titled, "artist_key")
     hits = pairs.where(F.col("_title").contains(F.col("album_key")))
-    first = F.min(F.struct("pos", "release_id", "release_date")).alias("_first")
     found = hits.groupBy("artist_key", "album_key").agg(first).select("artist_key", "album_key", "_first.release_id", "_first.release_date")
     if fallback is None:
         return found

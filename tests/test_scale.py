@@ -144,3 +144,16 @@ def test_stream_of_cache_rows_expires_entries(spark, tmp_path):
         assert shown(spark.read.parquet(f"{tmp_path}/out")) == shown(cache.changes(static))
     finally:
         spark.conf.set(provider, was)
+
+
+def test_equal_titles_are_held_against_an_album_once(spark, monkeypatch):
+    """Many releases of few names: candidates do not grow with them, and short albums need no join of all titles."""
+    titles = spark.range(20_000).select(F.lit("a").alias("artist_key"), (F.col("id") % 9000).cast("int").alias("pos"), F.col("id").cast("string").alias("id"), F.concat(F.lit("name "), (F.col("id") % 5).cast("string")).alias("title"), F.lit("2001").alias("date"))
+    wanted = spark.createDataFrame([("a", k) for k in ("name 3", "e", "4", "me", "zz", "n 4")] + [("b", "e")], "artist_key string, album_key string")
+    pairs = []
+    plain = enrich.release_candidates
+    monkeypatch.setattr(enrich, "release_candidates", lambda w, t: pairs.append(plain(w, t)) or pairs[-1])
+    got = {(r.artist_key, r.album_key): r.release_id for r in enrich.match_release(wanted, titles, indexed=True).collect()}
+    least = lambda k: min((i % 9000, str(i)) for i in range(20_000) if k in f"name {i % 5}")[1]
+    assert got == {("a", k): least(k) for k in ("name 3", "e", "4", "me")}
+    assert pairs[0].count() <= 20
