@@ -7,7 +7,7 @@ counts as missing wherever the library treats it so, hence ``present``.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +36,17 @@ def _folder():
     # a local function travels to the executors by value, so that they need no copy of this package
     import unicodedata
 
-    def fold_series(values: pd.Series) -> pd.Series:
-        def one(s):
-            if s.isascii():
-                return s.lower()
-            return "".join(ch for ch in unicodedata.normalize("NFD", s.lower()) if unicodedata.category(ch) != "Mn")
+    def one(s):
+        if s is None or s.isascii():
+            return s and s.lower()
+        return "".join(ch for ch in unicodedata.normalize("NFD", s.lower()) if unicodedata.category(ch) != "Mn")
 
-        return values.map(one, na_action="ignore")
+    def fold_array(values: pa.Array) -> pa.Array:
+        # a few texts at a time are Python strings, whatever the batch holds
+        parts = (values.slice(i, 64).to_pylist() for i in range(0, max(len(values), 1), 64))
+        return pa.concat_arrays([pa.array([one(s) for s in part], values.type) for part in parts])
 
-    return F.pandas_udf(fold_series, "string")
+    return F.arrow_udf(fold_array, "string")
 
 
 def fold(c: Column | str) -> Column:
@@ -123,8 +125,9 @@ def bracket_groups(c: Column | str) -> Column:
 
 def bracket_issues(c: Column | str) -> Column:
     """A message for each bracket group that holds a junk keyword, in text order, repeats kept."""
-    # folding keeps brackets, so that raw and folded groups match one to one
-    pairs = F.arrays_zip(bracket_groups(c).alias("raw"), bracket_groups(fold(c)).alias("low"))
+    # groups hold no line breaks and folding makes none; just the groups are folded, however long the text is
+    raw = bracket_groups(c)
+    pairs = F.arrays_zip(raw.alias("raw"), F.split(fold(F.array_join(raw, "\n")), "\n").alias("low"))
     bad = F.filter(pairs, lambda g: normalize_ascii(g["low"]).rlike(_any_of(BRACKET_KEYWORDS)))
     return F.transform(bad, lambda g: F.concat(F.lit("Corrupt bracket metadata: '"), g["raw"], F.lit("'")))
 
