@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import cut, small
 from .rename import sidecar_moves
 
 
@@ -16,9 +17,10 @@ def folder_classes(tracks: DataFrame) -> DataFrame:
 
 
 def first_wins(actions: DataFrame) -> DataFrame:
-    """Of actions with equal destination the one with the least source."""
-    w = Window.partitionBy("dst").orderBy("src")
-    return actions.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """Of actions with equal destination the one with the least source; an aggregate, as one destination may be wanted by very many."""
+    rest = [c for c in actions.columns if c not in ("src", "dst")]
+    first = actions.groupBy("dst").agg(F.min(F.struct("src", *rest)).alias("_first"))
+    return first.select(*(c if c == "dst" else F.col(f"_first.{c}") for c in actions.columns))
 
 
 def plan_singles(tracks: DataFrame, existing: DataFrame, target: str) -> DataFrame:
@@ -32,7 +34,9 @@ def plan_singles(tracks: DataFrame, existing: DataFrame, target: str) -> DataFra
     artist, title = T.sanitize_name("artist"), T.sanitize_name("title")
     dst = F.concat(F.lit(target.rstrip("/") + "/"), artist, F.lit("/"), artist, F.lit(" - "), title, F.col("ext"))
     moves = tracks.join(single, "parent", "left_semi").select(F.col("path").alias("src"), dst.alias("dst"), F.lit("move").alias("kind")).where("src <> dst")
-    return first_wins(moves.join(existing.select(F.col("path").alias("dst")), "dst", "left_anti"))
+    first = cut(first_wins(moves))  # whether a place is taken is the same for all who want it
+    taken = cut(existing.select(F.col("path").alias("dst")).join(small(first.select("dst")), "dst", "left_semi").distinct())
+    return cut(first.join(small(taken), "dst", "left_anti").select("src", "dst", "kind"))
 
 
 def with_sidecars(moves: DataFrame, existing: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
@@ -44,7 +48,8 @@ def with_sidecars(moves: DataFrame, existing: DataFrame, tracks: DataFrame | Non
 
 def emptied_folders(moves: DataFrame, files: DataFrame) -> DataFrame:
     """Parents all of whose files move away."""
-    moved = files.join(moves.select(F.col("src").alias("path"), F.lit(1).alias("_moved")).distinct(), "path", "left")
+    gone = cut(moves.select(F.col("src").alias("path"), F.lit(1).alias("_moved")).distinct())
+    moved = files.join(small(gone), "path", "left")
     return moved.groupBy("parent").agg(F.count("*").alias("n"), F.count("_moved").alias("n_moved")).where("n = n_moved").select("parent")
 
 

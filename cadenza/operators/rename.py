@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..staging import cut
+from ..staging import BROADCAST_ROWS, cut, small
 from . import scan
 
 #: Folders above this many rows are dealt to tasks by their names.
 LARGE = 100_000
-#: Lists of large folders and sets are broadcast up to this many rows.
-BROADCAST_ROWS = 10_000
 _NUMBERED = re.compile(r"(.*) \((\d{1,9})\)(\.[^.]*)", re.DOTALL)
 
 
@@ -131,9 +129,11 @@ def sidecar_moves(moves: DataFrame, files: DataFrame, tracks: DataFrame) -> Data
     One whose place is taken, by a file that is there or by a sidecar of an earlier source, is a conflict.
     """
     owned = sidecar_owners(tracks.select("path")).withColumnRenamed("path", "_owner")
-    paths = files.select("path")
     lrc = moves.select(F.col("src").alias("_owner"), T.with_suffix("dst", ".lrc").alias("dst")).join(owned, "_owner").select(F.col("lrc").alias("src"), "dst")
-    lrc = lrc.where("src <> dst").join(paths.withColumnRenamed("path", "src"), "src", "left_semi").join(paths.select(F.col("path").alias("dst"), F.lit(True).alias("_there")), "dst", "left")
+    lrc = cut(lrc.where("src <> dst"))
+    asked = cut(lrc.select(F.explode(F.array("src", "dst")).alias("path")).distinct())
+    there = small(cut(files.select("path").join(small(asked), "path", "left_semi").distinct()))  # one pass over all files
+    lrc = lrc.join(there.withColumnRenamed("path", "src"), "src", "left_semi").join(there.select(F.col("path").alias("dst"), F.lit(True).alias("_there")), "dst", "left")
     first = F.row_number().over(Window.partitionBy("dst").orderBy(T.path_parts("src"))) == 1
     return lrc.select("src", "dst", F.lit("sidecar").alias("kind"), F.when(F.col("_there").isNull() & first, "planned").otherwise("conflict").alias("status"))
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables written down are broadcast up to this many rows.
+BROADCAST_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table that is written down, with a hint to broadcast it if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

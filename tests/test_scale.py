@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import streaming
-from cadenza.operators import cache, enrich, rename, scan
+from cadenza.operators import albums, cache, enrich, rename, scan
 
 
 def test_positions_follow_one_window_whatever_the_blocks(spark):
@@ -157,3 +157,23 @@ def test_equal_titles_are_held_against_an_album_once(spark, monkeypatch):
     least = lambda k: min((i % 9000, str(i)) for i in range(20_000) if k in f"name {i % 5}")[1]
     assert got == {("a", k): least(k) for k in ("name 3", "e", "4", "me")}
     assert pairs[0].count() <= 20
+
+
+def test_one_wanted_place_is_no_task_of_its_own(spark):
+    """First sources are aggregated before rows are dealt; a window would sort all that want one place in one task."""
+    moves = spark.range(2000).select(F.format_string("s%04d", (F.col("id") * 7) % 2000).alias("src"), F.when(F.col("id") % 10 > 0, "hot").otherwise(F.format_string("d%d", "id")).alias("dst"), F.lit("move").alias("kind"))
+    first = albums.first_wins(moves)
+    assert "Window" not in first._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in moves.collect():
+        want[r.dst] = min(want.get(r.dst, r.src), r.src)
+    assert {(r.src, r.dst, r.kind) for r in first.collect()} == {(s, d, "move") for d, s in want.items()}
+
+
+def test_files_are_not_dealt_for_few_sidecars(spark):
+    """Of all files those that few moves ask for are picked out by a broadcast, not by joins that deal every file."""
+    moves = spark.createDataFrame([("a/x.mp3", "b/x.mp3"), ("a/y.mp3", "b/y.mp3")], "src string, dst string")
+    files = spark.range(100_000).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("path")).union(spark.createDataFrame([("a/x.lrc",), ("a/y.lrc",), ("b/y.lrc",)], "path string"))
+    plan = rename.sidecar_moves(moves, files, moves.select(F.col("src").alias("path")))
+    assert {tuple(r) for r in plan.collect()} == {("a/x.lrc", "b/x.lrc", "sidecar", "planned"), ("a/y.lrc", "b/y.lrc", "sidecar", "conflict")}
+    assert "Range (0, 100000" not in plan._jdf.queryExecution().executedPlan().toString()
