@@ -222,8 +222,8 @@ def lyrics_writes(tagged: DataFrame) -> DataFrame:
     return both[0].union(both[1])
 
 
-def desired_tags(tracks: DataFrame) -> DataFrame:
-    """(path, tags): what to write into each file, only non-empty fields, in the format's own spelling."""
+def desired_tags(tracks: DataFrame, *keep: str) -> DataFrame:
+    """(path, tags) and the columns to keep: what to write into each file, only non-empty fields, in the format's own spelling."""
     flac = F.col("path").rlike(r"(?i)\.flac$")
     bpm = F.when(flac, F.format_string("%.1f", "bpm")).otherwise(F.bround("bpm").cast("int").cast("string"))
     fields = {
@@ -233,4 +233,4 @@ def desired_tags(tracks: DataFrame) -> DataFrame:
         "replaygain_track_gain": F.when(F.col("track_gain").isNotNull(), F.format_string("%+.2f dB", "track_gain")), "replaygain_track_peak": F.when(F.col("track_peak").isNotNull(), F.format_string("%.6f", "track_peak")),
     }
     pairs = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), T.present(v))])
-    return tracks.select("path", F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("tags"))
+    return tracks.select("path", *keep, F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("tags"))

@@ -205,8 +205,8 @@ def tag(tags, name: str):
     return F.coalesce(T.present(low), T.present(up))
 
 
-def tracks_from_tags(raw: DataFrame) -> DataFrame:
-    """Track fields from (path, tags, sample_rate, bitrate, channels), with the sentinels of missing names."""
+def tracks_from_tags(raw: DataFrame, *keep: str) -> DataFrame:
+    """Track fields from (path, tags, sample_rate, bitrate, channels), with the sentinels of missing names, and the columns to keep."""
     t = F.col("tags")
     g = lambda n: tag(t, n)
     return raw.select(
@@ -214,14 +214,13 @@ def tracks_from_tags(raw: DataFrame) -> DataFrame:
         F.coalesce(g("album"), F.lit("Unknown Album")).alias("album"), g("albumartist").alias("album_artist"), T.track_number(g("tracknumber")).alias("track_number"), F.lit(1).alias("disc_number"),
         F.coalesce(g("date"), g("year")).alias("date"), T.normalize_genre(g("genre")).alias("genre"), g("isrc").alias("isrc"), T.decimal_number(g("bpm")).alias("bpm"),
         T.present(F.try_element_at(F.try_element_at(t, F.lit("musicbrainz_trackid")), F.lit(1))).alias("mbid"), T.present(F.try_element_at(F.try_element_at(t, F.lit("musicbrainz_albumid")), F.lit(1))).alias("album_mbid"),
-        "sample_rate", "bitrate", "channels", F.lit(True).alias("is_lossless"),
+        "sample_rate", "bitrate", "channels", F.lit(True).alias("is_lossless"), *keep,
     )
 
 
 def read_tracks(files: DataFrame) -> DataFrame:
     """Track fields and read_error of files (path), from their own tags."""
-    found = read_tags(files)
-    return tracks_from_tags(found).join(found.select("path", "bits", "read_error"), "path")
+    return tracks_from_tags(read_tags(files), "bits", "read_error")
 
 
 def covers(files: DataFrame) -> DataFrame:

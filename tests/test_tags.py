@@ -139,3 +139,9 @@ def test_tag_verb_writes_what_it_plans(spark, tmp_path):
     assert (lib / "bad.flac").read_bytes() == b"bad"
     assert cli.main(["rename", str(lib)]) == 0
     assert (lib / "03 - Nane - T.flac").exists() and (lib / "bad.flac").exists()
+
+
+def test_files_are_tagged_without_a_join(spark):
+    """Contents stay beside their tags: no task sorts or hashes files, whatever their number."""
+    plan = catalogue.QUERIES["tag_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # parts are dealt before files are made of them
