@@ -17,6 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import cut, small
+
 #: Loudness: blocks of so many frames, absolute and relative gate, the reference level, histogram bins a unit.
 BLOCK, GATE, RELATIVE, REFERENCE, BINS = 4, -70.0, -10.0, -18.0, 10
 _OFFSET = -0.691
@@ -213,6 +215,56 @@ def match_prints(asked: DataFrame, known: DataFrame, most: float = 0.01) -> Data
     return best.join(total, "path").select("path", "found", "offset", "votes", (F.col("votes") / F.col("_all")).alias("score"))
 
 
+def _shifts(threshold: float, reach: int, width: int):
+    """Of a block of asked peaks and a stretch of known ones of twice the width, the shifts at which the block may reach the threshold."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        (t0, f0), (t1, f1) = (np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in row[c]], np.int64).T for c in ("own", "there"))
+        start, base = t0.min(), int(row["b"]) * width
+        total = np.zeros(width + 1, complex)
+        for f in np.intersect1d(f0, f1):
+            x, y = (np.fft.rfft(np.bincount(t[g == f] - at, minlength=2 * width)) for t, g, at in ((t0, f0, start), (t1, f1, base)))
+            total += x.conj() * y
+        common = np.rint(np.fft.irfft(total)[:width])
+        d = np.flatnonzero(common * reach * row["most"] >= threshold * row["marks"] * (1 - 1e-9))
+        return pd.DataFrame({"path": row["path"], "found": row["found"], "offset": d + base - start})
+
+    return find
+
+
+def match_long(asked: DataFrame, known: DataFrame, threshold: float = 0.2, reach: int = 5, width: int = 1 << 15) -> DataFrame:
+    """match_prints and accepted for peaks (path, at, f) of long tracks with few frequencies, where landmarks meet at every shift.
+
+    A landmark that agrees has a first peak that agrees, and no peak has more than ``reach`` frames times the peaks of one after it.  So a track
+    that reaches the threshold has a block of frames in which common peaks reach that share of its landmarks.  Peaks in
+    common are counted for all shifts of a block at once, by Fourier transforms; at the shifts that are left
+    landmarks are counted one by one, so that votes and scores are exact.
+    """
+    asked, known = cut(asked), cut(known)
+    marks = landmarks(asked, reach)
+    ends = asked.groupBy("path").agg(F.min("at").alias("_lo"), (F.max("at") - F.min("at") + 1).alias("_n"))
+    block = lambda rows: rows.join(F.broadcast(ends), "path").withColumn("a", F.expr(f"(at - _lo) * ceil(_n / {width}) div _n"))
+    peak = F.collect_list(F.struct("at", "f"))
+    own = block(asked).groupBy("path", "a").agg(peak.alias("own")).join(block(marks).groupBy("path", "a").agg(F.count("*").alias("marks")), ["path", "a"])
+    b = F.floor(F.col("at") / width)
+    there = known.select(F.col("path").alias("found"), "at", "f", F.explode(F.array(b, b - 1)).alias("b")).groupBy("found", "b").agg(peak.alias("there"))
+    frame = asked.groupBy("path", "at").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    twice = known.groupBy("path", "at", "f").agg(F.count("*").alias("m")).agg(F.max("m").alias("m"))
+    most = frame.crossJoin(twice).select((F.col("n") * F.col("m")).alias("most"))  # one row
+    pairs = own.crossJoin(there).crossJoin(F.broadcast(most))
+    kinds = {**dict(asked.dtypes), **dict(known.select(F.col("path").alias("found")).dtypes)}
+    maybe = pairs.groupBy("path", "a", "found", "b").applyInPandas(_shifts(threshold, reach, width), f"path {kinds['path']}, found {kinds['found']}, offset bigint")
+    maybe = cut(maybe.distinct())
+    at = (F.col("at") + F.col("offset")).alias("there")
+    index = landmarks(known, reach).select(F.col("path").alias("found"), F.col("at").alias("there"), "key")
+    every = marks.join(small(maybe), "path").select("path", "found", "offset", at, "key").join(index, ["found", "there", "key"]).groupBy("path", "found", "offset").agg(F.count("*").alias("votes"))
+    total = marks.groupBy("path").agg(F.count("*").alias("_all"))
+    good = accepted(every.join(total, "path").withColumn("score", F.col("votes") / F.col("_all")), threshold)
+    w = Window.partitionBy("path").orderBy(F.desc("votes"), "found", "offset")
+    return good.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select("path", "found", "offset", "votes", "score")
+
+
 def accepted(matches: DataFrame, threshold: float | Column = 0.2) -> DataFrame:
     """Matches whose score reaches the threshold."""
     return matches.where(F.col("score") >= threshold)

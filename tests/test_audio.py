@@ -140,3 +140,18 @@ def test_tempo_of_events_is_that_of_plain_steps(spark):
             score = np.mean(np.interp(at, range(n), auto) - 0.5 * np.interp([v - 300 / bpm for v in at], range(n), auto)) * np.exp(-0.5 * np.log2(bpm / 120) ** 2) if at else -np.exp(-0.5 * np.log2(bpm / 120) ** 2)
             best = max(best, (score + 1e-12, bpm), key=lambda v: round(v[0], 9))
         assert got[user] is None if best[0] <= 0 else abs(got[user] - best[1]) < 0.051
+
+
+@pytest.mark.parametrize("width", [16, 37, 1 << 15])
+def test_long_tracks_match_as_all_landmarks_do(spark, width):
+    """Against the count of all meeting landmarks, with repeated frames, gaps and a track of no landmarks."""
+    rnd = np.random.default_rng(width)
+    peaks = lambda n: [(at, int(f)) for at in range(n) if at % 19 for f in rnd.choice(12, 3, replace=False)]
+    known = {f"k{i}": peaks(150) for i in range(4)}
+    known["k1"] += known["k1"][:30]
+    asked = {f"q{i}": [(at - 40, f if rnd.random() < 0.8 else int(rnd.integers(12))) for at, f in known[f"k{i}"] if at >= 40] for i in range(3)} | {"new": peaks(60), "none": [(3, 1)]}
+    rows = lambda t: spark.createDataFrame([(p, at, f) for p, x in t.items() for at, f in x], "path string, at long, f int")
+    a, k = rows(asked), rows(known)
+    want = audio.accepted(audio.match_prints(audio.landmarks(a), audio.landmarks(k)))
+    got = {tuple(r) for r in audio.match_long(a, k, width=width).collect()}
+    assert got == {tuple(r) for r in want.collect()} and len(got) >= 3
