@@ -8,16 +8,17 @@ on the way; the state is a folder's names, or those of them that are alike but f
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..staging import BROADCAST_ROWS, cut, small
+from ..staging import BROADCAST_ROWS, cut, small, table
 from . import scan
 
-#: Folders above this many rows are dealt to tasks by their names.
+#: Sets of alike names above this many are numbered by ranges, folders are dealt to tasks by their names.
 LARGE = 100_000
 _NUMBERED = re.compile(r"(.*) \((\d{1,9})\)(\.[^.]*)", re.DOTALL)
 
@@ -41,14 +42,16 @@ def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
     run; without, a rerun changes nothing.
 
     What names a file may get depends on names alike but for numbers in brackets, and on when those are left.
-    So a folder of more than ``LARGE`` rows is dealt by such names to many tasks.  In it a set of alike names of that size,
-    in which one name is wanted and none is left meanwhile, is numbered by ranges instead: the position among free
-    numbers and claims in one order is the number.  Just a larger set whose own names change is one task.
+    A set of alike names in which one name is wanted and none is left meanwhile needs no run file by file: the position
+    among free numbers and claims in one order is the number.  Windows give it, and ranges in sets of more than ``LARGE``
+    names, which are looked for among hashes of sets.  All other sets are followed in Python, those of one folder together,
+    or dealt by such names to many tasks if they have more than ``LARGE`` rows.  Just a larger set of that kind is one task.
     A null wanted name leaves the file as it is.
     """
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: pdf["path"].iloc[i].split("/"))]
+        parts = [p.split("/") for p in pdf["path"]]
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=parts.__getitem__)]
         taken, out, last = set(pdf["own"][pdf["holds"]]), [], {}
 
         def free(name: str) -> None:
@@ -76,44 +79,106 @@ def allocate(named: DataFrame, compat: bool = False) -> DataFrame:
         return pd.DataFrame(out, columns=["parent", "path", "new_name"], dtype=object)
 
     track = F.coalesce("is_track", F.lit(True)) if "is_track" in named.columns else F.lit(True)
-    own = F.element_at(F.split("path", "/"), -1)
-    rows = named.select("parent", "path", "wanted", "ext", own.alias("own"), F.coalesce(F.concat("wanted", "ext"), own).alias("key"), track.alias("_track"))
-    rows = rows.withColumn("moves", F.col("_track") & (F.col("own") != F.col("key")))
-    asked, held = (F.regexp_replace(c, r" \(\d+\)", "") for c in ("key", "own"))
-    use = lambda root, claims, holds: F.struct(root.alias("root"), F.lit(claims).alias("claims"), holds.alias("holds"))
-    both = F.array_compact(F.array(F.when(F.col("moves"), use(asked, True, asked == held)), F.when(~F.col("moves") | (asked != held), use(held, False, F.lit(True)))))
-    uses = rows.select("parent", "path", "wanted", "ext", "own", "key", "moves", F.inline(both))
-    new, deals = None, uses.withColumn("deal", F.lit(0).cast("long"))
-    folders = cut(uses.groupBy("parent").agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE))
+    moves = track & (_own() != F.coalesce(F.concat("wanted", "ext"), _own()))
+    rows = table(named.select("parent", "path", "wanted", "ext", moves.alias("moves")))
+    uses, new = _uses(rows), None
+    if 2 * (n := rows.count()) > LARGE:
+        bucket = F.pmod("set", F.lit(-(-32 * n // LARGE)))
+        full = cut(uses.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("bucket"))
+        if n := full.count():
+            full = F.broadcast(full) if n <= BROADCAST_ROWS else full
+            dealt = uses.withColumn("bucket", bucket)
+            new, rest = _by_ranges(table(dealt.join(full, "bucket", "left_semi").drop("bucket")))
+            uses = dealt.join(full, "bucket", "left_anti").drop("bucket").union(rest)
+    judged = _judged(uses)
+    followed = judged.where("way = 'follow'").withColumn("own", _own())
+    folders = cut(followed.groupBy("parent").agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE))
     if n := folders.count():
-        sized = cut(uses.join(F.broadcast(folders) if n <= BROADCAST_ROWS else folders, "parent", "left"))
-        new, rest = _by_ranges(sized)
-        deals = rest.withColumn("deal", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("rows") / LARGE))))
-    told = deals.groupBy("parent", "deal").applyInPandas(follow, "parent string, path string, new_name string")
-    kept = rows.where(~F.col("moves")).select("parent", "path", F.col("own").alias("new_name"))
-    return kept.union(told) if new is None else kept.union(told).union(new)
+        followed = followed.join(F.broadcast(folders) if n <= BROADCAST_ROWS else folders, "parent", "left")
+        deal = F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("rows") / LARGE)))
+    else:
+        deal = F.lit(0)
+    told = followed.withColumn("deal", deal.cast("long")).groupBy("parent", "deal").applyInPandas(follow, "parent string, path string, new_name string")
+    among = judged.where("way = 'among'")
+    numbered = lambda df, order: df.withColumn("_n", F.row_number().over(Window.partitionBy("parent", "root").orderBy(*order)))
+    asked = among.where("claims").select("parent", "root", "path", "wanted", "ext", "_n")
+    held = among.where(~F.col("claims")).select("parent", "root", _number(F.col("wanted"), F.col("ext")).alias("number"))
+    kept = rows.where(~F.col("moves")).select("parent", "path", _own().alias("new_name"))
+    direct = judged.where("way = 'direct'").select("parent", "path", _named().alias("new_name"))
+    given = _lowest_free(held, asked, ["parent", "root"], numbered).select("parent", "path", _named().alias("new_name"))
+    all_but = kept.union(direct).union(given).union(told)
+    return all_but if new is None else all_but.union(new)
+
+
+def _own() -> Column:
+    return F.substring_index("path", "/", -1)
+
+
+def _named() -> Column:
+    return F.concat("wanted", F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(""), "ext")
+
+
+def _uses(rows: DataFrame) -> DataFrame:
+    """A row for each set of alike names that a file has to do with: one it wants a name of (claims), one that its own name is of (holds)."""
+    root = lambda c: F.when(c.contains(" ("), F.regexp_replace(c, r" \(\d+\)", "")).otherwise(c)
+    asked, of = root(F.concat("wanted", "ext")), root(_own())
+    hashed = lambda c: F.xxhash64("parent", c).alias("set")
+    none = F.lit(None).cast("string")
+    claims = rows.where("moves").select(hashed(asked), "parent", asked.alias("root"), "path", "wanted", "ext", "moves", F.lit(True).alias("claims"), (asked == of).alias("holds"))
+    held = rows.where(~F.col("moves") | (asked != of)).select(hashed(of), "parent", of.alias("root"), "path", none.alias("wanted"), none.alias("ext"), "moves", F.lit(False).alias("claims"), F.lit(True).alias("holds"))
+    return claims.union(held)
+
+
+def _judged(uses: DataFrame) -> DataFrame:
+    """Uses of sets in which names are wanted, written down with the way to find these.
+
+    way is 'direct' (_n is the number), 'among' (numbers of the set are held; _n counts claims, others have the name that is wanted
+    as wanted and ext) or 'follow'.
+    """
+    sets = ["set", "parent", "root"]  # the hash settles nearly all comparisons of a sort
+    of, name = Window.partitionBy(*sets), F.when(F.col("claims"), F.struct("wanted", "ext"))
+    counted = uses.withColumn("_n", F.row_number().over(of.orderBy(F.desc("claims"), T.path_parts("path"))))
+    about = {"least": F.min(name), "most": F.max(name), "left": F.max(F.col("moves") & F.col("holds")), "held": F.max(~F.col("claims"))}
+    known = counted.select("*", *(f.over(of).alias(c) for c, f in about.items())).where("least IS NOT NULL")
+    way = F.when(F.col("left") | (F.col("least") != F.col("most")), "follow").when(F.col("held"), "among").otherwise("direct")
+    known = known.withColumn("way", way)
+    other = lambda c: F.when(F.col("way") != "direct", F.col(c)).alias(c)
+    wanted = lambda c: F.when(F.col("way") == "among", F.col(f"least.{c}")).otherwise(F.col(c)).alias(c)
+    return table(known.select("way", "parent", other("root"), "path", wanted("wanted"), wanted("ext"), "_n", "claims", other("moves"), other("holds")))
+
+
+def _number(base: Column, end: Column) -> Column:
+    """Which number of the name base + end a file's own name is; null if it is none."""
+    own = _own()
+    digits = F.regexp_extract(F.substring(own, F.length(base) + 1, F.length(own)), r"^ \(([1-9]\d{0,8})\)", 1)
+    return F.when(own == F.concat(base, end), 1).when((digits != "1") & (own == F.concat(base, F.lit(" ("), digits, F.lit(")"), end)), digits.try_cast("long"))
+
+
+def _lowest_free(held: DataFrame, asked: DataFrame, keys: list[str], numbered: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """asked with the lowest number for each _n-th claim that neither an earlier one has nor held (keys, number) as _n; numbered adds positions in an order."""
+    taken = numbered(held.where("number IS NOT NULL").distinct(), ["number"])
+    gaps = taken.select(*keys, (F.col("number") - F.col("_n")).alias("at"), F.lit(0).alias("claim"))
+    claims = asked.withColumns({"at": (F.col("_n") - 1).cast("long"), "claim": F.lit(1)}).drop("_n")
+    return numbered(claims.unionByName(gaps, allowMissingColumns=True), ["at", "claim"]).where("claim = 1")
 
 
 def _by_ranges(uses: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Names for large sets of alike names that stay as they are, and the uses of all other sets; rows is null in small folders."""
+    """Names for large sets of alike names that stay as they are, and the uses of all other sets."""
     name = F.when(F.col("claims"), F.struct("wanted", "ext"))
-    sets = uses.where("rows IS NOT NULL").groupBy("parent", "root").agg(F.count("*").alias("n"), F.min(name).alias("least"), F.max(name).alias("most"), F.max(F.col("moves") & F.col("holds")).alias("left"))
-    large = cut(sets.where((F.col("n") > LARGE) & ~F.col("left") & (F.col("least") == F.col("most"))).select("parent", "root", F.col("least.wanted").alias("base"), F.col("least.ext").alias("end")))
+    sets = uses.groupBy("parent", "root").agg(F.count("*").alias("n"), F.min(name).alias("least"), F.max(name).alias("most"), F.max(F.col("moves") & F.col("holds")).alias("left"))
+    still = sets.where((F.col("n") > LARGE) & ~F.col("left") & (F.col("least") == F.col("most")))
+    large = cut(still.select(F.monotonically_increasing_id().alias("_set"), F.col("parent").alias("_parent"), F.col("root").alias("_root"), F.col("least.wanted").alias("base"), F.col("least.ext").alias("end")))
     n = large.count()
     if not n:
         return None, uses
-    keys = ["parent", "root"]
     known = F.broadcast(large) if n <= BROADCAST_ROWS else large
-    rest = uses.join(known, keys, "left_anti")
-    mine = uses.join(known, keys)
-    digits = F.regexp_extract(F.substring("own", F.length("base") + 1, F.length("own")), r"^ \(([1-9]\d{0,8})\)", 1)
-    number = F.when(F.col("own") == F.concat("base", "end"), 1).when((digits != "1") & (F.col("own") == F.concat("base", F.lit(" ("), digits, F.lit(")"), "end")), digits.try_cast("long"))
-    held = mine.where(~F.col("claims")).withColumn("number", number).where("number IS NOT NULL").select(*keys, "number").distinct()
-    gaps = scan.positions(held, keys, ["number"], "_n").select(*keys, (F.col("number") - F.col("_n")).alias("at"), F.lit(0).alias("claim"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("wanted"), F.lit(None).cast("string").alias("ext"))
-    asked = scan.positions(mine.where("claims").select(*keys, "path", "wanted", "ext", T.path_parts("path").alias("_parts")), keys, ["_parts"], "_n").select(*keys, (F.col("_n") - 1).alias("at"), F.lit(1).alias("claim"), "path", "wanted", "ext")
-    placed = scan.positions(gaps.union(asked), keys, ["at", "claim"], "_n").where("claim = 1")
-    new = F.concat("wanted", F.when(F.col("_n") > 1, F.format_string(" (%d)", "_n")).otherwise(""), "ext")
-    return placed.select("parent", "path", new.alias("new_name")), rest
+    same = F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("root") == F.col("_root"))
+    rest, mine = uses.join(known, same, "left_anti"), uses.join(known, same)
+    numbered = lambda df, order: scan.ranked(df, ["_set"], order, "_n")
+    asked = numbered(mine.where("claims").select("_set", "path", T.path_parts("path").alias("_parts")), ["_parts"]).drop("_parts")
+    held = mine.where(~F.col("claims")).select("_set", _number(F.col("base"), F.col("end")).alias("number"))
+    placed = _lowest_free(held, asked, ["_set"], numbered).join(known, "_set").select(F.col("_parent").alias("parent"), "path", F.col("base").alias("wanted"), F.col("end").alias("ext"), "_n")
+    return placed.select("parent", "path", _named().alias("new_name")), rest
 
 
 def sidecar_owners(tracks: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import cut
+from ..staging import cut, table
 
 
 def dealt(rows: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
@@ -42,3 +42,14 @@ def positions(rows: DataFrame, keys: list[str], order: list[str], name: str, blo
     local = placed.withColumn(name, F.row_number().over(Window.partitionBy(*on).orderBy(*order)))
     before = carried(placed.groupBy(*on).agg(F.count("*").alias("_rows")), keys, "_rows", F.sum, "_before")
     return with_carried(local, before, keys, "_before").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, blocks: int | None = None) -> DataFrame:
+    """Add the position of each row in its group, from 1, if groups are few and large: one shuffle; where groups begin in ranges is broadcast."""
+    n, by = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, *order]
+    # an id is the number of a partition and, in the low 33 bits, that of the row in it
+    placed = table(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())).withColumn("_block", F.shiftright("_id", 33))
+    runs = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    earlier = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    begin = runs.select(*keys, "_block", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_begin"))
+    return with_carried(placed, begin, keys, "_begin").withColumn(name, F.col("_id") + F.col("_begin")).drop("_id", "_block", "_begin")

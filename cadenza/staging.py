@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder: large tables, of which each reader takes the columns it needs; removed when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/cadenza-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended before this
+        return
+
+
 def small(df: DataFrame) -> DataFrame:
     """A table that is written down, with a hint to broadcast it if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from cadenza import streaming
 from cadenza.operators import albums, cache, enrich, rename, scan
@@ -91,6 +92,33 @@ def test_large_sets_are_numbered_without_python(spark, monkeypatch):
     assert new.count() == 300 and rest.where("claims").count() == 0
 
 
+def test_ranks_follow_one_window_whatever_the_blocks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([7, 7, 7, 2]), rng.randrange(40), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t int, i int")
+    want, seen = {}, {}
+    for k, _, i in sorted(rows):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    for blocks in (1, 3, 16):
+        assert {r.i: r.n for r in scan.ranked(df, ["k"], ["t", "i"], "n", blocks).collect()} == want
+    assert scan.ranked(df.limit(0), ["k"], ["t"], "n").collect() == []
+
+
+@pytest.mark.parametrize("large", [rename.LARGE, 50])
+def test_only_sets_whose_names_are_left_reach_python(spark, monkeypatch, large):
+    """Names of sets that stay as they are come from windows or ranges, however many sets a folder has."""
+    monkeypatch.setattr(rename, "LARGE", large)
+    python = []
+    plain = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: python.append(self._df) or plain(self, f, schema))
+    rows = [("l", f"l/t{i:04}.mp3", f"p{i % 40}" if i % 3 else "x", ".mp3", True) for i in range(300)]  # sets of one name, one of them large
+    rows += [("l", f"l/{n}.mp3", "n", ".mp3", False) for n in ("p1", "p2 (2)", "p2 (4)", "x (3)", "q (2)")]  # some of their names are taken
+    rows += [("l", "l/a.mp3", "b", ".mp3", True), ("l", "l/b.mp3", "a", ".mp3", True), ("l", "l/c.mp3", "a", ".mp3", True)]  # these are left
+    got = rename.allocate(spark.createDataFrame(rows, "parent string, path string, wanted string, ext string, is_track boolean"))
+    assert {r.path: r.new_name for r in got.collect()} == plain_allocation([r[1:] for r in rows], False)
+    assert {r.path for r in python[0].collect()} == {"l/a.mp3", "l/b.mp3", "l/c.mp3"}
+
+
 def test_releases_of_one_artist_are_found_by_their_rarest_piece(spark):
     n = 100_000
     titles = spark.range(n).select(F.lit("a").alias("artist_key"), F.col("id").cast("int").alias("pos"), F.col("id").cast("string").alias("id"), F.concat(F.lit("greatest hits "), F.lpad(F.conv(F.xxhash64("id") % 60_000_000, 10, 36), 6, "0"), F.lit(" live")).alias("title"), F.lit("2001").alias("date"))
